@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, simhash, urls
+from . import mixing, packing, quality, simhash, urls
 from .common import table
 
 
@@ -23,11 +25,28 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def tokenizer() -> str:
+    """The tokenizer file of the contracts; AKURU_TOKENIZER names another."""
+    named = os.environ.get("AKURU_TOKENIZER")
+    if named:
+        return named
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    pieces = packing.cut(docs, tokenizer()).withColumn("ids_crc32", packing.crc(F.col("ids"))).drop("ids")
+    out = packing.pack(pieces, docs.count())
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op4_mixing, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op4_mixing, op5_packing, op10_url_filters)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
