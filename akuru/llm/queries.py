@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, simhash, tokenfile, urls
+from . import mixing, packing, quality, simhash, tokenfile, toxicity, urls
 from .common import scratch_path, table
 
 
@@ -42,6 +42,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     tokenfile.write(table(spark, sf_dir, "documents"), tokenizer(), path)
@@ -52,7 +57,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op4_mixing, op5_packing, op7_token_output, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op4_mixing, op5_packing, op6_toxicity, op7_token_output, op10_url_filters)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
