@@ -105,7 +105,7 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.n
     """
     n, m = votes.shape
     shared = np.ones(m)
-    post = np.clip((votes > 0).mean(axis=1) * 2, 0.02, 0.98) if m else np.full(n, prior)
+    post = np.where(votes.sum(axis=1) > 0, 0.9, 0.05)
     onehot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(np.float64)
     corr = np.eye(m)
     for k in range(rounds):
