@@ -111,12 +111,12 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.n
     for k in range(rounds):
         table = np.stack([np.tensordot(w, onehot, axes=(0, 0)) + 0.5 for w in (1 - post, post)])  # label, voter, vote
         table /= table.sum(axis=2, keepdims=True)
-        if k == rounds // 2:
+        if k in (0, rounds // 2):
             left = votes - ((1 - post)[:, None] * (table[0, :, 2] - table[0, :, 0]) + post[:, None] * (table[1, :, 2] - table[1, :, 0]))
             left = left - left.mean(axis=0)
             scale = np.sqrt((left**2).mean(axis=0)) + 1e-9
             corr = (left.T @ left) / n / np.outer(scale, scale)
-            shared = 1 / (1 + (np.clip(corr, 0, 1) - np.eye(m)).clip(0).sum(axis=1))
+            shared = (1 + (np.clip(corr, 0, 1) - np.eye(m)).clip(0).sum(axis=1)) ** -0.75
         base = float(np.clip(post.mean(), 0.5 * prior, min(0.9, 2 * prior)))
         odds = math.log(base / (1 - base)) + (onehot * np.log(table[1] / table[0]) * shared[:, None]).sum(axis=(1, 2))
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
