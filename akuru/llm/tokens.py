@@ -23,8 +23,8 @@ MEMO = 150_000
 _PIECES = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Characters for which re's classes and the pattern's agree: Basic Latin, and the letters of Latin-1 and Latin Extended-A.
 _PLAIN = re.compile("[\x21-\x7e\nÀ-ÖØ-öø-ſ]*")
-_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-_ODD = re.compile(f"[{re.escape(_SPACES)}] | [{re.escape(_SPACES)}]|\\A | \\Z")
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ſ]+")
+_LETTERS_MARKS = re.compile("([A-Za-zÀ-ÖØ-öø-ſ]+)([!-/:-@\\[-`{-~]+)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -52,26 +52,52 @@ class Encoder:
         self.plain = sys.byteorder == "little" and made.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", False) and not pre.get("add_prefix_space") and made["model"]["type"] == "BPE"
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.space = self.letters[0x20]
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype).tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of a space followed by chunk."""
+    def _word(self, piece: str) -> bytes:
+        """Ids of one piece of Latin letters or punctuation, with a leading space or none."""
+        if piece.isascii():
+            piece = piece.replace(" ", self.space)
+        else:
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes | None:
+        """Ids of a space followed by chunk; None if a cut beside it would not be one of the library's."""
+        if chunk.strip() != chunk or not chunk:
+            return None
+        if _LETTERS.fullmatch(chunk):
+            return self._word(" " + chunk)
+        if m := _LETTERS_MARKS.fullmatch(chunk):
+            core, marks = m.groups()
+            end = self.marks.get(marks)
+            if end is None:
+                end = self._word(marks)
+                if len(marks) <= 64:
+                    self.marks[marks] = end
+            return (self.new.get(core) or self.old.get(core) or self._word(" " + core)) + end
         if not _PLAIN.fullmatch(chunk):
             return self.whole(" " + chunk)
-        merge, letters = self.model.tokenize, self.letters
-        ids = array(self.code)
-        for piece in _PIECES.findall(" " + chunk):
-            ids.extend([t.id for t in merge(piece.encode().decode("latin-1").translate(letters))])
-        return ids.tobytes()
+        return b"".join([self.whole(p) if "\n" in p else self._word(p) for p in _PIECES.findall(" " + chunk)])
 
     def encode(self, text: str) -> bytes:
-        if not self.plain or _ODD.search(text):
+        if not self.plain or "  " in text:
             return self.whole(text) if text else b""
         head, *rest = text.split(" ")
+        first = self.heads.get(head)
+        if first is None:
+            if head.strip() != head or not head:
+                return self.whole(text) if text else b""
+            first = self.whole(head)
+            if len(head) <= 64:
+                self.heads[head] = first
         new, old = self.new, self.old
         out = list(map(new.get, rest))
         if None in out:
@@ -79,12 +105,15 @@ class Encoder:
                 if ids is None:
                     chunk = rest[k]
                     ids = new.get(chunk) or old.get(chunk) or self._chunk(chunk)
+                    if ids is None:
+                        return self.whole(text)
                     if len(chunk) <= 64:
                         new[chunk] = ids
                     out[k] = ids
             if len(new) > MEMO:
                 self.old, self.new = new, {}
-        return (self.whole(head) if head else b"") + b"".join(out)
+                self.heads.clear(), self.marks.clear()
+        return first + b"".join(out)
 
 
 @cache
