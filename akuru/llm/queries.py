@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html, mixing, packing, quality, simhash, tokenfile, toxicity, urls
+from . import ann, html, licenses, mixing, packing, quality, simhash, tokenfile, toxicity, urls
 from .common import scratch_path, table
 
 
@@ -57,6 +57,12 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree source/language/id; the licences of their statements, own or inherited."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string")).alias("path"))
+    return licenses.scan(docs, key="doc_id").select("doc_id", "path", "license", "score", "origin", "licensed_dir")
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -65,7 +71,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op3_html_text, op4_mixing, op5_packing, op6_toxicity, op7_token_output, op9_nearest_neighbours, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op3_html_text, op4_mixing, op5_packing, op6_toxicity, op7_token_output, op8_license_scan, op9_nearest_neighbours, op10_url_filters)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
