@@ -8,7 +8,9 @@ through their 64-bit hashes within one document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, materialize, words
@@ -20,47 +22,57 @@ SYMBOLS = "#*$%&|<>"
 BROADCAST_HOSTS = 50_000
 
 
-def measure(df: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFrame:
-    """Add one column per name of METRICS, called prefix + name, to df.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def measure(text: str = "text") -> Column:
+    """A struct with a long per name of METRICS, for one text.
 
     A null or empty text has no words, and all its metrics are zero. Texts of any length are
     measured whole.
     """
-    p, t = prefix, F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn(f"{p}w", words(F.col(text))).withColumn(f"{p}l", F.expr(f"filter(split({_quoted(text)}, '\\n'), x -> x rlike '[^{SPACE}]')".replace("\\", "\\\\")))
-    w = F.col(f"{p}w")
-    df = (
-        df.withColumn(f"{p}n_words", F.size(w).cast("long"))
-        .withColumn(f"{p}word_chars", F.length(F.array_join(w, "")).cast("long"))
-        .withColumn(f"{p}n_symbols", (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"))
-        .withColumn(f"{p}n_lines", F.coalesce(F.greatest(F.size(f"{p}l"), F.lit(0)), F.lit(0)).cast("long"))
-        .withColumn(f"{p}n_dup_lines", F.coalesce(F.size(f"{p}l") - F.size(F.array_distinct(f"{p}l")), F.lit(0)).cast("long"))
-        .withColumn(f"{p}h", F.expr(f"slice(transform({p}w, (x, i) -> xxhash64(x, get({p}w, i + 1), get({p}w, i + 2))), 1, greatest(size({p}w) - 2, 0))"))
-        .withColumn(f"{p}s", F.expr(f"if(size({p}h) = size(array_distinct({p}h)), null, sort_array(transform({p}h, (x, i) -> struct(x as h, i as i))))"))
-        .withColumn(f"{p}r", F.expr(f"filter(transform({p}s, (x, j) -> if(x.h = get({p}s, j - 1).h or x.h = get({p}s, j + 1).h, x.i, -1)), x -> x >= 0)"))
-        .withColumn(f"{p}n_repeat_words", F.expr(f"cast(coalesce(size(array_distinct(flatten(transform({p}r, x -> array(x, x + 1, x + 2))))), 0) as long)"))
-        .withColumn(f"{p}n_repeat_words", F.greatest(F.col(f"{p}n_repeat_words"), F.lit(0).cast("long")))
-    )
-    return df.drop(*(f"{p}{x}" for x in "wlhsr"))
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def base_failed(p: str = "_q_") -> F.Column:
+    t = F.coalesce(F.col(text), F.lit(""))
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
+
+    def windows(w: Column) -> Column:
+        hashes = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+        return F.slice(hashes, 1, F.greatest(F.size(w) - 2, F.lit(0)))
+
+    def covered(h: Column) -> Column:
+        """Positions in windows whose hash occurs twice; the hashes are only sorted if one does."""
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+
+        def starts(s: Column) -> Column:
+            twice = lambda x, j: (x.h == F.get(s, j - 1).h) | (x.h == F.get(s, j + 1).h)
+            return F.filter(F.transform(s, lambda x, j: F.when(F.coalesce(twice(x, j), F.lit(False)), x.i).otherwise(-1)), lambda x: x >= 0)
+
+        spread = lambda s: F.size(F.array_distinct(F.flatten(F.transform(starts(s), lambda x: F.array(x, x + 1, x + 2)))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(placed, spread))
+
+    def of_words(w: Column) -> list[Column]:
+        return [F.size(w).alias("n_words"), F.length(F.array_join(w, "")).alias("word_chars"), let(windows(w), covered).alias("n_repeat_words")]
+
+    by_line = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
+    by_word = let(words(F.col(text)), lambda w: F.struct(*of_words(w)))
+    symbols = F.length(t) - F.length(F.translate(t, SYMBOLS, ""))
+    values = {"n_words": lambda w, x: w.n_words, "word_chars": lambda w, x: w.word_chars, "n_symbols": lambda w, x: symbols, "n_dup_lines": lambda w, x: x.dup, "n_repeat_words": lambda w, x: w.n_repeat_words, "n_lines": lambda w, x: x.n}
+    return let(by_word, lambda w: let(by_line, lambda x: F.struct(*(values[k](w, x).cast("long").alias(k) for k in METRICS))))
+
+
+def base_failed(m: Column) -> Column:
     """Fewer than 50 words, or more than half of them in repeated three-word windows."""
-    n = F.col(f"{p}n_words")
-    return (n < 50) | (100 * F.col(f"{p}n_repeat_words") > 50 * n)
+    return (m.n_words < 50) | (100 * m.n_repeat_words > 50 * m.n_words)
 
 
-def soft_failed(p: str = "_q_") -> F.Column:
+def soft_failed(m: Column) -> Column:
     """More than one symbol in ten words, or over three tenths of the lines repeat earlier ones."""
-    return (10 * F.col(f"{p}n_symbols") > F.col(f"{p}n_words")) | (10 * F.col(f"{p}n_dup_lines") > 3 * F.col(f"{p}n_lines"))
+    return (10 * m.n_symbols > m.n_words) | (10 * m.n_dup_lines > 3 * m.n_lines)
 
 
-def host_verdicts(measured: DataFrame, host: str, max_rate: float = 0.5, p: str = "_q_") -> DataFrame:
-    """One row per host: host_null, host_name, n, failed, rate (shrunk), host_ok.
+def host_verdicts(judged: DataFrame, max_rate: float = 0.5) -> DataFrame:
+    """From rows (host, failed), one row per host: host_null, host_name, n, failed, rate (shrunk), host_ok.
 
     The prior's mean and strength come from the hosts' own rates by moments; a host's rate is
     (failed + strength * mean) / (n + strength). Without any spread between hosts the strength
@@ -68,45 +80,47 @@ def host_verdicts(measured: DataFrame, host: str, max_rate: float = 0.5, p: str
     host is a host of its own.
     """
     hosts = (
-        measured.groupBy(F.col(host).isNull().alias("host_null"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host_name"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum((base_failed(p) | soft_failed(p)).cast("long")).alias("failed"))
+        judged.groupBy(F.col("host").isNull().alias("host_null"), F.coalesce(F.col("host").cast("string"), F.lit("")).alias("host_name"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("failed"))
     )
     hosts = materialize(hosts, "quality-hosts")
     rate = F.col("failed") / F.col("n")
-    moments = hosts.agg(F.avg(rate).alias("m"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("v"), F.count(F.lit(1)).alias("k")).first()
+    moments = hosts.agg(F.avg(rate).alias("m"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("v")).first()
     mean = moments["m"] or 0.0
     strength = mean * (1 - mean) / moments["v"] - 1 if moments["v"] > 1e-12 else 1e6
     strength = min(max(strength, 1.0), 1e6)
     hosts = hosts.withColumn("rate", (F.col("failed") + F.lit(strength * mean)) / (F.col("n") + F.lit(strength)))
-    hosts = hosts.withColumn("host_ok", F.col("rate") <= max_rate)
-    return F.broadcast(hosts) if moments["k"] <= BROADCAST_HOSTS else hosts
+    return hosts.withColumn("host_ok", F.col("rate") <= max_rate)
 
 
-def judge(measured: DataFrame, hosts: DataFrame, host: str, p: str = "_q_") -> DataFrame:
-    """Add base_failed and kept (named with p) to measured rows.
+def with_host(rows: DataFrame, hosts: DataFrame, host: str) -> DataFrame:
+    """Add _q_ok, the host's verdict, to rows.
 
-    A document is kept if it passes the base rules and the soft rules, and its host's shrunk
-    failure rate is within bounds. More hosts than BROADCAST_HOSTS are joined by a shuffle, in
-    which each document's row goes to one of 64 salts of its host, so no host gathers in a task.
+    Up to BROADCAST_HOSTS hosts are broadcast. More are joined by a shuffle, in which each row
+    goes to one of 64 salts of its host, so no host gathers in a task.
     """
-    keyed = measured.withColumn(f"{p}hn", F.col(host).isNull()).withColumn(f"{p}ho", F.coalesce(F.col(host).cast("string"), F.lit("")))
-    side = hosts.select(F.col("host_null").alias(f"{p}hn"), F.col("host_name").alias(f"{p}ho"), F.col("host_ok").alias(f"{p}ok"))
-    on = [f"{p}hn", f"{p}ho"]
-    if "ResolvedHint" not in hosts._jdf.queryExecution().analyzed().toString():
-        keyed = keyed.withColumn(f"{p}salt", F.pmod(F.col(f"{p}word_chars") + F.col(f"{p}n_words"), F.lit(64)).cast("int"))
-        side, on = side.withColumn(f"{p}salt", F.explode(F.sequence(F.lit(0), F.lit(63)))), [*on, f"{p}salt"]
-    out = keyed.join(side, on, "left").withColumn(f"{p}base_failed", base_failed(p))
-    return out.withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & ~soft_failed(p) & F.coalesce(f"{p}ok", F.lit(True))).drop(*on, f"{p}ok")
+    keyed = rows.withColumn("_q_null", F.col(host).isNull()).withColumn("_q_name", F.coalesce(F.col(host).cast("string"), F.lit("")))
+    side, on = hosts.select(F.col("host_null").alias("_q_null"), F.col("host_name").alias("_q_name"), F.col("host_ok").alias("_q_ok")), ["_q_null", "_q_name"]
+    if hosts.count() <= BROADCAST_HOSTS:
+        side = F.broadcast(side)
+    else:
+        keyed = keyed.withColumn("_q_salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int"))
+        side, on = side.withColumn("_q_salt", F.explode(F.sequence(F.lit(0), F.lit(63)))), [*on, "_q_salt"]
+    return keyed.join(side, on, "left").drop(*on)
 
 
 def score(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and host of each row.
+    """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept of each row.
 
-    Rows with equal or null ids are judged one by one; other columns are left out.
+    A document is kept if it passes the base rules and the soft rules, and its host's shrunk
+    failure rate is within bounds. Rows with equal or null ids are judged one by one; other
+    columns are left out.
     """
-    measured = materialize(measure(docs.select("doc_id", F.col(host).alias("_q_host"), "text")).drop("text"), "quality-metrics")
-    out = judge(measured, host_verdicts(measured, "_q_host", max_rate), "_q_host")
-    return out.select("doc_id", *(F.col(f"_q_{x}").alias(x) for x in METRICS[:5]), F.col("_q_base_failed").alias("base_failed"), F.col("_q_kept").alias("kept"), F.col("_q_host").alias("host"))
+    rows = materialize(docs.select("doc_id", F.col(host).alias("host"), measure().alias("m")).select("doc_id", "host", "m.*"), "quality-metrics")
+    m = F.struct(*METRICS)
+    rows = rows.withColumn("base_failed", base_failed(m)).withColumn("failed", base_failed(m) | soft_failed(m))
+    out = with_host(rows, host_verdicts(rows.select("host", "failed"), max_rate), "host")
+    return out.select("doc_id", "host", *METRICS[:5], "base_failed", (~F.col("failed") & F.coalesce("_q_ok", F.lit(True))).alias("kept"))
 
 
 def keep(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
@@ -115,6 +129,6 @@ def keep(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFr
     The metrics are worked out twice, once for the hosts and once for the documents: that reads
     the texts again but moves none of them.
     """
-    measured = measure(docs)
-    hosts = host_verdicts(measure(docs.select(host, "text")), host, max_rate)
-    return judge(measured, hosts, host).filter("_q_kept").select(*docs.columns)
+    failed = let(measure(), lambda m: base_failed(m) | soft_failed(m))
+    hosts = host_verdicts(docs.select(F.col(host).alias("host"), failed.alias("failed")), max_rate)
+    return with_host(docs.filter(~failed), hosts, host).filter(F.coalesce("_q_ok", F.lit(True))).select(*docs.columns)
