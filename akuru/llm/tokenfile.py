@@ -36,8 +36,8 @@ from .tokens import encoder
 
 SCALE_BITS = 20
 #: A block is closed by the document that brings it to this number of ids.
-BLOCK_IDS = 1 << 20
-LANES = 1024
+BLOCK_IDS = 1 << 21
+LANES = 4096
 CHECKPOINT_STEPS = 256
 #: Bytes of blocks per part file, at least.
 FILE_BYTES = 32_000_000
@@ -73,12 +73,15 @@ class Table:
         self.freq = freq.astype(np.uint64)
         self.cum = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64) if len(freq) else self.freq
         self.crc = zlib.crc32(self.head())
-        self._slots: np.ndarray | None = None
+        self.limit = self.freq << np.uint64(63 - scale_bits)
+        self._slots: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     @property
-    def slots(self) -> np.ndarray:
+    def slots(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each slot its id, the id's frequency, and the slot's place within the id's range."""
         if self._slots is None:
-            self._slots = np.repeat(np.arange(len(self.freq32), dtype=np.uint32), self.freq32)
+            place = np.arange(int(self.freq.sum()), dtype=np.int64) - np.repeat(self.cum.astype(np.int64), self.freq32)
+            self._slots = np.repeat(np.arange(len(self.freq32), dtype=np.uint32), self.freq32), np.repeat(self.freq32, self.freq32), place.astype(np.uint32)
         return self._slots
 
     def head(self) -> bytes:
@@ -100,22 +103,25 @@ def encode_ids(ids: np.ndarray, table: Table, lanes: int = LANES, every: int = C
     lanes = max(1, min(lanes, -(-len(ids) // 64)))
     steps = -(-len(ids) // lanes)
     state = np.full(lanes, _LOW, np.uint64)
-    bits, room = np.uint64(table.bits), np.uint64(63 - table.bits)
+    bits = np.uint64(table.bits)
     words: list[np.ndarray] = []
     marks: list[tuple[int, np.ndarray]] = []
     written = 0
     for step in range(steps - 1, -1, -1):
-        at = ids[step * lanes : (step + 1) * lanes]
+        at = ids[step * lanes : (step + 1) * lanes].astype(np.intp)
         x = state[: len(at)]
-        f = table.freq[at]
-        over = x >= (f << room)
-        if over.any():
-            out = x[over].astype(np.uint32)
-            words.append(out)
+        over = np.flatnonzero(x >= table.limit.take(at, mode="clip"))
+        if len(over):
+            out = x[over]
+            words.append(out.astype(np.uint32))
             written += len(out)
-            x = np.where(over, x >> _WORD, x)
+            x[over] = out >> _WORD
+        f = table.freq.take(at, mode="clip")
         q = x // f
-        state[: len(at)] = (q << bits) + (x - q * f) + table.cum[at]
+        x -= q * f
+        q <<= bits
+        x += q
+        x += table.cum.take(at, mode="clip")
         if step % every == 0:
             marks.append((written, state.copy()))
     stream = np.concatenate(words[::-1]).astype("<u4") if words else np.zeros(0, "<u4")
@@ -131,20 +137,20 @@ def decode_ids(count: int, lanes: int, every: int, marks: list[tuple[int, np.nda
     at, state = marks[first][0], marks[first][1].copy()
     bits, mask = np.uint64(table.bits), np.uint64((1 << table.bits) - 1)
     out = np.empty(min(count, end * lanes) - begin * lanes, np.uint32)
-    slots, freq, cum = table.slots, table.freq, table.cum
+    symbol, freq, rest = table.slots
+    words = words.astype(np.uint64)
     for step in range(begin, end):
         n = min(lanes, count - step * lanes)
         x = state[:n]
-        slot = x & mask
-        ids = slots[slot]
-        x = freq[ids] * (x >> bits) + slot - cum[ids]
-        low = x < _LOW
-        k = int(np.count_nonzero(low))
-        if k:
-            x[low] = (x[low] << _WORD) | words[at : at + k]
-            at += k
-        state[:n] = x
-        out[(step - begin) * lanes : (step - begin) * lanes + n] = ids
+        slot = (x & mask).view(np.int64)
+        symbol.take(slot, out=out[(step - begin) * lanes :][:n], mode="clip")
+        x >>= bits
+        x *= freq.take(slot, mode="clip")
+        x += rest.take(slot, mode="clip")
+        low = np.flatnonzero(x < _LOW)
+        if len(low):
+            x[low] = (x[low] << _WORD) | words[at : at + len(low)]
+            at += len(low)
     return out
 
 
