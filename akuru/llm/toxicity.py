@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Training rows, at most: those with the smallest hash of their id.
-MAX_TRAIN = 8000
+MAX_TRAIN = 5000
 #: Features of the classifier, at most: those with the strongest association.
 MAX_FEATURES = 512
 THRESHOLD = 0.3
@@ -62,20 +62,26 @@ def near_copy_keys(words: Counter[str]) -> list[int]:
     return sorted(zlib.crc32(w.encode("utf-8", "replace")) for w in some)[:4]
 
 
-def associated(bags: list[set[str]], toxic: np.ndarray, precision: float = 0.8) -> list[str]:
+def associated(texts: list[str | None], toxic: np.ndarray, precision: float = 0.8) -> list[str]:
     """Features that mark toxic rows beyond chance, the strongest first.
 
     One-sided binomial test against the base rate, at 5 % divided by the number of candidates.
+    Only features of at least three toxic rows are held while the clean rows are counted.
     """
     rate = min(max(toxic.mean(), 1e-4), 0.5)
     in_toxic, in_clean = Counter(), Counter()
-    for bag, label in zip(bags, toxic, strict=True):
-        (in_toxic if label else in_clean).update(bag)
+    for text, label in zip(texts, toxic, strict=True):
+        if label:
+            in_toxic.update(features(words_of(text)))
     level = math.log(0.05 / max(len(in_toxic), 1))
+    in_toxic = {f: a for f, a in in_toxic.items() if a >= 3}
+    for text, label in zip(texts, toxic, strict=True):
+        if not label:
+            in_clean.update(features(words_of(text)) & in_toxic.keys())
     found = []
     for f, a in in_toxic.items():
         n = a + in_clean[f]
-        if a >= 3 and a >= precision * n:
+        if a >= precision * n:
             p = a / n
             # Chernoff's bound on the binomial tail
             tail = -n * (p * math.log(p / rate) + ((1 - p) * math.log((1 - p) / (1 - rate)) if p < 1 else 0))
@@ -173,18 +179,19 @@ class Model:
 
 def train(texts: list[str | None], toxic: list[int]) -> Model:
     """A model of training texts; without rows of both labels, of the seed words alone."""
-    bags, labels, seen = [], [], set()
+    rows, labels, seen = [], [], set()
     for text, label in zip(texts, toxic, strict=True):
-        bag = words_of(text)
-        keys = near_copy_keys(bag)
+        keys = near_copy_keys(words_of(text))
         if sum(k in seen for k in keys) < min(2, len(keys)) or not keys:
             seen.update(keys)
-            bags.append(features(bag))
+            rows.append(text)
             labels.append(int(label))
     y = np.array(labels, np.int8)
     if not len(y) or y.min() == y.max():
         return Model(dict.fromkeys(sorted(SEED_WORDS), 4.0), -3.0)
-    chosen = associated(bags, y)[:MAX_FEATURES]
+    chosen = associated(rows, y)[:MAX_FEATURES]
+    known = {*chosen, *SEED_WORDS}
+    bags = [features(words_of(t)) & known for t in rows]
     post, accuracies, correlations = label_model(cast_votes(bags, chosen), float(y.mean()))
     vocabulary = {f: k for k, f in enumerate(dict.fromkeys([*chosen, *sorted(SEED_WORDS), ANY]))}
     x = np.zeros((len(bags), len(vocabulary)), np.float32)
