@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .script import CONFUSION_SETS, LENGTH_MAP, SUKUN
 
@@ -57,7 +58,7 @@ def _keys(s: str) -> list[str]:
     return [s[k : k + 2] for k in range(0, len(s), 2)]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The distance of two joined unit-key strings, the query first."""
     for queries, others in batches:
@@ -94,7 +95,7 @@ def plain_html_text(html: str | None) -> str | None:
     return " ".join(parser.parts)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for pages in batches:
         yield pages.map(plain_html_text, na_action=None).astype("object")

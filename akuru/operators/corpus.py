@@ -20,8 +20,8 @@ def tokens(df: DataFrame, *keys: str) -> DataFrame:
 
     Offsets count zero-width joiners, words leave them out. Rows with equal keys count as one text's.
     """
-    runs = df.select(*keys, F.posexplode(S.segments(F.col("t"))).alias("k", "run"))
-    w = Window.partitionBy(*keys).orderBy("k")
+    runs = df.select(*keys, F.posexplode(S.segments(F.col("t"))).alias("_no", "run"))
+    w = Window.partitionBy(*keys).orderBy("_no")
     runs = runs.withColumn("end", F.sum(F.length("run")).over(w).cast("int")).withColumn("start", (F.col("end") - F.length("run")).cast("int"))
     runs = runs.withColumn("word", F.translate("run", S.ZERO_WIDTH, "")).filter(F.col("run").rlike(f"^[{S.THAANA}{S.ZERO_WIDTH}]") & (F.col("word") != ""))
     return runs.select(*keys, (F.row_number().over(w) - 1).alias("pos"), "word", "start", "end")

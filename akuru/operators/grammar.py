@@ -25,8 +25,8 @@ def merge_eve(word: Column) -> Column:
 
 def _cover(df: DataFrame, keys: tuple[str, ...], pattern: str) -> DataFrame:
     """keys, k, chunk, start, end: the text cut by a pattern that covers it."""
-    runs = df.select(*keys, F.posexplode(F.regexp_extract_all(F.col("t"), F.lit(pattern), F.lit(0))).alias("k", "chunk"))
-    w = Window.partitionBy(*keys).orderBy("k")
+    runs = df.select(*keys, F.posexplode(F.regexp_extract_all(F.col("t"), F.lit(pattern), F.lit(0))).alias("_no", "chunk"))
+    w = Window.partitionBy(*keys).orderBy("_no")
     runs = runs.withColumn("end", F.sum(F.length("chunk")).over(w).cast("int"))
     return runs.withColumn("start", (F.col("end") - F.length("chunk")).cast("int"))
 

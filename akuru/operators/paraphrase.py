@@ -34,13 +34,13 @@ def paraphrase(df: DataFrame, thesaurus: DataFrame, *keys: str, aggressiveness:
     A swappable word is replaced if its draw is below the aggressiveness (held to 0 to 1); a second draw picks the choice.
     """
     level = round(min(max(aggressiveness, 0.0), 1.0) * 1_000_000)
-    runs = df.select(*keys, F.posexplode(S.segments(F.col("t"))).alias("k", "run")).withColumn("word", F.translate("run", S.ZERO_WIDTH, ""))
+    runs = df.select(*keys, F.posexplode(S.segments(F.col("t"))).alias("_no", "run")).withColumn("word", F.translate("run", S.ZERO_WIDTH, ""))
     runs = runs.join(alternatives(thesaurus, modern_only), "word", "left")
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in keys), F.col("k").cast("string")))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in keys), F.col("_no").cast("string")))
     draw = lambda at: F.conv(F.substring(h, at, 7), 16, 10).cast("long")
     swap = F.col("choices").isNotNull() & (F.pmod(draw(1), F.lit(1_000_000)) < level)
     runs = runs.withColumn("out", F.when(swap, F.get("choices", F.pmod(draw(9), F.size("choices")).cast("int"))).otherwise(F.when(F.col("word") == "", F.col("run")).otherwise(F.col("word")))).withColumn("swap", swap)
-    ordered = F.array_sort(F.collect_list(F.struct("k", "out")))
+    ordered = F.array_sort(F.collect_list(F.struct("_no", "out")))
     out = runs.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x.out), "").alias("text"), F.sum(F.col("swap").cast("long")).alias("swapped"), F.sum(F.col("choices").isNotNull().cast("long")).alias("swappable"))
     return out
 
@@ -48,9 +48,9 @@ def paraphrase(df: DataFrame, thesaurus: DataFrame, *keys: str, aggressiveness:
 def paraphrase_exact(df: DataFrame, thesaurus: DataFrame, *keys: str, aggressiveness: float = 0.5, seed: int = 0, modern_only: bool = False) -> DataFrame:
     """keys, text, replacements, swapped and swappable with Python's generator seeded per text: a draw per swappable word, then a choice."""
     level = min(max(aggressiveness, 0.0), 1.0)
-    runs = df.select(*keys, F.posexplode(S.segments(F.col("t"))).alias("k", "run")).withColumn("word", F.translate("run", S.ZERO_WIDTH, ""))
+    runs = df.select(*keys, F.posexplode(S.segments(F.col("t"))).alias("_no", "run")).withColumn("word", F.translate("run", S.ZERO_WIDTH, ""))
     runs = runs.join(alternatives(thesaurus, modern_only), "word", "left")
-    per_text = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "run", "word", "choices"))).alias("r"))
+    per_text = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_no", "run", "word", "choices"))).alias("r"))
 
     @F.pandas_udf("text string, replacements array<struct<start:int,end:int,original:string,choices:array<string>,used:string>>, swapped long, swappable long")
     def rewrite(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

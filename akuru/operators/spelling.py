@@ -87,7 +87,7 @@ def rank(words: DataFrame, lexicon: DataFrame, limit: int = 5) -> DataFrame:
 def rerank(occurrences: DataFrame, ranked: DataFrame, bigrams: DataFrame, limit: int = 5) -> DataFrame:
     """Suggestions per occurrence (key columns, word, prev, next): known pairs with the neighbours earn a bonus each."""
     keys = [c for c in occurrences.columns]
-    cand = occurrences.join(ranked.withColumnsRenamed({"query": "word", "word": "cand", "rank": "r0"}), "word")
+    cand = occurrences.join(ranked.select(F.col("query").alias("word"), F.col("word").alias("cand"), F.col("rank").alias("r0"), "cost"), "word")
     left = bigrams.select(F.col("w1").alias("prev"), F.col("w2").alias("cand"), F.lit(1).alias("b1"))
     right = bigrams.select(F.col("w1").alias("cand"), F.col("w2").alias("next"), F.lit(1).alias("b2"))
     cand = cand.join(left, ["prev", "cand"], "left").join(right, ["cand", "next"], "left")
@@ -116,7 +116,7 @@ def context_errors(tokens: DataFrame, lexicon: DataFrame, bigrams: DataFrame, *k
     alone = support(occ.withColumn("x", F.col("word"))).filter("s = 0").drop("s", "x")
     alt = support(alone.join(per_word, "word").withColumn("x", F.col("alt"))).filter(F.col("s") >= evidence)
     w = Window.partitionBy(*keys, "pos").orderBy(F.desc("s"), "i")
-    return alt.withColumn("k", F.row_number().over(w)).filter("k = 1").select(*keys, "pos", "word", "start", "end", "alt")
+    return alt.withColumn("_no", F.row_number().over(w)).filter("_no = 1").select(*keys, "pos", "word", "start", "end", "alt")
 
 
 def check_text(tokens: DataFrame, lexicon: DataFrame, bigrams: DataFrame, *keys: str) -> DataFrame:
