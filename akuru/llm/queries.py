@@ -121,4 +121,30 @@ SELECT page_id, host, path, best.rule AS rule, CASE WHEN best IS NOT NULL THEN b
 FROM (SELECT *, CASE WHEN path = '' THEN host || '/' ELSE host || lower(path) END AS low FROM p) LEFT JOIN m USING (k)"""
 
 
-ORACLES: dict[str, str] = {"op2_quality_rules": _QUALITY, "op4_mixing": _MIXING, "op10_url_filters": _url_sql()}
+def _license_sql() -> str:
+    templates = ", ".join(f"({k}, '{spdx}', '{text.replace(chr(39), chr(39) * 2)}')" for k, (spdx, text) in enumerate(licenses.TEMPLATES))
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), doc_id::VARCHAR) AS path FROM documents),
+e AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM d),
+tpl(no, spdx, text) AS (VALUES {templates}),
+tt AS (SELECT no, spdx, t, count(*) AS tf FROM (SELECT no, spdx, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM tpl) GROUP BY ALL),
+df AS (SELECT t, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS t FROM d) WHERE t IN (SELECT t FROM tt) GROUP BY t),
+c AS (SELECT count(*) AS n FROM d),
+idf AS (SELECT v.t, ln((1 + c.n) / (1 + coalesce(df.n, 0))) + 1 AS idf FROM (SELECT DISTINCT t FROM tt) AS v LEFT JOIN df USING (t), c),
+tw AS (SELECT no, spdx, t, tf * idf AS w FROM tt JOIN idf USING (t)),
+tv AS (SELECT no, spdx, t, w / sqrt(sum(w * w) OVER (PARTITION BY no)) AS w FROM tw),
+s AS (SELECT k, i, unnest(regexp_extract_all(lower(l[i]), '[a-z0-9]+')) AS t FROM (
+    SELECT k, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT k, string_split(regexp_replace(text, '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)) AS l FROM d))),
+sw AS (SELECT k, i, t, count(*) AS tf, count(*) * coalesce(any_value(idf), any_value(ln(1 + c.n) + 1)) AS w FROM s LEFT JOIN idf USING (t), c GROUP BY k, i, t),
+sn AS (SELECT k, i, sqrt(sum(w * w)) AS norm, sum(tf) AS words FROM sw GROUP BY k, i),
+cs AS (SELECT k, i, no, spdx, sum(sw.w * tv.w) AS dot FROM sw JOIN tv USING (t) GROUP BY k, i, no, spdx),
+b AS (SELECT k, i, any_value(words) AS words, max(struct_pack(score := round(dot / norm, 6), spdx := spdx)) AS m FROM cs JOIN sn USING (k, i) GROUP BY k, i),
+own AS (SELECT k, max(m) AS m, sum(words) AS words FROM b WHERE m.score >= {licenses.THRESHOLD} GROUP BY k),
+o AS (SELECT e.*, own.m, 2 * own.words >= e.n AS whole FROM e LEFT JOIN own USING (k)),
+w AS (SELECT dir, max(m) AS m FROM o WHERE whole GROUP BY dir)
+SELECT doc_id, path, coalesce(o.m.spdx, w.m.spdx) AS license, coalesce(o.m.score, w.m.score) AS score,
+    CASE WHEN o.m IS NOT NULL THEN 'own' WHEN w.m IS NOT NULL THEN 'inherited' END AS origin, CASE WHEN o.m IS NULL AND w.m IS NOT NULL THEN o.dir END AS licensed_dir
+FROM o LEFT JOIN w USING (dir)"""
+
+
+ORACLES: dict[str, str] = {"op8_license_scan": _license_sql(), "op2_quality_rules": _QUALITY, "op4_mixing": _MIXING, "op10_url_filters": _url_sql()}
