@@ -134,6 +134,27 @@ sw AS (SELECT *, left(word, i - 1) || translate(substring(word, i, 1), '{''.join
 al AS (SELECT sw.*, coalesce(b3.cnt, 0) + coalesce(c.cnt, 0) AS s FROM sw LEFT JOIN b3 ON b3.w1 = prev AND b3.w2 = alt LEFT JOIN b3 AS c ON c.w1 = alt AND c.w2 = next WHERE alt IN (SELECT word FROM lex)),
 bst AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, pos ORDER BY s DESC, i) AS r FROM al WHERE s >= 8)"""
 
+_GROUPS = ("".join(S.CONFUSION_SETS), "".join(chr(0x41 + k) * len(g) for k, g in enumerate(S.CONFUSION_SETS)))
+_PAIRS = ("".join(S.LENGTH_MAP), "".join(S.LENGTH_MAP.values()))
+
+
+def _replace_cost(x: str, y: str) -> str:
+    """The cost of unit key x of the query for unit key y."""
+    sound = f"CASE WHEN left({x}, 1) = left({y}, 1) THEN 0::DOUBLE WHEN translate(left({x}, 1), '{_GROUPS[0]}', '{_GROUPS[1]}') = translate(left({y}, 1), '{_GROUPS[0]}', '{_GROUPS[1]}') THEN 0.5::DOUBLE ELSE 1::DOUBLE END"
+    sign = f"CASE WHEN right({x}, 1) = right({y}, 1) THEN 0::DOUBLE WHEN translate(right({x}, 1), '{_PAIRS[0]}', '{_PAIRS[1]}') = right({y}, 1) OR right({x}, 1) = '{S.SUKUN}' AND right({y}, 1) = '_' THEN 0.4::DOUBLE ELSE 0.7::DOUBLE END"
+    return f"least({sound} + {sign}, 1.5::DOUBLE)"
+
+
+#: Rows query, word, d for pairs (query, word) of pairs_: one step per unit of the query, over whole table rows.
+DISTANCE = f"""pk AS (SELECT query, word, a, b FROM (SELECT query, word, {S.unit_keys_sql('query')} AS a, {S.unit_keys_sql('word')} AS b FROM pairs_) WHERE abs(len(a) - len(b)) <= 2),
+dp(query, word, a, b, i, p2, p) AS (
+    SELECT query, word, a, b, 0, []::DOUBLE[], list_transform(range(0, len(b) + 1), lambda j: j::DOUBLE) FROM pk
+    UNION ALL
+    SELECT query, word, a, b, i + 1, p, list_reduce(list_transform(range(1, len(b) + 1), lambda j: [j::DOUBLE]), lambda r, x: list_append(r, least(p[x[1]::INT + 1] + 1, r[-1] + 1, p[x[1]::INT] + {_replace_cost('a[i + 1]', 'b[x[1]::INT]')},
+        CASE WHEN i > 0 AND x[1] > 1 AND a[i + 1] = b[x[1]::INT - 1] AND a[i] = b[x[1]::INT] AND a[i + 1] <> b[x[1]::INT] THEN p2[x[1]::INT - 1] + 0.8::DOUBLE ELSE 99::DOUBLE END)), [(i + 1)::DOUBLE])
+    FROM dp WHERE i < len(a) AND list_min(p) <= 2.0),
+ds AS (SELECT query, word, p[-1] AS d FROM dp WHERE i = len(a) AND p[-1] <= 2.0)"""
+
 
 def _clean(text: str) -> str:
     for pattern, new in CLEAN_MARKUP:
@@ -165,6 +186,8 @@ ORACLES: dict[str, str] = {
     "word_status": f"WITH {LEX}, {TALKW}, {STATUS} SELECT word, status, via FROM ws",
     "delete_index": f"WITH {LEX} {_deletes('lex')}",
     "candidates": f"WITH {LEX}, {TALKW}, a AS (SELECT word FROM ku WHERE word NOT IN (SELECT word FROM lex)), x AS ({_deletes('a')}), y AS ({_deletes('lex')}) SELECT DISTINCT x.word AS query, y.word AS word FROM x JOIN y USING (dk)",
+    "suggestions": f"""WITH RECURSIVE {LEX}, {TALKW}, a AS (SELECT word FROM ku WHERE word NOT IN (SELECT word FROM lex)), x AS ({_deletes('a')}), y AS ({_deletes('lex')}), pairs_ AS (SELECT DISTINCT x.word AS query, y.word AS word FROM x JOIN y USING (dk)), {DISTANCE}
+        SELECT query, rank::INT AS rank, word, cost FROM (SELECT query, word, round(d, 3) AS cost, row_number() OVER (PARTITION BY query ORDER BY d, freq DESC, word) AS rank FROM ds JOIN lex USING (word)) WHERE rank <= 5""",
     "context_errors": f'WITH {LEX}, {TALK}, {BI3}, {CONTEXT} SELECT conv_id, turn, pos, word, start, "end", alt FROM bst WHERE r = 1',
     **{f"grammar_{name}": f"WITH {head} {body}" for name, (head, body) in GRAMMAR.items()},
     "grammar_issues": f'WITH {M}, {_TOK}, {_SENT} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", ord, rule)::INT AS no, rule, {_SEV} AS severity, start, "end", replacement FROM ({_ISSUES})',
