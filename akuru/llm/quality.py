@@ -67,8 +67,8 @@ def base_failed(m: Column) -> Column:
 
 
 def soft_failed(m: Column) -> Column:
-    """More than one symbol in ten words, or over three tenths of the lines repeat earlier ones."""
-    return (10 * m.n_symbols > m.n_words) | (10 * m.n_dup_lines > 3 * m.n_lines)
+    """More than one symbol in ten words, or three lines or more that repeat earlier ones and make up over three tenths."""
+    return (10 * m.n_symbols > m.n_words) | ((m.n_dup_lines >= 3) & (10 * m.n_dup_lines > 3 * m.n_lines))
 
 
 def host_verdicts(judged: DataFrame, max_rate: float = 0.5) -> DataFrame:

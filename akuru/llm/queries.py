@@ -85,7 +85,7 @@ m AS (SELECT d.k, doc_id, source, len(w)::BIGINT AS n_words, length(list_aggrega
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
     (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN c USING (k)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines AS soft_failed FROM m),
+    10 * n_symbols > n_words OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines) AS soft_failed FROM m),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR soft_failed) AS failed FROM f GROUP BY source),
 p AS (SELECT avg(failed / n) AS mean, var_pop(failed / n) AS v FROM h),
 s AS (SELECT mean, least(greatest(CASE WHEN v > 1e-12 THEN mean * (1 - mean) / v - 1 ELSE 1e6 END, 1.0), 1e6) AS strength FROM p),

@@ -17,7 +17,7 @@ def plain_quality(rows):
         covered = {i + o for i, g in enumerate(grams) if g in twice for o in range(3)}
         lines = [x for x in (t or "").split("\n") if re.search("[^\x20\x09-\x0d]", x)]
         symbols = sum((t or "").count(c) for c in "#*$%&|<>")
-        bad = len(words) < 50 or 100 * len(covered) > 50 * len(words) or 10 * symbols > len(words) or 10 * (len(lines) - len(set(lines))) > 3 * len(lines)
+        bad = len(words) < 50 or 100 * len(covered) > 50 * len(words) or 10 * symbols > len(words) or (len(lines) - len(set(lines)) >= 3 and 10 * (len(lines) - len(set(lines))) > 3 * len(lines))
         measured.append((d, s, bad))
         by_source.setdefault(s, []).append(bad)
     rates = [sum(b) / len(b) for b in by_source.values()]
