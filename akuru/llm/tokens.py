@@ -17,8 +17,8 @@ from functools import cache
 
 import numpy as np
 
-#: Chunks that one generation of the memo holds; two generations are kept (about 100 MB).
-MEMO = 150_000
+#: Chunks that one generation of the memo holds; two generations are kept (about 150 bytes a chunk).
+MEMO = 250_000
 #: The pre-tokenizer's pattern, in terms of Python's re. Only used for chunks in which both agree.
 _PIECES = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Characters for which re's classes and the pattern's agree: Basic Latin, and the letters of Latin-1 and Latin Extended-A.
@@ -53,6 +53,13 @@ class Encoder:
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.space = self.letters[0x20]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        # no token joins a word to a following word of Latin letters, which starts with one of these bytes
+        starts = "".join(self.letters[b] for b in (*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3, 0xC4, 0xC5))
+        across = re.compile(f"[^{self.space}]{self.space}+([{starts}]|\\Z)")
+        self.apart = not any(across.search(w) for w in vocabulary)
+        self.leads = np.zeros(self.vocabulary, bool)
+        self.leads[[i for w, i in vocabulary.items() if w.startswith(self.space)]] = True
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
@@ -77,15 +84,18 @@ class Encoder:
             return self._word(" " + chunk)
         if m := _LETTERS_MARKS.fullmatch(chunk):
             core, marks = m.groups()
-            end = self.marks.get(marks)
-            if end is None:
-                end = self._word(marks)
-                if len(marks) <= 64:
-                    self.marks[marks] = end
-            return (self.new.get(core) or self.old.get(core) or self._word(" " + core)) + end
+            return (self.new.get(core) or self.old.get(core) or self._word(" " + core)) + self._piece(marks)
         if not _PLAIN.fullmatch(chunk):
             return self.whole(" " + chunk)
-        return b"".join([self.whole(p) if "\n" in p else self._word(p) for p in _PIECES.findall(" " + chunk)])
+        return b"".join([self._piece(p) for p in _PIECES.findall(" " + chunk)])
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.marks.get(piece)
+        if ids is None:
+            ids = self.whole(piece) if "\n" in piece else self._word(piece)
+            if len(piece) <= 64:
+                self.marks[piece] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         if not self.plain or "  " in text:
@@ -98,22 +108,71 @@ class Encoder:
             first = self.whole(head)
             if len(head) <= 64:
                 self.heads[head] = first
+        out = list(map(self.new.get, rest))
+        if None in out and not self._learn(rest, out):
+            return self.whole(text)
+        return first + b"".join(out)
+
+    def _learn(self, chunks: list[str], out: list[bytes | None]) -> bool:
+        """Fill in the ids that out lacks; False if a chunk must not be cut off (see _chunk)."""
+        places, k = [], -1
+        for _ in range(out.count(None)):
+            k = out.index(None, k + 1)
+            places.append(k)
+        if len(self.new) > MEMO:
+            self.old, self.new = self.new, {}
+        if len(self.heads) + len(self.marks) > MEMO:
+            self.heads.clear(), self.marks.clear()
         new, old = self.new, self.old
-        out = list(map(new.get, rest))
-        if None in out:
-            for k, ids in enumerate(out):
-                if ids is None:
-                    chunk = rest[k]
-                    ids = new.get(chunk) or old.get(chunk) or self._chunk(chunk)
+        words, marked, long = [], [], {}
+        for chunk in dict.fromkeys([chunks[k] for k in places]):
+            ids = old.get(chunk)
+            if ids is not None:
+                new[chunk] = ids
+            elif self.apart and len(chunk) <= 64 and _LETTERS.fullmatch(chunk):
+                words.append(chunk)
+            elif self.apart and len(chunk) <= 64 and (m := _LETTERS_MARKS.fullmatch(chunk)):
+                core, marks = m.groups()
+                marked.append((chunk, core, marks))
+                if core not in new:
+                    ids = old.get(core)
                     if ids is None:
-                        return self.whole(text)
-                    if len(chunk) <= 64:
-                        new[chunk] = ids
-                    out[k] = ids
-            if len(new) > MEMO:
-                self.old, self.new = new, {}
-                self.heads.clear(), self.marks.clear()
-        return first + b"".join(out)
+                        words.append(core)
+                    else:
+                        new[core] = ids
+            else:
+                ids = self._chunk(chunk)
+                if ids is None:
+                    return False
+                (new if len(chunk) <= 64 else long)[chunk] = ids
+        if words:
+            self._words(list(dict.fromkeys(words)))
+        for chunk, core, marks in marked:
+            new[chunk] = new[core] + self._piece(marks)
+        for k in places:
+            chunk = chunks[k]
+            ids = new.get(chunk) or long.get(chunk) or old.get(chunk)
+            if ids is None:  # the generations have changed under a chunk met before
+                ids = self._chunk(chunk)
+            out[k] = ids
+        return True
+
+    def _words(self, words: list[str]) -> None:
+        """Remember the ids of words of Latin letters, many in one call.
+
+        No token of the file goes on across a space into such a word (``apart``), so no merge does.
+        """
+        for k in range(0, len(words), 500):
+            some = words[k : k + 500]
+            text = " " + " ".join(some)
+            text = text.replace(" ", self.space) if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+            ids = np.array([t.id for t in self.model.tokenize(text)], dtype=self.dtype)
+            size, raw = self.dtype.itemsize, ids.tobytes()
+            ends = (np.flatnonzero(self.leads[ids])[1:] * size).tolist() + [len(raw)]
+            at = 0
+            for word, end in zip(some, ends, strict=True):
+                self.new[word] = raw[at:end]
+                at = end
 
 
 @cache
