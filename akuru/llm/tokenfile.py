@@ -74,14 +74,14 @@ class Table:
         self.cum = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64) if len(freq) else self.freq
         self.crc = zlib.crc32(self.head())
         self.limit = self.freq << np.uint64(63 - scale_bits)
-        self._slots: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        self._slots: np.ndarray | None = None
 
     @property
-    def slots(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each slot its id, the id's frequency, and the slot's place within the id's range."""
+    def slots(self) -> np.ndarray:
+        """The id of each slot, in the smallest type: look-ups should stay in a processor's cache."""
         if self._slots is None:
-            place = np.arange(int(self.freq.sum()), dtype=np.int64) - np.repeat(self.cum.astype(np.int64), self.freq32)
-            self._slots = np.repeat(np.arange(len(self.freq32), dtype=np.uint32), self.freq32), np.repeat(self.freq32, self.freq32), place.astype(np.uint32)
+            kind = np.uint16 if len(self.freq32) <= 1 << 16 else np.uint32
+            self._slots = np.repeat(np.arange(len(self.freq32), dtype=kind), self.freq32)
         return self._slots
 
     def head(self) -> bytes:
@@ -137,16 +137,18 @@ def decode_ids(count: int, lanes: int, every: int, marks: list[tuple[int, np.nda
     at, state = marks[first][0], marks[first][1].copy()
     bits, mask = np.uint64(table.bits), np.uint64((1 << table.bits) - 1)
     out = np.empty(min(count, end * lanes) - begin * lanes, np.uint32)
-    symbol, freq, rest = table.slots
+    symbol, freq, cum = table.slots, table.freq, table.cum
     words = words.astype(np.uint64)
     for step in range(begin, end):
         n = min(lanes, count - step * lanes)
         x = state[:n]
         slot = (x & mask).view(np.int64)
-        symbol.take(slot, out=out[(step - begin) * lanes :][:n], mode="clip")
+        ids = symbol.take(slot, mode="clip")
+        out[(step - begin) * lanes :][:n] = ids
         x >>= bits
-        x *= freq.take(slot, mode="clip")
-        x += rest.take(slot, mode="clip")
+        x *= freq.take(ids, mode="clip")
+        x += slot.view(np.uint64)
+        x -= cum.take(ids, mode="clip")
         low = np.flatnonzero(x < _LOW)
         if len(low):
             x[low] = (x[low] << _WORD) | words[at : at + len(low)]
@@ -225,7 +227,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2) -> None:
 
     def raw_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of plain ids, with how often each id occurs in the partition on the last one."""
-        code = encoder(tokenizer)
+        code = encoder(tokenizer, 250_000)
         counts, shard, block = np.zeros(max(code.vocabulary, end_id + 1), np.int64), TaskContext.get().partitionId(), 0
         ids: list[bytes] = []
         doc_ids: list[int | None] = []
@@ -255,7 +257,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2) -> None:
             yield close(True)
 
     raw_path = scratch_path(spark, "raw-ids")
-    rows.mapInArrow(raw_blocks, "shard int, block int, width int, doc_ids array<long>, lengths array<long>, ids binary, counts binary").write.option("compression", "zstd").parquet(raw_path)
+    rows.mapInArrow(raw_blocks, "shard int, block int, width int, doc_ids array<long>, lengths array<long>, ids binary, counts binary").write.option("compression", "lz4_raw").parquet(raw_path)
     raw = spark.read.parquet(raw_path)
     table = Table(normalise(_counts(raw)))
     spark.createDataFrame([(bytearray(table.to_bytes()),)], "raw binary").foreach(lambda r: _put(f"{path}/table.akf", bytes(r.raw)))

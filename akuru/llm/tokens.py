@@ -18,7 +18,7 @@ from functools import cache
 import numpy as np
 
 #: Chunks that one generation of the memo holds; two generations are kept (about 150 bytes a chunk).
-MEMO = 250_000
+MEMO = 150_000
 #: The pre-tokenizer's pattern, in terms of Python's re. Only used for chunks in which both agree.
 _PIECES = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Characters for which re's classes and the pattern's agree: Basic Latin, and the letters of Latin-1 and Latin Extended-A.
@@ -37,7 +37,8 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """encode(text) gives the ids of a whole text as little-endian bytes of ``dtype``."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memo: int = MEMO) -> None:
+        self.memo = memo
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -119,9 +120,9 @@ class Encoder:
         for _ in range(out.count(None)):
             k = out.index(None, k + 1)
             places.append(k)
-        if len(self.new) > MEMO:
+        if len(self.new) > self.memo:
             self.old, self.new = self.new, {}
-        if len(self.heads) + len(self.marks) > MEMO:
+        if len(self.heads) + len(self.marks) > self.memo:
             self.heads.clear(), self.marks.clear()
         new, old = self.new, self.old
         words, marked, long = [], [], {}
@@ -176,6 +177,6 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo: int = MEMO) -> Encoder:
     """One encoder per Python process and file."""
-    return Encoder(path)
+    return Encoder(path, memo)
