@@ -11,7 +11,14 @@ MIN_COUNT, MAX_FREQ = 3, 100_000
 
 
 def thaana(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
-    """keys and t, the transliterated text; a null text is empty."""
+    """keys and t, the transliterated text; a null text is empty.
+
+    An input with fewer splits than cores is dealt out first, as the work per character is what takes time.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    df = df.select(*keys, text)
+    if df._jdf.rdd().getNumPartitions() < cores:
+        df = df.repartition(cores)
     return df.select(*keys, S.latin_to_thaana(F.coalesce(F.col(text), F.lit(""))).alias("t"))
 
 
