@@ -25,6 +25,12 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 SEED = 42
+#: Words of a shingle, and their Jaccard similarity, from which on two texts are near copies (see near_links).
+NEAR_N, NEAR = 5, 0.8
+#: Bands of minima, and minima in each: a pair at 0.8 shares no band in 4 of 10,000 cases.
+BANDS, ROWS = 20, 5
+#: Texts of a band key that are compared each with each; in larger groups each is compared with four of them.
+SMALL_GROUP = 8
 #: Bits set in each byte value.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1)
 
@@ -196,6 +202,96 @@ def classes(docs: DataFrame, radius: int = 2, n: int = 3) -> DataFrame:
     return rows.join(known, "fp").select("doc_id", "fp", "component_id", F.col("root").alias("component_root"))
 
 
+def shingle_hashes(text: str | None, n: int = NEAR_N) -> np.ndarray:
+    """The distinct hashes of a text's n-word shingles, words as in fingerprint(); empty without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    shingles = [b" ".join(words)] if 0 < len(words) < n else map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), dtype=np.uint64))
+
+
+def bands(text: Column) -> Column:
+    """A key per band: equal ones mean equal minima of its permuted shingle hashes. Null without words."""
+    rng = np.random.default_rng(SEED)
+    factor, shift = (rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
+    factor |= np.uint64(1)
+
+    def keys(t: str | None) -> np.ndarray | None:
+        hashes = shingle_hashes(t)
+        if not len(hashes):
+            return None
+        least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
+        for k in range(0, len(hashes), 1024):
+            least = np.minimum(least, (hashes[k : k + 1024, None] * factor + shift).min(axis=0))
+        return np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in least.reshape(BANDS, ROWS)], dtype=np.uint64).view(np.int64)
+
+    @F.pandas_udf("array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([keys(t) for t in texts], dtype="object")
+
+    return of(text)
+
+
+def near_links(texts: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Links (a, b) of texts(tid, text), which may repeat, whose shingle sets have a Jaccard similarity of NEAR or more.
+
+    keyed(tid, bands) names the candidates: texts that share a band. In a group of at most
+    SMALL_GROUP every pair is one; in a larger one every text is paired with four that two hashes
+    choose anew in each band, so pairs grow with the texts and not with their square. Every
+    candidate is compared by its whole shingle sets.
+    """
+    rows = materialize(keyed.select("tid", F.posexplode("bands").alias("band", "key")), "bands")
+    ends = [f(F.struct(F.xxhash64("tid", "band", F.lit(k)).alias("h"), "tid")) for k in range(2) for f in (F.min, F.max)]
+    groups = materialize(rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.array(*(e["tid"] for e in ends))).alias("chosen")).filter("n > 1"), "groups")
+    few = rows.join(groups.filter(F.col("n") <= SMALL_GROUP).select("band", "key"), ["band", "key"])
+    each = few.select("band", "key", F.col("tid").alias("a")).join(few.select("band", "key", F.col("tid").alias("b")), ["band", "key"]).filter("a < b").select("a", "b")
+    large = groups.filter(F.col("n") > SMALL_GROUP).select("band", "key", "chosen")
+    large = F.broadcast(large) if large.count() <= 50_000 else large
+    some = rows.join(large, ["band", "key"]).select("tid", F.explode("chosen").alias("c")).filter("tid <> c").select(F.least("tid", "c").alias("a"), F.greatest("tid", "c").alias("b"))
+    pairs = materialize(each.union(some).distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
+    held = materialize(texts.join(wanted, "tid").dropDuplicates(["tid"]), "near-texts")
+
+    @F.pandas_udf("boolean")
+    def near(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            memo: dict[str, np.ndarray] = {}
+            out = []
+            for pair in zip(left, right, strict=True):
+                for t in pair:
+                    if t not in memo:
+                        if len(memo) >= 256:
+                            memo.clear()
+                        memo[t] = shingle_hashes(t)
+                x, y = (memo[t] if t in memo else shingle_hashes(t) for t in pair)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(both >= NEAR * (len(x) + len(y) - both))
+            yield pd.Series(out, dtype="bool")
+
+    both = pairs.join(held.select(F.col("tid").alias("a"), F.col("text").alias("s")), "a").join(held.select(F.col("tid").alias("b"), F.col("text").alias("t")), "b")
+    return both.filter(near("s", "t")).select("a", "b")
+
+
+def keep_first_near(docs: DataFrame, radius: int = 2, n: int = 3) -> DataFrame:
+    """One row of each component of docs, as keep_first(), where near copies (see near_links) link too.
+
+    Texts are known by their 64-bit hash.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("fp").alias("f"), F.sha2(text, 256).alias("t"))
+    rows = docs.select("doc_id", "text", F.xxhash64(text).alias("tid"), fingerprints(F.col("text"), n).alias("fp"), bands(F.col("text")).alias("bands"))
+    narrow = materialize(rows.select("tid", "fp", "bands", order.alias("o")), "fingerprints")
+    texts = materialize(narrow.groupBy("tid").agg(F.min("fp").alias("fp"), F.min("o").alias("o"), F.first("bands").alias("bands")), "texts")
+    firsts = materialize(texts.groupBy("fp").agg(F.min("tid").alias("t")), "distinct")
+    alike = links(firsts.select("fp"), radius)
+    alike = alike.join(firsts.select(F.col("fp").alias("a"), F.col("t").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("t").alias("y")), "b").select("x", "y")
+    same = texts.join(firsts, "fp").filter("tid <> t").select("tid", "t")
+    near = near_links(docs.select(F.xxhash64(text).alias("tid"), text.alias("text")), texts.select("tid", "bands"))
+    roots = components(alike.toDF("a", "b").union(same.toDF("a", "b")).union(near))
+    known = texts.join(roots, texts["tid"] == roots["node"], "left").select(F.coalesce("root", "tid").alias("root"), "o")
+    return _first_rows(docs, known, narrow.select("o"))
+
+
 def keep_first(docs: DataFrame, radius: int = 2, n: int = 3) -> DataFrame:
     """One row of each component of docs, with exactly its own columns: the one with the smallest id.
 
@@ -209,7 +305,12 @@ def keep_first(docs: DataFrame, radius: int = 2, n: int = 3) -> DataFrame:
     distinct = materialize(narrow.groupBy("_s_fp").agg(F.min("o").alias("o")).withColumnRenamed("_s_fp", "fp"), "distinct")
     roots = components(links(distinct.select("fp"), radius))
     known = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "o")
-    repeats = narrow.groupBy("o").agg(F.count(F.lit(1)).alias("n"))
+    return _first_rows(docs, known, narrow.select("o"))
+
+
+def _first_rows(docs: DataFrame, known: DataFrame, orders: DataFrame) -> DataFrame:
+    """Of docs, a row with the smallest o of each root in known(root, o); orders(o) has every row of docs."""
+    repeats = orders.groupBy("o").agg(F.count(F.lit(1)).alias("n"))
     winners = known.groupBy("root").agg(F.min("o").alias("o")).join(repeats, "o")
     winners = materialize(winners.select(F.coalesce(F.col("o.i").cast("string"), F.lit("null")).alias("_s_i"), F.col("o.t").alias("_s_t"), "n"), "winners")
     keyed = docs.withColumn("_s_i", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn("_s_t", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
