@@ -3,7 +3,7 @@
 The library's model does the merges; this module only spares it repeated work. A text is cut
 at single spaces between two non-space characters, where the file's own pre-tokenizer always
 cuts, and the ids of a chunk are remembered. Texts with any other kind of space next to a space
-go to the library whole, as do files of any other make-up.
+go to the library whole, as do texts that hold an added token and files of any other make-up.
 """
 
 from __future__ import annotations
@@ -43,7 +43,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.vocabulary = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=size) + 1
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
@@ -51,6 +50,7 @@ class Encoder:
         made = json.loads(self.tokenizer.to_str())
         pre = made.get("pre_tokenizer") or {}
         self.plain = sys.byteorder == "little" and made.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", False) and not pre.get("add_prefix_space") and made["model"]["type"] == "BPE"
+        self.added = [t["content"] for t in made.get("added_tokens") or ()]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.space = self.letters[0x20]
@@ -99,7 +99,7 @@ class Encoder:
         return ids
 
     def encode(self, text: str) -> bytes:
-        if not self.plain or "  " in text:
+        if not self.plain or "  " in text or any(t in text for t in self.added):
             return self.whole(text) if text else b""
         head, *rest = text.split(" ")
         first = self.heads.get(head)
