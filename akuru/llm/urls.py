@@ -1,8 +1,8 @@
 """URL filtering: rules indexed by their rarest literal token.
 
 Every rule is indexed under the one of its literal tokens that occurs in the fewest URLs of
-the table; a URL's tokens fetch candidate rules, and only candidates run a regular
-expression. The rule set is an input of bounded size (MAX_RULES) that every task holds.
+the table, once for each way to spell it; a URL's tokens fetch candidate rules, and only
+candidates run a regular expression. The rule set is an input of bounded size (MAX_RULES) that every task holds.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,13 +27,15 @@ class Rule:
 
     ``name`` is host/path for path rules and a label for patterns. A pattern is searched in the
     lower-cased ``host/path`` (query and fragment excluded); ``literals`` are whole tokens
-    (letters and digits) without which the pattern cannot match.
+    (letters and digits) without which the pattern cannot match, unless the URL has all tokens of
+    one of its other ``spellings``.
     """
 
     name: str
     verdict: str
     pattern: str = ""
     literals: tuple[str, ...] = ()
+    spellings: tuple[tuple[str, ...], ...] = ()
 
     @property
     def is_path(self) -> bool:
@@ -51,10 +54,16 @@ class Rule:
         host, _, path = self.name.partition("/")
         return tuple(_TOKEN.findall(host.lower() + "/" + re.sub("[A-Za-z0-9]+$", "", path).lower()))
 
+    def alternatives(self) -> tuple[tuple[str, ...], ...]:
+        """Token sets, one of which any URL that the rule fits holds whole."""
+        return (self.tokens(), *self.spellings)
+
 
 def pattern(name: str, tokens: str, verdict: str = "block") -> Rule:
-    """A pattern rule for the given hyphenated words as whole tokens of the host or path."""
-    return Rule(name, verdict, r"(?:^|[^a-z0-9])" + "[-_.]?".join(tokens.split("-")) + r"(?:$|[^a-z0-9])", tuple(tokens.split("-")))
+    """A pattern rule for the given hyphenated words, apart or joined, as whole tokens of the host or path."""
+    words = tokens.split("-")
+    spelt = [tuple("".join(w + s for w, s in zip(words, (*cut, ""), strict=True)).split("-")) for cut in product(("-", ""), repeat=len(words) - 1)]
+    return Rule(name, verdict, r"(?:^|[^a-z0-9])" + "[-_.]?".join(words) + r"(?:$|[^a-z0-9])", spelt[0], tuple(spelt[1:]))
 
 
 #: The contract's host and path rules.
@@ -84,8 +93,9 @@ def index(rules: tuple[Rule, ...], counts: dict[str, int]) -> dict[str, list[tup
     """Rarest token to (position, compiled rule). Rules without a token are under the empty one."""
     out: dict[str, list[tuple[int, re.Pattern]]] = {}
     for k, rule in enumerate(rules):
-        rarest = min(rule.tokens(), key=lambda t: (counts.get(t, 0), -len(t), t), default="")
-        out.setdefault(rarest, []).append((k, re.compile(rule.expression(), re.DOTALL)))
+        rarest = {min(tokens, key=lambda t: (counts.get(t, 0), -len(t), t), default="") for tokens in rule.alternatives()}
+        for token in sorted(rarest):
+            out.setdefault(token, []).append((k, re.compile(rule.expression(), re.DOTALL)))
     return out
 
 
@@ -123,7 +133,7 @@ def judge(pages: DataFrame, path_rules: tuple[Rule, ...] = PATH_RULES, pattern_r
         raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} fit in a task")
     host, path = split_url(F.col(url))
     urls = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
-    counts = token_counts(urls, sorted({t for r in rules for t in r.tokens()}))
+    counts = token_counts(urls, sorted({t for r in rules for a in r.alternatives() for t in a}))
     by_token = index(rules, counts)
 
     @F.pandas_udf("rule string, verdict string, pattern string")
