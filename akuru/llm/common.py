@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 #: White space that separates words, as a Java regular expression class body.
 SPACE = r"\x20\x09-\x0D"
 _local: list[str] = []
+#: Paths written within each open temporary() block.
+_open: list[list[str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -40,9 +44,28 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._akuru_path = path
+    if _open:
+        _open[-1].append(path)
     return out
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete what materialize() writes within the block, but for the frames given to the function it yields."""
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._akuru_path)
+        return df
+
+    _open.append([])
+    try:
+        yield keep
+    finally:
+        for path in set(_open.pop()) - kept:
+            delete(spark, path)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete what materialize() wrote, for frames that nothing reads any more."""
     for df in frames:

@@ -1,9 +1,11 @@
 """Quality rules with host-level verdicts, in built-in functions only.
 
-Every document is measured in its own row (nothing is exploded), the rule failures are
+Every document is measured in its own row (nothing is exploded), the failures of each rule are
 counted per host with map-side combination, the failure rates are shrunk towards an empirical
-beta prior, and the host verdicts are joined back. Repeated three-word windows are found
-through their 64-bit hashes within one document.
+beta prior per rule, and the host verdicts are joined back: a host that fails a rule far more
+often than hosts do loses all its documents, and on one that hardly ever fails a rule a
+document's lone failure of it is forgiven. Repeated three-word windows are found through their
+64-bit hashes within one document.
 """
 
 from __future__ import annotations
@@ -61,74 +63,95 @@ def measure(text: str = "text") -> Column:
     return let(by_word, lambda w: let(by_line, lambda x: F.struct(*(values[k](w, x).cast("long").alias(k) for k in METRICS))))
 
 
-def base_failed(m: Column) -> Column:
-    """Fewer than 50 words, or more than half of them in repeated three-word windows."""
-    return (m.n_words < 50) | (100 * m.n_repeat_words > 50 * m.n_words)
+#: Rules, and the bit of each in a document's failures. The first two are the base rules.
+RULES = ("short", "repeats", "symbols", "lines")
+SOFT = ("symbols", "lines")
+#: A host is rejected if its shrunk rate of a rule is above MAX_RATE and above BEYOND times the hosts' mean.
+MAX_RATE, BEYOND = 0.3, 2.0
+#: A host is trusted with a soft rule if its shrunk rate is below this share of the hosts' mean.
+TRUST = 0.5
 
 
-def soft_failed(m: Column) -> Column:
-    """More than one symbol in ten words, or three lines or more that repeat earlier ones and make up over three tenths."""
-    return (10 * m.n_symbols > m.n_words) | ((m.n_dup_lines >= 3) & (10 * m.n_dup_lines > 3 * m.n_lines))
+def failures(m: Column) -> Column:
+    """The rules a document fails, as bits: fewer than 50 words; more than half of the words in repeated
+    windows; more than one symbol in ten words; three lines or more that repeat earlier ones and
+    make up over three tenths.
+    """
+    failed = (m.n_words < 50, 100 * m.n_repeat_words > 50 * m.n_words, 10 * m.n_symbols > m.n_words, (m.n_dup_lines >= 3) & (10 * m.n_dup_lines > 3 * m.n_lines))
+    bits = [F.when(x, 1 << k).otherwise(0) for k, x in enumerate(failed)]
+    return sum(bits[1:], bits[0])
+
+
+def fails(rule: str, bits: str = "fails") -> Column:
+    return F.col(bits).bitwiseAND(F.lit(1 << RULES.index(rule))) != 0
 
 
-def host_verdicts(judged: DataFrame, max_rate: float = 0.5) -> DataFrame:
-    """From rows (host, failed), one row per host: host_null, host_name, n, failed, rate (shrunk), host_ok.
+def host_verdicts(judged: DataFrame) -> DataFrame:
+    """From rows (host, fails), one row per host: host_null, host_name, n, and per rule the failures f_<rule>
+    and the shrunk rate r_<rule>; host_ok, and trust_<rule> for the soft rules.
 
-    The prior's mean and strength come from the hosts' own rates by moments; a host's rate is
-    (failed + strength * mean) / (n + strength). Without any spread between hosts the strength
-    is its largest value, so that every host gets the mean. An empty table gives no rows. A null
-    host is a host of its own.
+    A rule's prior has the mean of the hosts' rates and, by moments, the strength that their
+    spread beyond sampling leaves; without any such spread the strength is its largest value, so that every
+    host gets the mean. A host's rate is (failed + strength * mean) / (n + strength). An empty
+    table gives no rows. A null host is a host of its own.
     """
     hosts = (
         judged.groupBy(F.col("host").isNull().alias("host_null"), F.coalesce(F.col("host").cast("string"), F.lit("")).alias("host_name"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("failed"))
+        .agg(F.count(F.lit(1)).alias("n"), *(F.sum(fails(r).cast("long")).alias(f"f_{r}") for r in RULES))
     )
     hosts = materialize(hosts, "quality-hosts")
-    rate = F.col("failed") / F.col("n")
-    moments = hosts.agg(F.avg(rate).alias("m"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("v")).first()
-    mean = moments["m"] or 0.0
-    strength = mean * (1 - mean) / moments["v"] - 1 if moments["v"] > 1e-12 else 1e6
-    strength = min(max(strength, 1.0), 1e6)
-    hosts = hosts.withColumn("rate", (F.col("failed") + F.lit(strength * mean)) / (F.col("n") + F.lit(strength)))
-    return hosts.withColumn("host_ok", F.col("rate") <= max_rate)
-
-
-def with_host(rows: DataFrame, hosts: DataFrame, host: str) -> DataFrame:
-    """Add _q_ok, the host's verdict, to rows.
+    means = hosts.agg(*(F.avg(F.col(f"f_{r}") / F.col("n")).alias(r) for r in RULES)).first()
+    mean = {r: means[r] or 0.0 for r in RULES}
+    spread = {r: F.var_pop(F.col(f"f_{r}") / F.col("n")) - F.avg(F.lit(mean[r] * (1 - mean[r])) / F.col("n")) for r in RULES}
+    spreads = hosts.agg(*(F.coalesce(v, F.lit(0.0)).alias(r) for r, v in spread.items())).first()
+    bad, trust = F.lit(False), []
+    for r in RULES:
+        strength = min(max(mean[r] * (1 - mean[r]) / spreads[r] - 1, 1.0), 1e6) if spreads[r] > 1e-12 else 1e6
+        hosts = hosts.withColumn(f"r_{r}", F.round((F.col(f"f_{r}") + F.lit(strength * mean[r])) / (F.col("n") + F.lit(strength)), 9))
+        bad = bad | ((F.col(f"r_{r}") > MAX_RATE) & (F.col(f"r_{r}") > BEYOND * mean[r]))
+        if r in SOFT:
+            trust.append((F.col(f"r_{r}") < TRUST * mean[r]).alias(f"trust_{r}"))
+    return hosts.select("*", (~bad).alias("host_ok"), *trust)
+
+
+def with_verdict(rows: DataFrame, hosts: DataFrame, host: str, bits: str) -> DataFrame:
+    """Add _q_kept to rows: whether the document passes the base rules, its host's verdict, and each soft
+    rule that its host isn't trusted with; who fails every soft rule is trusted with none.
 
     Up to BROADCAST_HOSTS hosts are broadcast. More are joined by a shuffle, in which each row
     goes to one of 64 salts of its host, so no host gathers in a task.
     """
     keyed = rows.withColumn("_q_null", F.col(host).isNull()).withColumn("_q_name", F.coalesce(F.col(host).cast("string"), F.lit("")))
-    side, on = hosts.select(F.col("host_null").alias("_q_null"), F.col("host_name").alias("_q_name"), F.col("host_ok").alias("_q_ok")), ["_q_null", "_q_name"]
+    side, on = hosts.select(F.col("host_null").alias("_q_null"), F.col("host_name").alias("_q_name"), F.col("host_ok").alias("_q_ok"), *(F.col(f"trust_{r}").alias(f"_q_{r}") for r in SOFT)), ["_q_null", "_q_name"]
     if hosts.count() <= BROADCAST_HOSTS:
         side = F.broadcast(side)
     else:
         keyed = keyed.withColumn("_q_salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int"))
         side, on = side.withColumn("_q_salt", F.explode(F.sequence(F.lit(0), F.lit(63)))), [*on, "_q_salt"]
-    return keyed.join(side, on, "left").drop(*on)
+    failed = F.lit(True)
+    for r in SOFT:
+        failed = failed & fails(r, bits)
+    for r in RULES:
+        failed = failed | (fails(r, bits) & (~F.coalesce(f"_q_{r}", F.lit(False)) if r in SOFT else F.lit(True)))
+    return keyed.join(side, on, "left").withColumn("_q_kept", ~failed & F.coalesce("_q_ok", F.lit(True))).drop(*on, "_q_ok", *(f"_q_{r}" for r in SOFT))
 
 
-def score(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept of each row.
 
-    A document is kept if it passes the base rules and the soft rules, and its host's shrunk
-    failure rate is within bounds. Rows with equal or null ids are judged one by one; other
-    columns are left out.
+    Rows with equal or null ids are judged one by one; other columns are left out.
     """
-    rows = materialize(docs.select("doc_id", F.col(host).alias("host"), measure().alias("m")).select("doc_id", "host", "m.*"), "quality-metrics")
-    m = F.struct(*METRICS)
-    rows = rows.withColumn("base_failed", base_failed(m)).withColumn("failed", base_failed(m) | soft_failed(m))
-    out = with_host(rows, host_verdicts(rows.select("host", "failed"), max_rate), "host")
-    return out.select("doc_id", "host", *METRICS[:5], "base_failed", (~F.col("failed") & F.coalesce("_q_ok", F.lit(True))).alias("kept"))
+    rows = materialize(docs.select("doc_id", F.col(host).alias("host"), let(measure(), lambda m: F.struct(m.alias("m"), failures(m).alias("fails"))).alias("q")).select("doc_id", "host", "q.m.*", "q.fails"), "quality-metrics")
+    out = with_verdict(rows, host_verdicts(rows.select("host", "fails")), "host", "fails")
+    return out.select("doc_id", "host", *METRICS[:5], (fails("short") | fails("repeats")).alias("base_failed"), F.col("_q_kept").alias("kept"))
 
 
-def keep(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
+def keep(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows of docs that score() keeps, with exactly their own columns.
 
-    The metrics are worked out twice, once for the hosts and once for the documents: that reads
-    the texts again but moves none of them.
+    Every text is measured once: the rows are written with their failures, from which the hosts
+    are counted, and read again to be filtered.
     """
-    failed = let(measure(), lambda m: base_failed(m) | soft_failed(m))
-    hosts = host_verdicts(docs.select(F.col(host).alias("host"), failed.alias("failed")), max_rate)
-    return with_host(docs.filter(~failed), hosts, host).filter(F.coalesce("_q_ok", F.lit(True))).select(*docs.columns)
+    rows = materialize(docs.withColumn("_q_fails", let(measure(), failures)), "quality-rows")
+    hosts = host_verdicts(rows.select(F.col(host).alias("host"), F.col("_q_fails").alias("fails")))
+    return with_verdict(rows, hosts, host, "_q_fails").filter("_q_kept").select(*docs.columns)

@@ -84,13 +84,16 @@ c AS (SELECT k, count(DISTINCT i + o) AS n FROM r, range(3) AS t(o) GROUP BY k),
 m AS (SELECT d.k, doc_id, source, len(w)::BIGINT AS n_words, length(list_aggregate(w, 'string_agg', ''))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
     (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN c USING (k)),
-f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    10 * n_symbols > n_words OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines) AS soft_failed FROM m),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR soft_failed) AS failed FROM f GROUP BY source),
-p AS (SELECT avg(failed / n) AS mean, var_pop(failed / n) AS v FROM h),
-s AS (SELECT mean, least(greatest(CASE WHEN v > 1e-12 THEN mean * (1 - mean) / v - 1 ELSE 1e6 END, 1.0), 1e6) AS strength FROM p),
-o AS (SELECT source, (failed + strength * mean) / (n + strength) <= 0.5 AS ok FROM h, s)
-SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT soft_failed AND ok AS kept
+f AS (SELECT *, n_words < 50 AS short, 100 * n_repeat_words > 50 * n_words AS repeats, 10 * n_symbols > n_words AS symbols, n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines AS lines FROM m),
+g4 AS (SELECT k, source, unnest(['short', 'repeats', 'symbols', 'lines']) AS rule, unnest([short, repeats, symbols, lines]) AS failed FROM f),
+h AS (SELECT source, rule, count(*) AS n, count(*) FILTER (failed) AS failed FROM g4 GROUP BY source, rule),
+p AS (SELECT rule, avg(failed / n) AS mean FROM h GROUP BY rule),
+v AS (SELECT rule, any_value(mean) AS mean, var_pop(failed / n) - avg(mean * (1 - mean) / n) AS v FROM h JOIN p USING (rule) GROUP BY rule),
+s AS (SELECT rule, mean, CASE WHEN v > 1e-12 THEN least(greatest(mean * (1 - mean) / v - 1, 1.0), 1e6) ELSE 1e6 END AS strength FROM v),
+q AS (SELECT source, rule, mean, round((failed + strength * mean) / (n + strength), 9) AS rate FROM h JOIN s USING (rule)),
+o AS (SELECT source, bool_or(rate > 0.3 AND rate > 2 * mean) AS bad, bool_or(rule = 'symbols' AND rate < 0.5 * mean) AS fine_symbols, bool_or(rule = 'lines' AND rate < 0.5 * mean) AS fine_lines FROM q GROUP BY source)
+SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed,
+    NOT (short OR repeats OR bad OR (symbols AND lines) OR (symbols AND NOT fine_symbols) OR (lines AND NOT fine_lines)) AS kept
 FROM f JOIN o ON f.source IS NOT DISTINCT FROM o.source"""
 
 _MIXING = rf"""

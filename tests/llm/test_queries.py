@@ -26,6 +26,39 @@ def test_edge_rows_of_quality_and_mixing(spark, rows):
         assert mixing.repeat(docs).count() == sum(r.copies for r in mixing.mix(docs).collect())
 
 
+def prose(k):
+    return " ".join(f"w{k}x{i}" for i in range(60))
+
+
+def test_host_verdicts_decide(spark, tmp_path):
+    """A host full of symbols loses its clean documents too; on a host with hardly any, a lone failure is forgiven."""
+    noise = prose(0) + " #" * 20
+    rows = []
+    for h in range(12):
+        for k in range(200):
+            bad = k < 120 if h == 0 else k < 1 if h == 1 else k < 20
+            rows.append((len(rows), noise if bad else prose(k), "en", f"h{h}", 0))
+    rows.append((len(rows), noise + "\n" + "same line\n" * 90 + "#" * 400, "en", "h1", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    same(spark, str(tmp_path), queries.op2_quality_rules, queries.ORACLES["op2_quality_rules"])
+    kept = {r.doc_id for r in quality.score(docs).collect() if r.kept}
+    assert not kept & set(range(200))  # 80 documents pass every rule of their own, their host doesn't
+    assert {200, 201} <= kept and len(rows) - 1 not in kept
+    assert 400 not in kept and set(range(420, 600)) <= kept
+    assert sorted(r.doc_id for r in quality.keep(docs).collect()) == sorted(kept)
+
+
+def test_temporary_deletes_what_it_is_not_told_to_keep(spark):
+    import os
+
+    from akuru.llm.common import materialize, temporary
+
+    with temporary(spark) as keep:
+        a, b = materialize(spark.range(3), "a"), keep(materialize(spark.range(4), "b"))
+    assert b.count() == 4 and not os.path.exists(a._akuru_path.removeprefix("file://")) and os.path.exists(b._akuru_path.removeprefix("file://"))
+
+
 def test_water_filling_stops_at_the_caps(spark):
     sizes = spark.createDataFrame([(False, "a", 10), (False, "b", 1000), (False, "c", 500), (True, "", 0)], "src_null boolean, src string, source_size long")
     got = {r.src: r for r in mixing.targets(sizes).collect()}
