@@ -5,34 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.script import SUKUN
-
-# The case tails, and the endings that each class of stem takes.
-U_TAILS = ["ގައި", "ގެ", "ން"]
-VOWEL_TAILS = ["ަށް", "ެއް", "ަކީ", "ަކަށް", "ަކުން", "ަކު", "ާ", "ާއި"]
-PLURAL_TAILS = ["ތައް", "ތަކުގެ", "ތަކުގައި", "ތަކަށް", "ތަކުން", "ތަކެއް", "ތަކަކީ", "ތަކަކަށް"]
-VERB_TAILS = ["ަނީ", "ަން", "ި", "ީ", "ާ", "ާނެ", "ާނީ", "ޭ", "ަމުން", "ެވޭ", "ެވުނު", "ެވުން", "ުވުން", "ާތީ", "ިއްޖެ"]
-VERB_ENDING = "ުން"
-LONG_VOWELS = ["ާ", "ީ", "ޫ", "ޭ", "ޯ"]
-LONG_VOWEL_TAILS = ["ގެ", "ގައި", "އަށް", "އެއް", "އިން"]
-#: Stem ending, what the u series adds to it, what the vowel series adds to it.
-OBLIQUE = [(SUKUN, "ު", ""), ("ސް", "ހު", "ހ"), ("ން", "މު", "މ"), ("ު", "ު", "")]
-OTHER = [("ި", ["ީގައި", "ީގެ", "ިން", "ީން"]), ("ަ", ["ައިގެ", "ައިގައި", "ައިން", *("ައ" + t for t in VOWEL_TAILS[:6])]), ("ެ", ["ޭގެ", "ޭގައި", "ެއަށް", "ެއެއް", "ެއިން", "ެއަކީ"])]
-EVE_RULES = [("", "އެވެ"), (SUKUN, "ެވެ"), ("އި", "އެވެ")]
-
-
-def rule_table() -> list[tuple[str, int, str, str]]:
-    """(kind, number, ending to remove, ending to append); kinds are nominal, verb and eve."""
-    nominal = [(end, u + t) for end, u, _ in OBLIQUE for t in U_TAILS] + [(end, v + t) for end, _, v in OBLIQUE for t in VOWEL_TAILS]
-    order = {end: k for k, (end, _, _) in enumerate(OBLIQUE)}
-    nominal.sort(key=lambda r: order[r[0]])  # stable: the u series first within a class
-    nominal += [(end, t) for end, tails in OTHER for t in tails]
-    nominal += [(v, v + t) for v in LONG_VOWELS for t in LONG_VOWEL_TAILS] + [("", t) for t in PLURAL_TAILS]
-    kinds = {"nominal": nominal, "verb": [(VERB_ENDING, t) for t in VERB_TAILS], "eve": EVE_RULES}
-    return [(kind, k, a, b) for kind, rules in kinds.items() for k, (a, b) in enumerate(rules)]
-
-
-RULES = rule_table()
+# Kind, number, ending that is removed, ending that is appended.
+RULES = [
+    ("nominal", 0, "ް", "ުގައި"), ("nominal", 1, "ް", "ުގެ"), ("nominal", 2, "ް", "ުން"), ("nominal", 3, "ް", "ަށް"),
+    ("nominal", 4, "ް", "ެއް"), ("nominal", 5, "ް", "ަކީ"), ("nominal", 6, "ް", "ަކަށް"), ("nominal", 7, "ް", "ަކުން"),
+    ("nominal", 8, "ް", "ަކު"), ("nominal", 9, "ް", "ާ"), ("nominal", 10, "ް", "ާއި"), ("nominal", 11, "ސް", "ހުގައި"),
+    ("nominal", 12, "ސް", "ހުގެ"), ("nominal", 13, "ސް", "ހުން"), ("nominal", 14, "ސް", "ހަށް"), ("nominal", 15, "ސް", "ހެއް"),
+    ("nominal", 16, "ސް", "ހަކީ"), ("nominal", 17, "ސް", "ހަކަށް"), ("nominal", 18, "ސް", "ހަކުން"), ("nominal", 19, "ސް", "ހަކު"),
+    ("nominal", 20, "ސް", "ހާ"), ("nominal", 21, "ސް", "ހާއި"), ("nominal", 22, "ން", "މުގައި"), ("nominal", 23, "ން", "މުގެ"),
+    ("nominal", 24, "ން", "މުން"), ("nominal", 25, "ން", "މަށް"), ("nominal", 26, "ން", "މެއް"), ("nominal", 27, "ން", "މަކީ"),
+    ("nominal", 28, "ން", "މަކަށް"), ("nominal", 29, "ން", "މަކުން"), ("nominal", 30, "ން", "މަކު"), ("nominal", 31, "ން", "މާ"),
+    ("nominal", 32, "ން", "މާއި"), ("nominal", 33, "ު", "ުގައި"), ("nominal", 34, "ު", "ުގެ"), ("nominal", 35, "ު", "ުން"),
+    ("nominal", 36, "ު", "ަށް"), ("nominal", 37, "ު", "ެއް"), ("nominal", 38, "ު", "ަކީ"), ("nominal", 39, "ު", "ަކަށް"),
+    ("nominal", 40, "ު", "ަކުން"), ("nominal", 41, "ު", "ަކު"), ("nominal", 42, "ު", "ާ"), ("nominal", 43, "ު", "ާއި"),
+    ("nominal", 44, "ި", "ީގައި"), ("nominal", 45, "ި", "ީގެ"), ("nominal", 46, "ި", "ިން"), ("nominal", 47, "ި", "ީން"),
+    ("nominal", 48, "ަ", "ައިގެ"), ("nominal", 49, "ަ", "ައިގައި"), ("nominal", 50, "ަ", "ައިން"), ("nominal", 51, "ަ", "ައަށް"),
+    ("nominal", 52, "ަ", "ައެއް"), ("nominal", 53, "ަ", "ައަކީ"), ("nominal", 54, "ަ", "ައަކަށް"), ("nominal", 55, "ަ", "ައަކުން"),
+    ("nominal", 56, "ަ", "ައަކު"), ("nominal", 57, "ެ", "ޭގެ"), ("nominal", 58, "ެ", "ޭގައި"), ("nominal", 59, "ެ", "ެއަށް"),
+    ("nominal", 60, "ެ", "ެއެއް"), ("nominal", 61, "ެ", "ެއިން"), ("nominal", 62, "ެ", "ެއަކީ"), ("nominal", 63, "ާ", "ާގެ"),
+    ("nominal", 64, "ާ", "ާގައި"), ("nominal", 65, "ާ", "ާއަށް"), ("nominal", 66, "ާ", "ާއެއް"), ("nominal", 67, "ާ", "ާއިން"),
+    ("nominal", 68, "ީ", "ީގެ"), ("nominal", 69, "ީ", "ީގައި"), ("nominal", 70, "ީ", "ީއަށް"), ("nominal", 71, "ީ", "ީއެއް"),
+    ("nominal", 72, "ީ", "ީއިން"), ("nominal", 73, "ޫ", "ޫގެ"), ("nominal", 74, "ޫ", "ޫގައި"), ("nominal", 75, "ޫ", "ޫއަށް"),
+    ("nominal", 76, "ޫ", "ޫއެއް"), ("nominal", 77, "ޫ", "ޫއިން"), ("nominal", 78, "ޭ", "ޭގެ"), ("nominal", 79, "ޭ", "ޭގައި"),
+    ("nominal", 80, "ޭ", "ޭއަށް"), ("nominal", 81, "ޭ", "ޭއެއް"), ("nominal", 82, "ޭ", "ޭއިން"), ("nominal", 83, "ޯ", "ޯގެ"),
+    ("nominal", 84, "ޯ", "ޯގައި"), ("nominal", 85, "ޯ", "ޯއަށް"), ("nominal", 86, "ޯ", "ޯއެއް"), ("nominal", 87, "ޯ", "ޯއިން"),
+    ("nominal", 88, "", "ތައް"), ("nominal", 89, "", "ތަކުގެ"), ("nominal", 90, "", "ތަކުގައި"), ("nominal", 91, "", "ތަކަށް"),
+    ("nominal", 92, "", "ތަކުން"), ("nominal", 93, "", "ތަކެއް"), ("nominal", 94, "", "ތަކަކީ"), ("nominal", 95, "", "ތަކަކަށް"),
+    ("verb", 0, "ުން", "ަނީ"), ("verb", 1, "ުން", "ަން"), ("verb", 2, "ުން", "ި"), ("verb", 3, "ުން", "ީ"),
+    ("verb", 4, "ުން", "ާ"), ("verb", 5, "ުން", "ާނެ"), ("verb", 6, "ުން", "ާނީ"), ("verb", 7, "ުން", "ޭ"),
+    ("verb", 8, "ުން", "ަމުން"), ("verb", 9, "ުން", "ެވޭ"), ("verb", 10, "ުން", "ެވުނު"), ("verb", 11, "ުން", "ެވުން"),
+    ("verb", 12, "ުން", "ުވުން"), ("verb", 13, "ުން", "ާތީ"), ("verb", 14, "ުން", "ިއްޖެ"), ("eve", 0, "", "އެވެ"),
+    ("eve", 1, "ް", "ެވެ"), ("eve", 2, "އި", "އެވެ"),
+]
 LONGEST = max(len(r[3]) for r in RULES)
 
 
