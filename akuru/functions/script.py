@@ -45,6 +45,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 _C = {c: chr(0xE000 + k) for k, c in enumerate(dict.fromkeys([*DIGRAPHS.values(), *SINGLES.values()]))}
 _V = {v: chr(0xE040 + k) for k, v in enumerate(VOWELS)}
+_WORKING = "\uE000-\uE0FF"
 _OPEN, _KS, _BARE, _L, _R = "\uE080", "\uE0F0", "\uE0F1", "\uE0F2", "\uE0F3"
 
 
@@ -65,7 +66,17 @@ def _translit_steps() -> list[tuple[str, str, str]]:
 
 
 def latin_to_thaana(text: Column) -> Column:
-    """Latin letters to Thaana; a consonant without a vowel gets sukun, a vowel without a consonant rides on alifu."""
+    """Latin letters to Thaana; a consonant without a vowel gets sukun, a vowel without a consonant rides on alifu.
+
+    Anything else is copied. The chain's working symbols are copied too: a text that holds them
+    is cut at them, which changes no letter, as they end a syllable like any other mark.
+    """
+    runs = F.regexp_extract_all(text, F.lit(f"[{_WORKING}]+|[^{_WORKING}]+"), F.lit(0))
+    apart = F.array_join(F.transform(runs, lambda r: F.when(r.rlike(f"^[{_WORKING}]"), r).otherwise(_chain(r))), "")
+    return F.when(text.rlike(f"[{_WORKING}]"), apart).otherwise(_chain(text))
+
+
+def _chain(text: Column) -> Column:
     for kind, a, b in _translit_steps():
         text = F.translate(text, a, b) if kind == "chars" else F.replace(text, F.lit(a), F.lit(b)) if kind == "text" else F.regexp_replace(text, a, b.replace("\\1", "$1"))
     return text
@@ -98,6 +109,43 @@ def thaana_to_latin_sql(text: str) -> str:
 # --- tokens -------------------------------------------------------------------------------
 
 
+def running(lengths: Column, block: int = 256) -> Column:
+    """Running sums of an array of ints. They are built in blocks, so that the work grows with the array's size."""
+    nothing = F.array().cast("array<int>")
+    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0))
+    sums = lambda a: F.aggregate(a, nothing, lambda acc, v: F.concat(acc, F.array(last(acc) + v)))
+
+    def join(parts: Column) -> Column:
+        bases = sums(F.transform(parts, last))
+        return let(bases, lambda b: F.flatten(F.transform(parts, lambda x, k: F.transform(x, lambda v: v + F.coalesce(F.get(b, k - 1), F.lit(0))))))
+
+    def of(a: Column) -> Column:
+        cuts = F.sequence(F.lit(0), F.floor((F.size(a) + (block - 1)) / block).cast("int"))
+        return let(F.transform(cuts, lambda k: sums(F.slice(a, k * block + 1, block))), join)
+
+    return let(lengths, of)
+
+
+def found(text: Column, pattern: str) -> Column:
+    """array of struct(m, start, end): a pattern's matches with their offsets in code points, worked out within the row."""
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap"))
+
+    def of(b: Column) -> Column:
+        ends = running(F.transform(b.m, lambda m, i: F.length(m) + F.length(F.get(b.gap, i))))
+        return let(ends, lambda e: F.transform(b.m, lambda m, i: F.struct(m.alias("m"), (F.get(e, i) - F.length(m)).alias("start"), F.get(e, i).alias("end"))))
+
+    return let(both, of)
+
+
+RUN = f"[{THAANA}{ZERO_WIDTH}]+"
+
+
+def located_words(text: Column) -> Column:
+    """array of struct(word, start, end): words() with their offsets, which count zero-width joiners."""
+    of = F.transform(found(text, RUN), lambda x: F.struct(F.translate(x.m, ZERO_WIDTH, "").alias("word"), x.start.alias("start"), x.end.alias("end")))
+    return F.filter(of, lambda x: x.word != "")
+
+
 def segments(text: Column) -> Column:
     """The text cut into runs of Thaana (with zero-width joiners) and runs of anything else."""
     return F.regexp_extract_all(text, F.lit(f"[{THAANA}{ZERO_WIDTH}]+|[^{THAANA}{ZERO_WIDTH}]+"), F.lit(0))
@@ -168,6 +216,10 @@ def structure_errors_sql(word: str) -> str:
     return f"(SELECT list_filter({each}, lambda e: e.code IS NOT NULL) FROM (SELECT {c} AS c))"
 
 
+#: What a structure error says, by code.
+STRUCTURE_MESSAGE = {"missing-fili": "consonant without a vowel sign or sukun", "orphan-fili": "vowel sign without a consonant", "non-thaana": "character outside the script"}
+
+
 def is_well_formed(word: Column) -> Column:
     return F.size(structure_errors(word)) == 0
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import script as S
@@ -22,16 +22,16 @@ def thaana(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     return df.select(*keys, S.latin_to_thaana(F.coalesce(F.col(text), F.lit(""))).alias("t"))
 
 
-def tokens(df: DataFrame, *keys: str) -> DataFrame:
-    """A row per word of t: keys, pos (from 0), word, start and end in code points.
+def tokens(df: DataFrame, *keys: str, neighbours: bool = False) -> DataFrame:
+    """A row per word of t: keys, pos (from 0), word, start and end in code points; on request prev and next, the words around.
 
-    Offsets count zero-width joiners, words leave them out. Rows with equal keys count as one text's.
+    All is worked out within the text's own row, so nothing is shuffled and texts with equal keys
+    stay apart. Offsets count zero-width joiners, words leave them out.
     """
-    runs = df.select(*keys, F.posexplode(S.segments(F.col("t"))).alias("_no", "run"))
-    w = Window.partitionBy(*keys).orderBy("_no")
-    runs = runs.withColumn("end", F.sum(F.length("run")).over(w).cast("int")).withColumn("start", (F.col("end") - F.length("run")).cast("int"))
-    runs = runs.withColumn("word", F.translate("run", S.ZERO_WIDTH, "")).filter(F.col("run").rlike(f"^[{S.THAANA}{S.ZERO_WIDTH}]") & (F.col("word") != ""))
-    return runs.select(*keys, (F.row_number().over(w) - 1).alias("pos"), "word", "start", "end")
+    each = S.located_words(F.col("t"))
+    if neighbours:
+        each = S.let(each, lambda a: F.transform(a, lambda x, i: F.struct(x.word.alias("word"), x.start.alias("start"), x.end.alias("end"), F.get(a, i - 1).word.alias("prev"), F.get(a, i + 1).word.alias("next"))))
+    return df.select(*keys, F.posexplode(each).alias("pos", "x")).select(*keys, "pos", "x.*")
 
 
 def unigrams(df: DataFrame) -> DataFrame:

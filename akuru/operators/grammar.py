@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import script as S
-from .corpus import tokens
 
 # The particle, the marks, and the formal endings with their informal forms, in order.
 EVE, EVE_ENDING = "އެވެ", "ެވެ"
@@ -15,7 +16,13 @@ PUNCTUATION = ".،؛؟!"
 INFORMAL = [("ީމެވެ", "ީ"), ("ަމެވެ", "ަން"), ("ގައެވެ", "ގައި"), ("އެވެ", ""), ("ެވެ", S.SUKUN)]
 LONG_SENTENCE, SUBSTANTIAL, FORMAL_SHARE = 40, 3, 0.6
 SEVERITY = {"thaana-comma": "error", "thaana-question": "error", "thaana-semicolon": "error", "space-before-punct": "error", "space-after-punct": "warning", "double-space": "style", "repeated-word": "warning", "detached-eve": "error", "long-sentence": "style", "formal-register": "style"}
-SENTENCE = r"[^.!؟\n]+[.!؟]?|[.!؟\n]"
+#: What a finding says, by rule.
+MESSAGE = {
+    "thaana-comma": "Latin comma in Thaana text", "thaana-question": "Latin question mark in Thaana text", "thaana-semicolon": "Latin semicolon in Thaana text", "space-before-punct": "space before a punctuation mark",
+    "space-after-punct": "no space after a punctuation mark", "double-space": "more than one space", "repeated-word": "the same word twice", "detached-eve": "the sentence ending belongs to the word before it",
+    "long-sentence": f"sentence of more than {LONG_SENTENCE} words", "formal-register": "informal sentence in a formal text",
+}
+SENTENCE = r"[^.!؟\n]+[.!؟]?"
 
 
 def merge_eve(word: Column) -> Column:
@@ -23,105 +30,136 @@ def merge_eve(word: Column) -> Column:
     return F.when(word.endswith(S.SUKUN) | word.endswith("އި"), short).otherwise(F.concat(word, F.lit(EVE)))
 
 
-def _cover(df: DataFrame, keys: tuple[str, ...], pattern: str) -> DataFrame:
-    """keys, k, chunk, start, end: the text cut by a pattern that covers it."""
-    runs = df.select(*keys, F.posexplode(F.regexp_extract_all(F.col("t"), F.lit(pattern), F.lit(0))).alias("_no", "chunk"))
-    w = Window.partitionBy(*keys).orderBy("_no")
-    runs = runs.withColumn("end", F.sum(F.length("chunk")).over(w).cast("int"))
-    return runs.withColumn("start", (F.col("end") - F.length("chunk")).cast("int"))
+#: What a rule gives for a text: array of struct(rule, start, end, replacement), in the text's own row.
+Rule = Callable[[Column], Column]
 
 
-def _issues(df: DataFrame, keys: tuple[str, ...], rule: Column | str, replacement: Column) -> DataFrame:
+def _issue(rule: Column | str, start: Column, end: Column, replacement: Column) -> Column:
     rule = F.lit(rule) if isinstance(rule, str) else rule
-    return df.select(*keys, rule.alias("rule"), "start", "end", replacement.alias("replacement"))
+    return F.struct(rule.alias("rule"), start.alias("start"), end.alias("end"), replacement.alias("replacement"))
+
+
+_TYPE = "array<struct<rule:string,start:int,end:int,replacement:string>>"
 
 
-def punctuation(df: DataFrame, *keys: str) -> DataFrame:
+def _only(text: Column, pattern: str, issues: Column) -> Column:
+    """issues, worked out only for texts that hold the pattern at all."""
+    return F.when(text.rlike(pattern), issues.cast(_TYPE)).otherwise(F.array().cast(_TYPE))
+
+
+def punctuation(t: Column) -> Column:
     """Latin marks after a Thaana letter; the span takes in the spaces between."""
-    found = _cover(df, keys, f"[{S.THAANA}] *[,?;]|[^{S.THAANA}]+|[{S.THAANA}]").filter(F.col("chunk").rlike(f"^[{S.THAANA}] *[,?;]$"))
-    found = found.withColumn("start", F.col("start") + 1).withColumn("mark", F.right("chunk", F.lit(1)))
-    rule = F.when(F.col("mark") == ",", MARKS[0][2]).when(F.col("mark") == "?", MARKS[1][2]).otherwise(MARKS[2][2])
-    return _issues(found, keys, rule, F.translate("mark", ",?;", "،؟؛"))
+    pattern = f"[{S.THAANA}] *[,?;]"
+
+    def of(x: Column) -> Column:
+        mark = F.right(x.m, F.lit(1))
+        rule = F.when(mark == ",", MARKS[0][2]).when(mark == "?", MARKS[1][2]).otherwise(MARKS[2][2])
+        return _issue(rule, x.start + 1, x.end, F.translate(mark, ",?;", "،؟؛"))
+
+    return _only(t, pattern, F.transform(S.found(t, pattern), of))
+
+
+def space_before(t: Column) -> Column:
+    # runs of spaces are matched whole, with or without a mark, so that a long run is read once
+    runs = F.filter(S.found(t, f" +[{PUNCTUATION}]?"), lambda x: x.m.rlike(f"[{PUNCTUATION}]$"))
+    return _only(t, f" [{PUNCTUATION}]", F.transform(runs, lambda x: _issue("space-before-punct", x.start, x.end, F.right(x.m, F.lit(1)))))
+
+
+def space_after(t: Column) -> Column:
+    pattern = f"[{PUNCTUATION}][{S.THAANA}]"
+    return _only(t, pattern, F.transform(S.found(t, pattern), lambda x: _issue("space-after-punct", x.start, x.start + 1, F.concat(F.left(x.m, F.lit(1)), F.lit(" ")))))
 
 
-def space_before(df: DataFrame, *keys: str) -> DataFrame:
-    found = _cover(df, keys, f" +[{PUNCTUATION}]|[^ ]+| +").filter(F.col("chunk").rlike(f"^ +[{PUNCTUATION}]$"))
-    return _issues(found, keys, "space-before-punct", F.right("chunk", F.lit(1)))
+def double_space(t: Column) -> Column:
+    return _only(t, "  ", F.transform(S.found(t, "  +"), lambda x: _issue("double-space", x.start, x.end, F.lit(" "))))
 
 
-def space_after(df: DataFrame, *keys: str) -> DataFrame:
-    found = _cover(df, keys, f"[{PUNCTUATION}][{S.THAANA}]|[{PUNCTUATION}]|[^{PUNCTUATION}]+").filter(F.col("chunk").rlike(f"^[{PUNCTUATION}][{S.THAANA}]$"))
-    return _issues(found.withColumn("end", F.col("start") + 1), keys, "space-after-punct", F.concat(F.left("chunk", F.lit(1)), F.lit(" ")))
+def _pairs(t: Column, fits: Callable[[Column, Column], Column], rule: str, put: Callable[[Column], Column]) -> Column:
+    """Issues for neighbouring words (p, w) that fit, with nothing but white space between them."""
 
+    def of(words: Column) -> Column:
+        both = F.transform(words, lambda x, i: F.struct(F.get(words, i - 1).alias("p"), x.alias("w")))
+        gap = lambda b: F.substring(t, b.p.end + 1, b.w.start - b.p.end)
+        held = F.filter(F.filter(both, lambda b: b.p.isNotNull() & fits(b.p.word, b.w.word)), lambda b: gap(b).rlike(f"^[{S.WIDE_SPACE}]*$"))
+        return F.transform(held, lambda b: _issue(rule, b.p.start, b.w.end, put(b.p.word)))
 
-def double_space(df: DataFrame, *keys: str) -> DataFrame:
-    found = _cover(df, keys, " +|[^ ]+").filter(F.col("chunk").rlike("^  +$"))
-    return _issues(found, keys, "double-space", F.lit(" "))
+    return S.let(S.located_words(t), of).cast(_TYPE)
 
 
-def _pairs(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Neighbouring tokens with nothing but white space between them."""
-    w = Window.partitionBy(*keys).orderBy("pos")
-    t = tokens(df, *keys).withColumn("p_word", F.lag("word").over(w)).withColumn("p_start", F.lag("start").over(w)).withColumn("p_end", F.lag("end").over(w))
-    t = t.filter("p_word is not null").join(df, list(keys))
-    gap = F.substring(F.col("t"), F.col("p_end") + 1, F.col("start") - F.col("p_end"))
-    return t.filter(gap.rlike(f"^[{S.WIDE_SPACE}]*$")).withColumn("start", F.col("p_start"))
+def repeated_words(t: Column) -> Column:
+    return _pairs(t, lambda p, w: p == w, "repeated-word", lambda p: p)
 
 
-def repeated_words(df: DataFrame, *keys: str) -> DataFrame:
-    return _issues(_pairs(df, keys).filter("word = p_word"), keys, "repeated-word", F.col("p_word"))
+def detached_eve(t: Column) -> Column:
+    issues = _pairs(t, lambda p, w: (w == EVE) & (p != EVE), "detached-eve", merge_eve)
+    return F.when(F.translate(t, S.ZERO_WIDTH, "").contains(EVE), issues).otherwise(F.array().cast(_TYPE))
 
 
-def detached_eve(df: DataFrame, *keys: str) -> DataFrame:
-    found = _pairs(df, keys).filter((F.col("word") == EVE) & (F.col("p_word") != EVE))
-    return _issues(found, keys, "detached-eve", merge_eve(F.col("p_word")))
+def sentences(t: Column) -> Column:
+    """array of struct(n words, first_start, last, last_start, last_end, formal) of the sentences that have words."""
 
+    def of(s: Column) -> Column:
+        def put(w: Column) -> Column:
+            last = F.try_element_at(w, F.lit(-1))
+            return F.struct(F.size(w).alias("n"), (s.start + F.get(w, 0).start).alias("first_start"), last.word.alias("last"), (s.start + last.start).alias("last_start"), (s.start + last.end).alias("last_end"), last.word.endswith(EVE_ENDING).alias("formal"))
 
-def sentences(df: DataFrame, *keys: str) -> DataFrame:
-    """keys, sentence start, n words, first word's start, last word with its start and end, formal; only sentences with words."""
-    s = _cover(df, keys, SENTENCE).filter(F.size(S.words(F.col("chunk"))) > 0)
-    runs = F.filter(S.segments(F.col("chunk")), lambda x: x != "")
-    lead = F.length(F.regexp_extract("chunk", f"^(?:[^{S.THAANA}{S.ZERO_WIDTH}]|[{S.ZERO_WIDTH}]+(?=[^{S.THAANA}{S.ZERO_WIDTH}]))*", 0))
-    trail = F.length(F.regexp_extract("chunk", f"(?:[^{S.THAANA}{S.ZERO_WIDTH}]+[{S.ZERO_WIDTH}]*)*$", 0))
-    s = s.withColumn("w", S.words(F.col("chunk"))).withColumn("last", F.element_at("w", -1)).withColumn("first_start", F.col("start") + lead).withColumn("last_end", F.col("end") - trail)
-    last_run = F.element_at(F.filter(runs, lambda x: x.rlike(f"[{S.THAANA}]")), -1)
-    s = s.withColumn("last_start", F.col("last_end") - F.length(last_run))
-    return s.select(*keys, "start", F.size("w").alias("n"), "first_start", "last", "last_start", "last_end", F.col("last").endswith(EVE_ENDING).alias("formal"))
+        return S.let(S.located_words(s.m), put)
 
+    return F.filter(F.transform(S.found(t, SENTENCE), of), lambda s: s.n > 0)
 
-def long_sentences(df: DataFrame, *keys: str) -> DataFrame:
-    found = sentences(df, *keys).filter(F.col("n") > LONG_SENTENCE)
-    return _issues(found.select(*keys, F.col("first_start").alias("start"), F.col("last_end").alias("end")), keys, "long-sentence", F.lit(None).cast("string"))
 
+def long_sentences(t: Column) -> Column:
+    found = F.filter(sentences(t), lambda s: s.n > LONG_SENTENCE)
+    return F.transform(found, lambda s: _issue("long-sentence", s.first_start, s.last_end, F.lit(None).cast("string"))).cast(_TYPE)
 
-def formal_register(df: DataFrame, *keys: str) -> DataFrame:
+
+def formal_register(t: Column) -> Column:
     """Informal sentences of three words or more in texts of at least three such, six tenths of which are formal."""
-    w = Window.partitionBy(*keys)
-    s = sentences(df, *keys).filter(F.col("n") >= SUBSTANTIAL).withColumn("of", F.count(F.lit(1)).over(w)).withColumn("f", F.sum(F.col("formal").cast("int")).over(w))
-    found = s.filter((F.col("of") >= 3) & (F.col("f") / F.col("of") >= FORMAL_SHARE) & ~F.col("formal"))
-    return _issues(found.select(*keys, F.col("last_start").alias("start"), F.col("last_end").alias("end")), keys, "formal-register", F.lit(None).cast("string"))
+
+    def of(s: Column) -> Column:
+        formal = F.size(F.filter(s, lambda x: x.formal))
+        found = F.when((F.size(s) >= 3) & (formal / F.size(s) >= FORMAL_SHARE), F.filter(s, lambda x: ~x.formal)).otherwise(F.slice(s, 1, 0))
+        return F.transform(found, lambda x: _issue("formal-register", x.last_start, x.last_end, F.lit(None).cast("string")))
+
+    issues = S.let(F.filter(sentences(t), lambda s: s.n >= SUBSTANTIAL), of).cast(_TYPE)
+    return F.when(F.translate(t, S.ZERO_WIDTH, "").contains(EVE_ENDING), issues).otherwise(F.array().cast(_TYPE))
+
+
+RULES: dict[str, Rule] = {"punctuation": punctuation, "space_before": space_before, "space_after": space_after, "double_space": double_space, "repeated_words": repeated_words, "detached_eve": detached_eve, "long_sentences": long_sentences, "formal_register": formal_register}
 
 
-RULES = {"punctuation": punctuation, "space_before": space_before, "space_after": space_after, "double_space": double_space, "repeated_words": repeated_words, "detached_eve": detached_eve, "long_sentences": long_sentences, "formal_register": formal_register}
+def issues(df: DataFrame, rule: Rule, *keys: str) -> DataFrame:
+    """keys, rule, start, end and replacement of one rule's issues."""
+    return df.select(*keys, F.explode(rule(F.col("t"))).alias("x")).select(*keys, "x.*")
 
 
 def check(df: DataFrame, *keys: str) -> DataFrame:
-    """keys, rule, severity, start, end and replacement of all issues, numbered per text by start, end and rule order."""
-    out = None
-    for k, rule in enumerate(RULES.values()):
-        part = rule(df, *keys).withColumn("ord", F.lit(k))
-        out = part if out is None else out.unionByName(part)
-    severity = F.create_map(*(F.lit(x) for kv in SEVERITY.items() for x in kv))
-    w = Window.partitionBy(*keys).orderBy("start", "end", "ord", "rule")
-    return out.withColumn("no", F.row_number().over(w)).withColumn("severity", severity[F.col("rule")]).select(*keys, "no", "rule", "severity", "start", "end", "replacement")
+    """keys, no, rule, severity, message, start, end and replacement of all issues, numbered per text by start, end and rule order.
 
+    A text is checked within its own row: nothing is shuffled, and texts with equal keys stay apart.
+    """
+    t = F.col("t")
+    parts = [F.transform(rule(t), lambda x, k=k: F.struct(x.start.alias("start"), x.end.alias("end"), F.lit(k).alias("ord"), x.rule.alias("rule"), x.replacement.alias("replacement"))) for k, rule in enumerate(RULES.values())]
+    fixed = lambda named: F.create_map(*(F.lit(x) for kv in named.items() for x in kv))[F.col("x.rule")]
+    rows = df.select(*keys, F.posexplode(F.array_sort(F.concat(*parts))).alias("no", "x"))
+    return rows.select(*keys, (F.col("no") + 1).alias("no"), "x.rule", fixed(SEVERITY).alias("severity"), fixed(MESSAGE).alias("message"), "x.start", "x.end", "x.replacement")
 
-def apply_fixes(df: DataFrame, issues: DataFrame, *keys: str) -> DataFrame:
-    """keys and the text with all replacements put in, from the right; of overlapping ones the later start goes first."""
-    fixes = issues.filter("replacement is not null").groupBy(*keys).agg(F.reverse(F.array_sort(F.collect_list(F.struct("start", "end", "replacement")))).alias("f"))
-    joined = df.join(fixes, list(keys), "left")
-    put = F.expr("aggregate(coalesce(f, array()), t, (a, x) -> concat(left(a, x.start), x.replacement, substring(a, x.end + 1, length(a))))")
-    return joined.select(*keys, put.alias("t"))
+
+def fixed(t: Column, rules: tuple[str, ...] = tuple(RULES)) -> Column:
+    """A text with the replacements of the rules' issues put in.
+
+    Of overlapping ones the first stays, of those that start together the longest; the others are
+    left for another pass.
+    """
+    every = F.filter(F.concat(*(RULES[r](t) for r in rules)), lambda x: x.replacement.isNotNull())
+    ordered = F.array_sort(F.transform(every, lambda x: F.struct(x.start.alias("start"), (-x.end).alias("back"), x.replacement.alias("new"))))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def put(acc: Column, x: Column) -> Column:
+        more = F.array(F.substring(t, acc.at + 1, x.start - acc.at), x.new)
+        return F.when(x.start >= acc.at, F.struct((-x.back).alias("at"), F.concat(acc.out, more).alias("out"))).otherwise(acc)
+
+    return F.aggregate(ordered, begin, put, lambda acc: F.concat(F.array_join(acc.out, ""), F.substring(t, acc.at + 1, F.length(t))))
 
 
 def to_informal_word(word: Column) -> Column:
@@ -137,15 +175,19 @@ def to_formal_word(word: Column) -> Column:
 
 def convert(text: Column, fn) -> Column:
     """Rewrite the last word of every sentence; the text between stays."""
-    tz = S.THAANA + S.ZERO_WIDTH
 
     def of(sentence: Column) -> Column:
-        cut = F.struct(F.regexp_extract(sentence, f"([{tz}]*[{S.THAANA}][{tz}]*)(?:[^{tz}]+[{S.ZERO_WIDTH}]*)*$", 1).alias("run"), F.regexp_extract(sentence, f"(?:[^{tz}]+[{S.ZERO_WIDTH}]*)*$", 0).alias("tail"))
+        def put(parts: Column) -> Column:
+            # the place of the last run that holds a letter, counted from the end
+            back = F.array_position(F.transform(F.reverse(parts), lambda x: x.rlike(f"[{S.THAANA}]")), True).cast("int")
+            at = F.size(parts) - back + 1
+
+            def rewrite(w: Column) -> Column:
+                new = F.concat(F.array_join(F.slice(parts, 1, at - 1), ""), fn(w), F.array_join(F.slice(parts, at + 1, F.size(parts)), ""))
+                return F.when(fn(w) == w, sentence).otherwise(new)
 
-        def put(c: Column) -> Column:
-            head = F.substring(sentence, F.lit(1), F.length(sentence) - F.length(c.tail) - F.length(c.run))
-            return S.let(F.translate(c.run, S.ZERO_WIDTH, ""), lambda w: F.when((w == "") | (fn(w) == w), sentence).otherwise(F.concat(head, fn(w), c.tail)))
+            return F.when(back == 0, sentence).otherwise(S.let(F.translate(F.try_element_at(parts, at), S.ZERO_WIDTH, ""), rewrite))
 
-        return S.let(cut, put)
+        return S.let(S.segments(sentence), put)
 
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("[^.!؟\n]+[.!؟]?\n?|[.!؟\n]"), F.lit(0)), of), "")

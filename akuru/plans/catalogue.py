@@ -159,7 +159,7 @@ def spell_issues(spark, sf):
 
 
 def _grammar(rule):
-    return lambda spark, sf: rule(_marked(spark, sf), "doc_id")
+    return lambda spark, sf: grammar.issues(_marked(spark, sf), rule, "doc_id")
 
 
 def grammar_issues(spark, sf):
@@ -167,8 +167,7 @@ def grammar_issues(spark, sf):
 
 
 def grammar_fixed(spark, sf):
-    docs = _marked(spark, sf)
-    return grammar.apply_fixes(docs, grammar.double_space(docs, "doc_id"), "doc_id")
+    return _marked(spark, sf).select("doc_id", grammar.fixed(F.col("t")).alias("t"))
 
 
 def to_formal(spark, sf):

@@ -6,7 +6,7 @@ from ..functions import script as S
 from ..operators.corpus import CLEAN_MARKUP
 from ..operators.evaluation import PLAIN_FILI
 from ..operators.export import replacement_pairs
-from ..operators.grammar import EVE, EVE_ENDING, INFORMAL, PUNCTUATION
+from ..operators.grammar import EVE, EVE_ENDING, INFORMAL, MESSAGE, PUNCTUATION
 from ..operators.morphology import LONGEST, RULES
 from ..operators.spelling import SUFFIXES
 
@@ -73,6 +73,7 @@ GRAMMAR = {
         SELECT *, count(*) OVER p AS c, sum(formal::INT) OVER p AS f FROM sn WHERE n >= 3 WINDOW p AS (PARTITION BY doc_id)) WHERE c >= 3 AND f / c >= 0.6 AND NOT formal"""),
 }
 _SEV = "CASE WHEN rule IN ('space-after-punct', 'repeated-word') THEN 'warning' WHEN rule IN ('double-space', 'long-sentence', 'formal-register') THEN 'style' ELSE 'error' END"
+_MSG = "CASE rule " + " ".join(f"WHEN {q(r)} THEN {q(m)}" for r, m in MESSAGE.items()) + " END"
 _ISSUES = " UNION ALL ".join(f"SELECT *, {k} AS ord FROM ({body})" for k, (_, body) in enumerate(GRAMMAR.values()))
 
 DEFS = f"""pt AS (SELECT p_partkey, {S.latin_to_thaana_sql('lower(p_name)')} AS head, {S.latin_to_thaana_sql('lower(p_type)')} AS a, {S.latin_to_thaana_sql('lower(p_brand)')} AS b FROM part),
@@ -190,8 +191,10 @@ ORACLES: dict[str, str] = {
         SELECT query, rank::INT AS rank, word, cost FROM (SELECT query, word, round(d, 3) AS cost, row_number() OVER (PARTITION BY query ORDER BY d, freq DESC, word) AS rank FROM ds JOIN lex USING (word)) WHERE rank <= 5""",
     "context_errors": f'WITH {LEX}, {TALK}, {BI3}, {CONTEXT} SELECT conv_id, turn, pos, word, start, "end", alt FROM bst WHERE r = 1',
     **{f"grammar_{name}": f"WITH {head} {body}" for name, (head, body) in GRAMMAR.items()},
-    "grammar_issues": f'WITH {M}, {_TOK}, {_SENT} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", ord, rule)::INT AS no, rule, {_SEV} AS severity, start, "end", replacement FROM ({_ISSUES})',
-    "grammar_fixed": f"WITH {M} SELECT doc_id, regexp_replace(t, '  +', ' ', 'g') AS t FROM m",
+    "grammar_issues": f'WITH {M}, {_TOK}, {_SENT} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", ord, rule)::INT AS no, rule, {_SEV} AS severity, {_MSG} AS message, start, "end", replacement FROM ({_ISSUES})',
+    "grammar_fixed": f"""WITH {M}, {_TOK}, {_SENT}, fx AS (SELECT doc_id, list(struct_pack(st := start, en := "end", put := replacement) ORDER BY start, "end" DESC) AS f FROM ({_ISSUES}) WHERE replacement IS NOT NULL GROUP BY doc_id),
+        done AS (SELECT doc_id, t, list_reduce(f, lambda r, x: CASE WHEN x.st >= r.en THEN struct_pack(st := 0, en := x.en, put := r.put || substring(t, r.en + 1, x.st - r.en) || x.put) ELSE r END, struct_pack(st := 0, en := 0, put := '')) AS r FROM m LEFT JOIN fx USING (doc_id))
+        SELECT doc_id, CASE WHEN r IS NULL THEN t ELSE r.put || substring(t, r.en + 1) END AS t FROM done""",
     "to_formal": f"WITH {D} {_convert('d', _formal)}",
     "to_informal": f"WITH {D}, fo AS ({_convert('d', _formal)}) {_convert('fo', _informal)}",
     "define_exact": f"WITH {DEFS} SELECT head, sense_no, sense FROM df WHERE head = (SELECT min(head) FROM df)",

@@ -77,10 +77,41 @@ def test_grammar_goldens(spark):
 def test_fixes_reach_a_fixed_point(spark):
     text = "ރީތި , އުފާވެރި  ދިޔައީމެވެ.އަދި ވަރަށް ވަރަށް ރީތި"
     df = spark.createDataFrame([(1, text)], "k int, t string")
-    fixed = grammar.apply_fixes(df, grammar.check(df, "k"), "k")
+    fixed = df.select("k", grammar.fixed(F.col("t")).alias("t"))
+    fixed = fixed.select("k", grammar.fixed(F.col("t")).alias("t"))  # overlapping fixes need a second pass
     assert grammar.check(fixed, "k").filter("replacement is not null").count() == 0
 
 
+def test_long_runs_of_other_scripts(spark):
+    """100,000 Latin characters before and after a word, in one sentence."""
+    word = "ރީތި"
+    text = "x" * 100_000 + " " + word + " " + "y z" * 50_000 + "  " * 20_000 + "."
+    df = spark.createDataFrame([(1, text)], "k int, t string")
+    got = [(r.rule, r.start, r.end) for r in grammar.check(df, "k").collect()]
+    assert got == [("double-space", len(text) - 40_001, len(text) - 1), ("space-before-punct", len(text) - 40_001, len(text))]
+    many = " ".join([word] * 41)
+    df = spark.createDataFrame([(1, "x" * 100_000 + many + "y" * 100_000)], "k int, t string")
+    assert [(r.start, r.end) for r in grammar.check(df, "k").filter("rule = 'long-sentence'").collect()] == [(100_000, 100_000 + len(many))]
+    assert column(spark, [text], lambda t: grammar.convert(t, grammar.to_formal_word)) == [text.replace(word, word + "އެވެ")]
+
+
+def test_texts_with_equal_keys_stay_apart(spark):
+    df = spark.createDataFrame([(1, "ރީތި ރީތި"), (1, "ރީތި ރީތި"), (1, "")], "k int, t string")
+    assert [(r.start, r.end) for r in grammar.check(df, "k").collect()] == [(0, 9), (0, 9)]
+    assert sorted((r.pos, r.start) for r in corpus.tokens(df, "k").collect()) == [(0, 0), (0, 0), (1, 5), (1, 5)]
+
+
+def test_offsets_in_long_texts(spark):
+    text = "🙂 ".join(["ބަސް"] * 1000)
+    got = corpus.tokens(spark.createDataFrame([(1, text)], "k int, t string"), "k", neighbours=True).collect()
+    assert [(r.pos, r.start, r.end) for r in got] == [(k, 6 * k, 6 * k + 4) for k in range(1000)]
+    assert got[0].prev is None and got[999].next is None and got[5].prev == "ބަސް"
+
+
+def test_working_symbols_are_copied(spark):
+    assert column(spark, ["\uE000", "ba\uE041b", "h\uE080a", "\uE0F0n'da"], S.latin_to_thaana) == ["\uE000", "ބަ\uE041ބް", "ށ\uE080އަ".replace("ށ", "ށް"), "\uE0F0ނޑަ"]
+
+
 def test_register(spark):
     formal = lambda t: grammar.convert(t, grammar.to_formal_word)
     informal = lambda t: grammar.convert(t, grammar.to_informal_word)
