@@ -32,7 +32,7 @@ def run(spark: SparkSession, options: argparse.Namespace, text: str) -> tuple[Da
         return df.select(CONVERSIONS[command](F.col("t")).alias("text")), False
     if command == "validate":
         words = corpus.tokens(df, "k")
-        return words.select("word", S.units(F.col("word")).alias("units"), S.structure_errors(F.col("word")).alias("errors")), False
+        return words.select("word", S.units(F.col("word")).alias("units"), S.explained(S.structure_errors(F.col("word"))).alias("errors")), False
     if command == "grammar":
         return grammar.check(df, "k").drop("k").orderBy("no"), True
     if command == "paraphrase":
@@ -42,9 +42,9 @@ def run(spark: SparkSession, options: argparse.Namespace, text: str) -> tuple[Da
         return (dictionary.define(known, text.strip()) if command == "define" else dictionary.reverse_lookup(known, text)), False
     lexicon = tables.word_list(spark, *options.lexicon)
     if command == "suggest":
-        return spelling.rank(corpus.tokens(df, "k").select("word").distinct(), lexicon, options.limit).orderBy("query", "rank"), False
+        return spelling.check_words(corpus.tokens(df, "k").select("word"), lexicon, options.limit).select("word", "status", "via", "suggestions").orderBy("word"), False
     pairs = tables.counts(spark, options.bigrams, pairs=True, last_wins=True) if options.bigrams else spark.createDataFrame([], "w1 string, w2 string, cnt long")
-    return spelling.check_text(corpus.tokens(df, "k"), lexicon, pairs, "k").drop("k", "pos").orderBy("start"), True
+    return spelling.check_text(corpus.tokens(df, "k", neighbours=True), lexicon, pairs, "k").drop("k", "pos").orderBy("start"), True
 
 
 def main(args: list[str] | None = None) -> int:

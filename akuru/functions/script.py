@@ -249,6 +249,17 @@ def confusion_group(consonant: Column) -> Column:
     return out
 
 
+def same_confusion_set(a: Column, b: Column) -> Column:
+    """Whether two consonants are in one confusion set."""
+    return F.coalesce(confusion_group(a) == confusion_group(b), F.lit(False))
+
+
+def explained(errors: Column) -> Column:
+    """structure_errors() with a message each."""
+    messages = F.create_map(*(F.lit(x) for kv in STRUCTURE_MESSAGE.items() for x in kv))
+    return F.transform(errors, lambda e: F.struct(e.index.alias("index"), e.code.alias("code"), messages[e.code].alias("message")))
+
+
 def deletes(keys: Column, allowed: Column) -> Column:
     """The distinct unit strings left after removing up to `allowed` (0 to 2) units, the whole among them."""
     join = lambda a: F.array_join(a, "")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from functools import lru_cache
-from html.parser import HTMLParser
+from html import unescape
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,84 +16,101 @@ from .script import CONFUSION_SETS, LENGTH_MAP, SUKUN
 _GROUP = {c: k for k, g in enumerate(CONFUSION_SETS) for c in g}
 
 
-@lru_cache(maxsize=65_536)
 def replace_cost(query: str, other: str) -> float:
     """The cost of one unit key for another. A query's sukun against no sign at all counts as a length pair."""
     if query == other:
         return 0.0
     (qc, qf), (oc, of) = query, other
     sound = 0.0 if qc == oc else 0.5 if qc in _GROUP and _GROUP[qc] == _GROUP.get(oc) else 1.0
-    if qf == of:
-        sign = 0.0
-    elif LENGTH_MAP.get(qf) == of or (qf == SUKUN and of == "_"):
-        sign = 0.4
-    else:
-        sign = 0.7
+    sign = 0.0 if qf == of else 0.4 if LENGTH_MAP.get(qf) == of or (qf == SUKUN and of == "_") else 0.7
     return min(sound + sign, 1.5)
 
 
-def unit_distance(query: list[str], other: list[str], most: float = 2.0) -> float:
-    """Optimal string alignment over units: 1 to insert or delete, 0.8 to swap neighbours.
+class Costs:
+    """Unit keys as small numbers, and a matrix of what one costs for another; it grows with the keys seen."""
 
-    As soon as a whole row of the table exceeds `most`, the distance is reported as most + 1.
+    def __init__(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.matrix = np.zeros((0, 0))
+
+    def encode(self, word: str, width: int) -> list[int]:
+        keys = [word[k : k + 2] for k in range(0, len(word), 2)]
+        return [self.codes.setdefault(k, len(self.codes)) for k in keys] + [-1] * (width - len(keys))
+
+    def table(self) -> np.ndarray:
+        if len(self.matrix) < len(self.codes):
+            keys = list(self.codes)
+            self.matrix = np.array([[replace_cost(a, b) for b in keys] for a in keys])
+        return self.matrix
+
+
+def distances(queries: list[str], others: list[str], most: float = 2.0, costs: Costs | None = None) -> np.ndarray:
+    """Optimal string alignment of pairs of joined unit keys: 1 to insert or delete, 0.8 to swap neighbours.
+
+    A pair's distance is most + 1 if the lengths differ by more than most or if every entry of a
+    row of its table is above most. The table of all pairs is filled at once, cell by cell.
     """
-    n, m = len(query), len(other)
-    if abs(n - m) > most:
-        return most + 1.0
-    above: list[float] = []
-    row = [float(j) for j in range(m + 1)]
-    for i, q in enumerate(query):
-        below = [i + 1.0]
-        for j, o in enumerate(other):
-            best = min(row[j + 1] + 1.0, below[j] + 1.0, row[j] + replace_cost(q, o))
-            if i and j and q == other[j - 1] and o == query[i - 1] and q != o:
-                best = min(best, above[j - 1] + 0.8)
-            below.append(best)
-        if min(below) > most:
-            return most + 1.0
-        above, row = row, below
-    return row[m]
-
-
-def _keys(s: str) -> list[str]:
-    return [s[k : k + 2] for k in range(0, len(s), 2)]
+    costs = costs or Costs()
+    n, m = (np.array([len(w) // 2 for w in side], int) for side in (queries, others))
+    wide, high = int(m.max(initial=0)), int(n.max(initial=0))
+    a = np.array([costs.encode(w, high) for w in queries], int).reshape(len(queries), high)
+    b = np.array([costs.encode(w, wide) for w in others], int).reshape(len(others), wide)
+    cost = costs.table()
+    table = np.full((high + 1, wide + 1, len(queries)), np.inf)
+    table[0] = np.arange(wide + 1)[:, None]
+    over = np.abs(n - m) > most
+    inside = np.arange(wide + 1)[:, None] <= m
+    for i in range(1, high + 1):
+        table[i, 0] = i
+        x = a[:, i - 1]
+        for j in range(1, wide + 1):
+            y = b[:, j - 1]
+            cell = np.minimum(np.minimum(table[i - 1, j], table[i, j - 1]) + 1.0, table[i - 1, j - 1] + cost[x, y])
+            if i > 1 and j > 1:
+                turned = (x == b[:, j - 2]) & (y == a[:, i - 2]) & (x != y)
+                cell = np.where(turned, np.minimum(cell, table[i - 2, j - 2] + 0.8), cell)
+            table[i, j] = cell
+        over |= (i <= n) & (np.where(inside, table[i], np.inf).min(axis=0) > most)
+    return np.where(over, most + 1.0, table[n, m, np.arange(len(queries))])
+
+
+#: Pairs whose tables are filled together, and cells that these may have.
+_PAIRS, _CELLS = 4096, 8_000_000
 
 
 @F.pandas_udf(T.DoubleType())
 def distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The distance of two joined unit-key strings, the query first."""
+    costs = Costs()
     for queries, others in batches:
-        yield pd.Series([unit_distance(_keys(q), _keys(o)) for q, o in zip(queries, others, strict=True)], dtype="float64")
+        out = np.zeros(len(queries))
+        # pairs of like length share a table, so that one long word doesn't widen that of many short ones
+        order = np.lexsort((others.str.len(), queries.str.len()))
+        at = 0
+        while at < len(order):
+            size = (1 + len(queries.iloc[order[at]])) * (1 + len(others.iloc[order[at]]))
+            some = order[at : at + max(1, min(_PAIRS, _CELLS // size))]
+            out[some] = distances(queries.iloc[some].tolist(), others.iloc[some].tolist(), costs=costs)
+            at += len(some)
+        yield pd.Series(out)
 
 
-class _Text(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__()
-        self.parts: list[str] = []
-        self.closed = 0
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.closed += tag in ("script", "style", "noscript")
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style", "noscript") and self.closed:
-            self.closed -= 1
-
-    def handle_data(self, data: str) -> None:
-        if not self.closed:
-            self.parts.append(data)
+_PIECE = re.compile(r"<!--(?:.*?-->)|<[!?/]?[A-Za-z!?](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>", re.DOTALL)
+_SILENT = re.compile(r"<(script|style|noscript)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)", re.DOTALL | re.IGNORECASE)
 
 
 def plain_html_text(html: str | None) -> str | None:
-    """Text nodes outside scripts and styles, joined by spaces; a text without tags stays as it is."""
+    """Text between tags, outside scripts and styles, joined by spaces and with references decoded; a text without tags stays as it is.
+
+    A reference left unfinished at the very end is dropped with the text it ends.
+    """
     if not html or "<" not in html or ">" not in html:
         return html
-    parser = _Text()
-    try:
-        parser.feed(html)
-    except Exception:  # whatever the parser can't take is text
-        return html
-    return " ".join(parser.parts)
+    pieces = _PIECE.split(_SILENT.sub("<script>", html))
+    tail = pieces[-1]
+    if "&" in tail[-34:] and not re.search(r"[\s;]", tail[tail.rindex("&") :]):
+        pieces[-1] = ""
+    return " ".join(unescape(p) for p in pieces if p)
 
 
 @F.pandas_udf(T.StringType())

@@ -1,8 +1,10 @@
-"""Quality of the checker on made errors: every corruption of every word, or a seeded weighted sample."""
+"""Quality of the checker on made errors: every corruption of every word, or a seeded weighted draw."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import script as S
@@ -42,6 +44,53 @@ def sample(words: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return words.withColumn("_k", -F.log(u) / F.col("freq")).orderBy("_k", "word").limit(n).drop("_k")
 
 
+#: Buckets of words whose total frequencies the driver reads to place the draws.
+BUCKETS = 256
+
+
+def _bucket(word: Column) -> Column:
+    return F.conv(F.substring(F.md5(word), 1, 4), 16, 10).cast("int") % BUCKETS
+
+
+def draws(words: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """(draw, word): n words drawn with replacement with odds by frequency.
+
+    Draw k falls on the place md5(seed:k) modulo the total frequency, in words ordered by bucket
+    and word. The driver reads one total per bucket; the words of a bucket are summed up in one task.
+    """
+    spark = words.sparkSession
+    put = words.select("word", "freq", _bucket(F.col("word")).alias("b"))
+    totals = {r["b"]: r["f"] for r in put.groupBy("b").agg(F.sum("freq").alias("f")).collect()}
+    starts, total = {}, 0
+    for b in sorted(totals):
+        starts[b] = total
+        total += totals[b]
+    places = []
+    for k in range(n if total else 0):
+        at = int(hashlib.md5(f"{seed}:{k}".encode()).hexdigest()[:12], 16) % total
+        b = max(b for b in starts if starts[b] <= at)
+        places.append((k, b, at - starts[b]))
+    asked = spark.createDataFrame(places, "draw int, b int, at long")
+    w = Window.partitionBy("b").orderBy("word")
+    ends = put.withColumn("end", F.sum("freq").over(w))
+    return ends.join(F.broadcast(asked), "b").filter((F.col("at") < F.col("end")) & (F.col("at") >= F.col("end") - F.col("freq"))).select("draw", "word")
+
+
+def trials(lexicon: DataFrame, n: int = 500, seed: int = 42) -> DataFrame:
+    """(draw, word, kind, wrong): one corruption each of words drawn by frequency, the first n that give one.
+
+    Corruptions that are lexicon words themselves don't count. Of the others of a word a hash
+    picks the kind first, then the corruption.
+    """
+    some = draws(pool(lexicon), n + n // 2, seed)
+    made = corruptions(some.select("word").distinct()).join(lexicon.select(F.col("word").alias("wrong")), "wrong", "left_anti")
+    h = lambda *c: F.md5(F.concat_ws(":", F.lit(str(seed)), *c))
+    k = F.col("draw").cast("string")
+    w = Window.partitionBy("draw").orderBy(h(k, "kind"), "kind", h(k, "kind", "wrong"), "wrong")
+    one = some.join(made, "word").withColumn("_no", F.row_number().over(w)).filter("_no = 1")
+    return one.select("draw", "word", "kind", "wrong").orderBy("draw").limit(n)
+
+
 def summary(made: DataFrame, status: DataFrame, ranked: DataFrame) -> DataFrame:
     """kind, n, detected, top1 and top5 of corruptions (word, kind, wrong), and a TOTAL row."""
     caught = status.select(F.col("word").alias("wrong"), F.col("status").isin("structure", "unknown").alias("d"))
@@ -52,6 +101,13 @@ def summary(made: DataFrame, status: DataFrame, ranked: DataFrame) -> DataFrame:
     return out.select(F.coalesce("kind", F.lit("TOTAL")).alias("kind"), "n", "detected", "top1", "top5")
 
 
+def false_positives(clean: DataFrame, status: DataFrame) -> DataFrame:
+    """A row in summary()'s columns: how many clean words there are, and how many of them count as faults."""
+    rows = clean.select("word").join(status, "word")
+    wrong = F.coalesce(F.sum(F.col("status").isin("structure", "unknown").cast("long")), F.lit(0))
+    return rows.agg(F.count(F.lit(1)).alias("n"), wrong.alias("detected")).select(F.lit("FALSE_POSITIVES").alias("kind"), "n", "detected", F.lit(0).cast("long").alias("top1"), F.lit(0).cast("long").alias("top5"))
+
+
 def passes(detected: float, top1: float, false_positives: float) -> bool:
     """Whether percentages meet the gate."""
     return detected >= GATE["detected"] and top1 >= GATE["top1"] and false_positives <= GATE["false_positives"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import script as S
@@ -55,13 +55,28 @@ def bundle(lexicon: DataFrame) -> DataFrame:
     return lexicon.select("word", F.concat_ws("\t", "word", F.col("freq").cast("string")).alias("line"))
 
 
+def write_bundle(lexicon: DataFrame, path: str, name: str = "LEXICON") -> None:
+    """A folder whose text files, read in order, are a script that holds the lexicon's lines in one string."""
+    ends = lexicon.sparkSession.createDataFrame([(0, f"const {name} = `"), (2, "`;")], "o int, value string")
+    escaped = F.regexp_replace("line", r"([\\\\`$])", r"\\\\$1")
+    ends.union(bundle(lexicon).select(F.lit(1), escaped)).orderBy("o", "value").select("value").write.text(path)
+
+
 def matches(spelling: DataFrame, grammar: DataFrame, *keys: str) -> DataFrame:
-    """keys and match, a JSON message per issue in the form editors' plug-ins read."""
-    kind = F.upper(F.col("status"))
-    text = F.when(F.col("status") == "structure", "Malformed word").otherwise("Unknown word")
+    """keys, no, offset and match, a JSON message per issue in the form editors' plug-ins read.
+
+    Messages are numbered by offset, spelling before grammar, each in its own order.
+    """
+    size = (F.col("end") - F.col("start")).alias("length")
+    kind = lambda t, n: F.struct(F.lit(t).alias("id"), F.lit(n).alias("name")).alias("category")
+    told = F.when(F.col("status") == "structure", "Thaana structure error").otherwise("Unknown word")
     values = F.transform(F.col("suggestions"), lambda s: F.struct(s.word.alias("value")))
-    s = spelling.select(*keys, F.col("start").alias("offset"), (F.col("end") - F.col("start")).alias("length"), text.alias("message"), values.alias("replacements"), F.concat(F.lit("DV_SPELL_"), kind).alias("rule"))
+    rule = F.struct(F.concat(F.lit("DV_SPELL_"), F.upper("status")).alias("id"), F.lit("Dhivehi spelling").alias("description"), F.lit("misspelling").alias("issueType"), kind("TYPOS", "Spelling"))
+    s = spelling.select(*keys, F.lit(0).alias("o"), F.col("pos").alias("p"), told.alias("message"), F.lit("Spelling").alias("shortMessage"), F.col("start").alias("offset"), size, values.alias("replacements"), rule.alias("rule"))
     one = F.when(F.col("replacement").isNotNull(), F.array(F.struct(F.col("replacement").alias("value")))).otherwise(F.array().cast("array<struct<value:string>>"))
-    g = grammar.select(*keys, F.col("start").alias("offset"), (F.col("end") - F.col("start")).alias("length"), F.col("rule").alias("message"), one.alias("replacements"), F.concat(F.lit("DV_GRAMMAR_"), F.upper(F.translate("rule", "-", "_"))).alias("rule"))
-    both = s.unionByName(g)
-    return both.select(*keys, "offset", F.to_json(F.struct("offset", "length", "message", "replacements", "rule")).alias("match"))
+    sort = F.when(F.col("severity") == "style", "style").otherwise("grammar")
+    rule = F.struct(F.concat(F.lit("DV_"), F.upper(F.translate("rule", "-", "_"))).alias("id"), F.col("message").alias("description"), sort.alias("issueType"), kind("GRAMMAR", "Grammar"))
+    g = grammar.select(*keys, F.lit(1).alias("o"), F.col("no").alias("p"), "message", F.col("rule").alias("shortMessage"), F.col("start").alias("offset"), size, one.alias("replacements"), rule.alias("rule"))
+    w = Window.partitionBy(*keys).orderBy("offset", "o", "p")
+    both = s.unionByName(g).withColumn("no", F.row_number().over(w))
+    return both.select(*keys, "no", "offset", F.to_json(F.struct("message", "shortMessage", "offset", "length", "replacements", "rule")).alias("match"))

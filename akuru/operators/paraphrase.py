@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import script as S
 
 MODERN_COUNT = 3
+#: Words with synonyms up to this number are sent to every executor (about 40 bytes each); more are joined by a shuffle.
+BROADCAST_WORDS = 200_000
+#: Shares of a word's occurrences in a shuffled join.
+SALTS = 16
 
 
 def attested(pairs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -21,6 +25,13 @@ def attested(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     return pairs.join(cnt, "syn", "left").select("word", F.row_number().over(w).alias("ord"), "syn", F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
 
+def choices(thesaurus: DataFrame, modern_only: bool = False) -> DataFrame:
+    """(word, choice, syn): synonyms numbered from 0 by falling count, then in their order."""
+    kept = thesaurus.filter(F.col("cnt") >= MODERN_COUNT) if modern_only else thesaurus
+    w = Window.partitionBy("word").orderBy(F.desc("cnt"), "ord", "syn")
+    return kept.select("word", (F.row_number().over(w) - 1).alias("choice"), "syn")
+
+
 def alternatives(thesaurus: DataFrame, modern_only: bool = False) -> DataFrame:
     """(word, choices): synonyms by falling count, then in their order."""
     kept = thesaurus.filter(F.col("cnt") >= MODERN_COUNT) if modern_only else thesaurus
@@ -28,45 +39,86 @@ def alternatives(thesaurus: DataFrame, modern_only: bool = False) -> DataFrame:
     return kept.groupBy("word").agg(F.transform(sort, lambda x: x.syn).alias("choices"))
 
 
+def _pieces(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """_row, keys, i, no, gap, word: each run of Thaana with the text before it, and a last row for what follows.
+
+    no is the run's place among all runs, gaps counted. A row without a word has a key of its own
+    that no word equals, so such rows don't meet in one task.
+    """
+    runs = F.concat(F.regexp_extract_all("t", F.lit(S.RUN), F.lit(0)), F.array(F.lit("")))
+    each = F.arrays_zip(F.split("t", S.RUN, -1).alias("gap"), runs.alias("run"))
+    first = F.when(F.col("t").rlike(f"^{S.RUN}"), 0).otherwise(1)
+    rows = df.withColumn("_row", F.monotonically_increasing_id()).select("_row", *keys, first.alias("first"), F.posexplode(each).alias("i", "x"))
+    rows = rows.select("_row", *keys, "i", (2 * F.col("i") + F.col("first")).alias("no"), "x.gap", "x.run", F.translate("x.run", S.ZERO_WIDTH, "").alias("word"))
+    return rows.withColumn("key", F.when(F.col("word") == "", F.concat(F.lit("\x01"), F.col("_row").cast("string"))).otherwise(F.col("word")))
+
+
+def _with_numbers(pieces: DataFrame, named: DataFrame) -> DataFrame:
+    """pieces with n, the number of choices of their word; null without any."""
+    numbers = named.groupBy(F.col("word").alias("key")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    if numbers.count() <= BROADCAST_WORDS:
+        return pieces.join(F.broadcast(numbers), "key", "left")
+    salted = numbers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pieces.withColumn("salt", F.pmod("no", F.lit(SALTS))).join(salted, ["key", "salt"], "left").drop("salt")
+
+
+def _assembled(pieces: DataFrame, named: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, text, replacements, swapped and swappable from pieces with n and choice (null: not swapped).
+
+    Only the chosen synonym of each swapped word is joined, by word and number.
+    """
+    syns = named.select(F.col("word").alias("key"), "choice", F.col("syn").alias("used"))
+    spread = pieces.withColumn("choice", F.coalesce("choice", (-1 - F.pmod(F.xxhash64("_row", "i"), F.lit(1 << 30))).cast("int")))
+    out = spread.join(syns, ["key", "choice"], "left")
+    row = F.struct("i", "gap", "word", F.coalesce("used", F.when(F.col("word") == "", F.col("run")).otherwise(F.col("word"))).alias("out"), "n", "used")
+    texts = out.groupBy("_row", *keys).agg(F.array_sort(F.collect_list(row)).alias("p"))
+
+    def spans(p: Column) -> Column:
+        ends = S.running(F.transform(p, lambda x: F.length(x.gap) + F.length(x.out)))
+        held = S.let(ends, lambda e: F.transform(p, lambda x, k: F.struct((F.get(e, k) - F.length(x.out)).alias("start"), F.get(e, k).alias("end"), x.word.alias("original"), x.n.alias("choices"), x.used.alias("used"))))
+        return F.filter(held, lambda x: x.choices.isNotNull())
+
+    done = texts.select(*keys, F.array_join(F.transform("p", lambda x: F.concat(x.gap, x.out)), "").alias("text"), S.let(F.col("p"), spans).alias("replacements"))
+    return done.select("*", F.size(F.filter("replacements", lambda x: x.used.isNotNull())).cast("long").alias("swapped"), F.size("replacements").cast("long").alias("swappable"))
+
+
 def paraphrase(df: DataFrame, thesaurus: DataFrame, *keys: str, aggressiveness: float = 0.5, seed: int = 0, modern_only: bool = False) -> DataFrame:
-    """keys, text, swapped and swappable; draws come from a hash of seed, keys and place, so any engine and partitioning agrees.
+    """keys, text, replacements, swapped and swappable; draws come from a hash of seed, keys and place, so any engine and partitioning agrees.
 
-    A swappable word is replaced if its draw is below the aggressiveness (held to 0 to 1); a second draw picks the choice.
+    A swappable word is replaced if its draw is below the aggressiveness (held to 0 to 1); a second
+    draw picks the choice. replacements holds, per swappable word, its place in the new text, the
+    number of its choices and the one used, if any; choices() has them by number. Texts without
+    words, empty ones among them, stay as they are; a null text is an empty one.
     """
     level = round(min(max(aggressiveness, 0.0), 1.0) * 1_000_000)
-    runs = df.select(*keys, F.posexplode(S.segments(F.col("t"))).alias("_no", "run")).withColumn("word", F.translate("run", S.ZERO_WIDTH, ""))
-    runs = runs.join(alternatives(thesaurus, modern_only), "word", "left")
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in keys), F.col("_no").cast("string")))
+    named = choices(thesaurus, modern_only)
+    df = df.withColumn("t", F.coalesce("t", F.lit("")))
+    pieces = _with_numbers(_pieces(df, keys), named)
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in keys), F.col("no").cast("string")))
     draw = lambda at: F.conv(F.substring(h, at, 7), 16, 10).cast("long")
-    swap = F.col("choices").isNotNull() & (F.pmod(draw(1), F.lit(1_000_000)) < level)
-    runs = runs.withColumn("out", F.when(swap, F.get("choices", F.pmod(draw(9), F.size("choices")).cast("int"))).otherwise(F.when(F.col("word") == "", F.col("run")).otherwise(F.col("word")))).withColumn("swap", swap)
-    ordered = F.array_sort(F.collect_list(F.struct("_no", "out")))
-    out = runs.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x.out), "").alias("text"), F.sum(F.col("swap").cast("long")).alias("swapped"), F.sum(F.col("choices").isNotNull().cast("long")).alias("swappable"))
-    return out
+    swap = F.col("n").isNotNull() & (F.pmod(draw(1), F.lit(1_000_000)) < level)
+    return _assembled(pieces.withColumn("choice", F.when(swap, F.pmod(draw(9), F.col("n")).cast("int"))), named, keys)
 
 
 def paraphrase_exact(df: DataFrame, thesaurus: DataFrame, *keys: str, aggressiveness: float = 0.5, seed: int = 0, modern_only: bool = False) -> DataFrame:
-    """keys, text, replacements, swapped and swappable with Python's generator seeded per text: a draw per swappable word, then a choice."""
+    """As paraphrase(), with Python's generator seeded per text: a draw per swappable word in order, then a choice."""
     level = min(max(aggressiveness, 0.0), 1.0)
-    runs = df.select(*keys, F.posexplode(S.segments(F.col("t"))).alias("_no", "run")).withColumn("word", F.translate("run", S.ZERO_WIDTH, ""))
-    runs = runs.join(alternatives(thesaurus, modern_only), "word", "left")
-    per_text = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_no", "run", "word", "choices"))).alias("r"))
+    named = choices(thesaurus, modern_only)
+    df = df.withColumn("t", F.coalesce("t", F.lit("")))
+    pieces = _with_numbers(_pieces(df, keys), named)
+    texts = pieces.groupBy("_row", *keys).agg(F.array_sort(F.collect_list(F.struct("i", "gap", "run", "word", "key", "n"))).alias("p"))
 
-    @F.pandas_udf("text string, replacements array<struct<start:int,end:int,original:string,choices:array<string>,used:string>>, swapped long, swappable long")
-    def rewrite(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<int>")
+    def draws(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            rows = []
-            for runs in texts:
-                rng, out, at, swaps = random.Random(seed), [], 0, []
-                for r in runs:
-                    piece, choices = r["word"] or r["run"], r["choices"]
-                    if choices is not None and len(choices):
-                        used = rng.choice(list(choices)) if rng.random() < level else None
-                        piece = used or piece
-                        swaps.append({"start": at, "end": at + len(piece), "original": r["word"], "choices": list(choices), "used": used})
-                    out.append(piece)
-                    at += len(piece)
-                rows.append(("".join(out), swaps, sum(s["used"] is not None for s in swaps), len(swaps)))
-            yield pd.DataFrame(rows, columns=["text", "replacements", "swapped", "swappable"])
-
-    return per_text.select(*keys, rewrite("r").alias("p")).select(*keys, "p.*")
+            out = []
+            for numbers in texts:
+                rng, row = random.Random(seed), []
+                for n in numbers:
+                    row.append(rng.choice(range(n)) if n and rng.random() < level else None)
+                out.append(row)
+            yield pd.Series(out, dtype="object")
+
+    drawn = texts.withColumn("c", draws(F.transform("p", lambda x: F.coalesce(x.n, F.lit(0)))))
+    rows = drawn.select("_row", *keys, F.explode(F.arrays_zip("p", F.col("c"))).alias("x")).select("_row", *keys, "x.p.*", F.col("x.c").alias("choice"))
+    return _assembled(rows, named, keys)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import script as S
@@ -61,27 +61,49 @@ def word_status(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     return out.select("word", status.alias("status"), "via")
 
 
-def delete_index(lexicon: DataFrame) -> DataFrame:
+def _delete_keys(max_edits: int) -> Column:
+    return S.let(S.unit_keys(F.col("word")), lambda k: S.deletes(k, F.least(S.edits_allowed(k), F.lit(max_edits))))
+
+
+def delete_index(lexicon: DataFrame, max_edits: int = 2) -> DataFrame:
     """(dk, word): the delete keys of each well-formed word."""
-    keys = S.unit_keys(F.col("word"))
     fine = lexicon.filter(S.is_well_formed(F.col("word")))
-    return fine.select("word", F.explode(S.let(keys, lambda k: S.deletes(k, S.edits_allowed(k)))).alias("dk")).select("dk", "word")
+    return fine.select("word", F.explode(_delete_keys(max_edits)).alias("dk")).select("dk", "word")
+
+
+def candidates(words: DataFrame, lexicon: DataFrame, max_edits: int = 2) -> DataFrame:
+    """Distinct (query, word) that share a delete key: an equi-join instead of all pairs. One edit makes a smaller index."""
+    asked = words.select(F.col("word").alias("query"), F.explode(_delete_keys(max_edits)).alias("dk"))
+    return asked.join(delete_index(lexicon, max_edits), "dk").select("query", "word").distinct()
 
 
-def candidates(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Distinct (query, word) that share a delete key: an equi-join instead of all pairs."""
-    keys = S.unit_keys(F.col("word"))
-    asked = words.select(F.col("word").alias("query"), F.explode(S.let(keys, lambda k: S.deletes(k, S.edits_allowed(k)))).alias("dk"))
-    return asked.join(delete_index(lexicon), "dk").select("query", "word").distinct()
+def frequency(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(word, freq) of words: 0 for one that the lexicon doesn't have."""
+    return words.select("word").join(lexicon.select("word", "freq"), "word", "left").select("word", F.coalesce("freq", F.lit(0)).alias("freq"))
 
 
-def rank(words: DataFrame, lexicon: DataFrame, limit: int = 5) -> DataFrame:
+def rank(words: DataFrame, lexicon: DataFrame, limit: int = 5, max_edits: int = 2, places: int = 3) -> DataFrame:
     """(query, rank, word, cost): the nearest lexicon words, by cost, frequency and word; costs rounded to three places."""
-    pairs = candidates(words, lexicon).join(lexicon, "word")
+    pairs = candidates(words, lexicon, max_edits).join(lexicon, "word")
     join = lambda c: F.array_join(S.unit_keys(F.col(c)), "")
     scored = pairs.withColumn("d", distance(join("query"), join("word"))).filter(F.col("d") <= MAX_COST)
     w = Window.partitionBy("query").orderBy("d", F.desc("freq"), "word")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("query", "rank", "word", F.round("d", 3).alias("cost"))
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("query", "rank", "word", F.round("d", places).alias("cost"))
+
+
+def check_words(words: DataFrame, lexicon: DataFrame, limit: int = 5) -> DataFrame:
+    """(word, status, via, errors, suggestions) of distinct words; suggestions only where the status is a fault."""
+    status = word_status(words, lexicon)
+    bad = status.filter("status in ('structure', 'unknown')").select("word")
+    best = rank(bad, lexicon, limit).groupBy(F.col("query").alias("word")).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("word").alias("w"), "cost"))).alias("s"))
+    suggestions = F.transform(F.coalesce("s", F.array()), lambda x: F.struct(x.w.alias("word"), x.cost.alias("cost")))
+    return status.join(best, "word", "left").select("word", "status", "via", _errors(), suggestions.alias("suggestions"))
+
+
+def _errors() -> Column:
+    """What is wrong with a malformed word; empty for any other status."""
+    errors = S.explained(S.structure_errors(F.col("word")))
+    return F.when(F.col("status") == "structure", errors).otherwise(F.slice(errors, 1, 0)).alias("errors")
 
 
 def rerank(occurrences: DataFrame, ranked: DataFrame, bigrams: DataFrame, limit: int = 5) -> DataFrame:
@@ -97,6 +119,9 @@ def rerank(occurrences: DataFrame, ranked: DataFrame, bigrams: DataFrame, limit:
 
 
 def with_neighbours(tokens: DataFrame, *keys: str) -> DataFrame:
+    """tokens with prev and next, the words around, unless they have them already (see corpus.tokens)."""
+    if {"prev", "next"} <= set(tokens.columns):
+        return tokens
     w = Window.partitionBy(*keys).orderBy("pos")
     return tokens.withColumn("prev", F.lag("word").over(w)).withColumn("next", F.lead("word").over(w))
 
@@ -120,13 +145,15 @@ def context_errors(tokens: DataFrame, lexicon: DataFrame, bigrams: DataFrame, *k
 
 
 def check_text(tokens: DataFrame, lexicon: DataFrame, bigrams: DataFrame, *keys: str) -> DataFrame:
-    """keys, pos, word, start, end, status, via and suggestions (array of word and cost) of every issue."""
+    """keys, pos, word, start, end, status, errors (index, code and message) and suggestions (word and cost) of every issue."""
     status = word_status(tokens.select("word"), lexicon)
-    bad = status.filter("status in ('structure', 'unknown')")
+    bad = status.filter("status in ('structure', 'unknown')").select("word", "status")
     occ = with_neighbours(tokens, *keys).join(bad, "word")
     ranked = rank(bad.select("word"), lexicon, limit=15)
     best = rerank(occ.select(*keys, "pos", "word", "prev", "next"), ranked, bigrams)
     best = best.groupBy(*keys, "pos").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("cand").alias("word"), "cost"))).alias("s"))
-    issues = occ.join(best, [*keys, "pos"], "left").select(*keys, "pos", "word", "start", "end", "status", F.transform(F.coalesce("s", F.array()), lambda x: F.struct(x.word.alias("word"), x.cost.alias("cost"))).alias("suggestions"))
-    context = context_errors(tokens, lexicon, bigrams, *keys).select(*keys, "pos", "word", "start", "end", F.lit("context").alias("status"), F.array(F.struct(F.col("alt").alias("word"), F.lit(0.4).alias("cost"))).alias("suggestions"))
+    suggestions = F.transform(F.coalesce("s", F.array()), lambda x: F.struct(x.word.alias("word"), x.cost.alias("cost")))
+    issues = occ.join(best, [*keys, "pos"], "left").select(*keys, "pos", "word", "start", "end", "status", _errors(), suggestions.alias("suggestions"))
+    context = context_errors(tokens, lexicon, bigrams, *keys).withColumn("status", F.lit("context"))
+    context = context.select(*keys, "pos", "word", "start", "end", "status", _errors(), F.array(F.struct(F.col("alt").alias("word"), F.lit(0.4).alias("cost"))).alias("suggestions"))
     return issues.unionByName(context)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import script as S
 from ..functions.udfs import html_text as html_text_udf
 from ..operators import corpus, dictionary, evaluation, export, grammar, morphology, paraphrase, spelling
+from ..sources.scratch import stored
 from .restatements import ORACLES  # noqa: F401  part of this module's interface
 
 
@@ -28,12 +29,12 @@ def _counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _lexicon(spark: SparkSession, sf: str) -> DataFrame:
-    """The lexicon that documents give; cached, as several branches of a query read it."""
-    return corpus.derived_lexicon(_counts(spark, sf)).cache()
+    """The lexicon that documents give; stored, as several branches of a query read it."""
+    return stored(corpus.derived_lexicon(_counts(spark, sf)), "lexicon")
 
 
 def _bigrams(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.bigrams(_docs(spark, sf)).filter("cnt >= 3")
+    return stored(corpus.bigrams(_docs(spark, sf)).filter("cnt >= 3"), "bigrams")
 
 
 def _marked(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,7 +57,7 @@ def _entries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _thesaurus(spark: SparkSession, sf: str) -> DataFrame:
-    return paraphrase.attested(corpus.harvest_synonyms(_entries(spark, sf)), _counts(spark, sf))
+    return stored(paraphrase.attested(corpus.harvest_synonyms(_entries(spark, sf)), _counts(spark, sf)), "thesaurus")
 
 
 def _corrupted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -149,13 +150,34 @@ def suggestions(spark, sf):
 
 
 def context_errors(spark, sf):
-    talk = corpus.tokens(_talk(spark, sf), "conv_id", "turn")
+    talk = corpus.tokens(_talk(spark, sf), "conv_id", "turn", neighbours=True)
     return spelling.context_errors(talk, _lexicon(spark, sf), _bigrams(spark, sf), "conv_id", "turn")
 
 
 def spell_issues(spark, sf):
-    talk = corpus.tokens(_talk(spark, sf), "conv_id", "turn")
-    return spelling.check_text(talk, _lexicon(spark, sf), _bigrams(spark, sf), "conv_id", "turn")
+    talk = corpus.tokens(_talk(spark, sf), "conv_id", "turn", neighbours=True)
+    issues = spelling.check_text(talk, _lexicon(spark, sf), _bigrams(spark, sf), "conv_id", "turn")
+    errors = F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e.index.cast("string"), e.code, e.message)), "|")
+    suggestions = F.array_join(F.transform("suggestions", lambda s: F.concat_ws(":", s.word, s.cost.cast("string"))), "|")
+    return issues.withColumns({"errors": errors, "suggestions": suggestions})
+
+
+def check_words(spark, sf):
+    words = corpus.unigrams(_talk(spark, sf))
+    out = spelling.check_words(words, _lexicon(spark, sf))
+    errors = F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e.index.cast("string"), e.code)), "|")
+    return out.withColumns({"errors": errors, "suggestions": F.array_join(F.transform("suggestions", lambda s: s.word), "|")})
+
+
+def frequency(spark, sf):
+    return spelling.frequency(corpus.unigrams(_talk(spark, sf)), _lexicon(spark, sf))
+
+
+def suggestions_one_edit(spark, sf):
+    """Suggestions from the smaller index of single deletes, costs to two places."""
+    lexicon = _lexicon(spark, sf)
+    words = corpus.unigrams(_talk(spark, sf)).select("word").join(lexicon.select("word"), "word", "left_anti")
+    return spelling.rank(words, lexicon, max_edits=1, places=2)
 
 
 def _grammar(rule):
@@ -210,7 +232,12 @@ def alternatives(spark, sf):
 
 
 def paraphrase_hash(spark, sf):
-    return paraphrase.paraphrase(_docs(spark, sf), _thesaurus(spark, sf), "doc_id")
+    return paraphrase.paraphrase(_docs(spark, sf), _thesaurus(spark, sf), "doc_id").drop("replacements")
+
+
+def paraphrase_replacements(spark, sf):
+    out = paraphrase.paraphrase(_docs(spark, sf), _thesaurus(spark, sf), "doc_id")
+    return out.select("doc_id", F.explode("replacements").alias("x")).select("doc_id", "x.*")
 
 
 def paraphrase_exact(spark, sf):
@@ -226,7 +253,7 @@ def page_text(spark, sf):
 
 
 def unknown_top(spark, sf):
-    words = corpus.unigrams(_talk(spark, sf)).cache()
+    words = stored(corpus.unigrams(_talk(spark, sf)), "words")
     return dictionary.unknown_top(words, spelling.word_status(words, _lexicon(spark, sf)))
 
 
@@ -240,9 +267,15 @@ def eval_sample(spark, sf):
 
 def eval_summary(spark, sf):
     lexicon = _lexicon(spark, sf)
-    made = evaluation.corruptions(evaluation.sample(evaluation.pool(lexicon), 100)).cache()
+    made = stored(evaluation.trials(lexicon), "trials")
+    clean = stored(evaluation.sample(evaluation.pool(lexicon), 500).select("word"), "clean")
     wrong = made.select(F.col("wrong").alias("word")).distinct()
-    return evaluation.summary(made, spelling.word_status(wrong, lexicon), spelling.rank(wrong, lexicon))
+    status = spelling.word_status(wrong.union(clean).distinct(), lexicon)
+    return evaluation.summary(made, status, spelling.rank(wrong, lexicon)).union(evaluation.false_positives(clean, status))
+
+
+def eval_trials(spark, sf):
+    return evaluation.trials(_lexicon(spark, sf))
 
 
 def hunspell_rep(spark, sf):
@@ -263,14 +296,14 @@ def lexicon_bundle(spark, sf):
 
 def editor_matches(spark, sf):
     talk = _talk(spark, sf)
-    issues = spelling.check_text(corpus.tokens(talk, "conv_id", "turn"), _lexicon(spark, sf), _bigrams(spark, sf), "conv_id", "turn")
+    issues = spelling.check_text(corpus.tokens(talk, "conv_id", "turn", neighbours=True), _lexicon(spark, sf), _bigrams(spark, sf), "conv_id", "turn")
     return export.matches(issues, grammar.check(talk, "conv_id", "turn"), "conv_id", "turn")
 
 
 _NAMED = (
     latin_to_thaana, thaana_to_latin, tokens_offsets, unit_parse, structure_errors, unigrams, bigrams, char_frequency, derived_lexicon, new_words, merge_counts, lexicon_upsert, headword_harvest,
-    morph_generate, morph_analyze, word_status, delete_index, candidates, suggestions, context_errors, spell_issues, grammar_issues, grammar_fixed, to_formal, to_informal,
-    define_exact, define_prefix, inverted_index, reverse_lookup, dictionary_stats, thesaurus, alternatives, paraphrase_hash, paraphrase_exact, clean_markup, page_text, unknown_top,
-    eval_corruptions, eval_sample, eval_summary, hunspell_rep, hunspell_try, hunspell_sfx, lexicon_bundle, editor_matches,
+    morph_generate, morph_analyze, word_status, delete_index, candidates, suggestions, context_errors, spell_issues, check_words, frequency, suggestions_one_edit, grammar_issues, grammar_fixed, to_formal, to_informal,
+    define_exact, define_prefix, inverted_index, reverse_lookup, dictionary_stats, thesaurus, alternatives, paraphrase_hash, paraphrase_replacements, paraphrase_exact, clean_markup, page_text, unknown_top,
+    eval_corruptions, eval_sample, eval_trials, eval_summary, hunspell_rep, hunspell_try, hunspell_sfx, lexicon_bundle, editor_matches,
 )
 QUERIES = {f.__name__: f for f in _NAMED} | {f"grammar_{name}": _grammar(rule) for name, rule in grammar.RULES.items()}

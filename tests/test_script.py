@@ -1,9 +1,12 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from akuru.functions import script as S
-from akuru.functions.udfs import plain_html_text, unit_distance
+from akuru.functions.udfs import distances, plain_html_text
 from akuru.operators import corpus, grammar
+from tests.plain import unit_distance
 
 
 def column(spark, values, make, name="x"):
@@ -43,16 +46,33 @@ def test_units_and_deletes(spark):
 )
 def test_distance(a, b, cost):
     keys = lambda s: [s[k : k + 2] for k in range(0, len(s), 2)]
-    assert unit_distance(keys(a), keys(b)) == pytest.approx(cost)
+    assert distances([a], [b])[0] == pytest.approx(cost) == unit_distance(keys(a), keys(b))
+
+
+def test_distances_of_many_pairs():
+    rng = random.Random(5)
+    unit = lambda: rng.choice("ހނރސޞކޤއ-") + rng.choice("ަާިީް_")
+    pairs = []
+    for _ in range(5000):
+        a = [unit() for _ in range(rng.randrange(8))]
+        b = list(a)
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(b) + 1)
+            b = rng.choice([b[:k] + [unit()] + b[k:], b[:k] + b[k + 1 :], b[:k] + b[k + 1 : k + 2] + b[k : k + 1] + b[k + 2 :], b[:k] + [unit()] + b[k + 1 :]])
+        pairs.append((a, b))
+    got = distances(["".join(a) for a, _ in pairs], ["".join(b) for _, b in pairs])
+    assert got.tolist() == [unit_distance(a, b) for a, b in pairs]
 
 
 def test_an_early_end_is_kept():
     """A swap reaches over a row whose least value is above the limit; the search has ended by then."""
-    assert unit_distance(["އަ", "ބަ", "ތަ", "މަ"], ["އާ", "ބަ", "މަ", "ތަ"], 1.0) == 2.0
+    a, b = ["އަ", "ބަ", "ތަ", "މަ"], ["އާ", "ބަ", "މަ", "ތަ"]
+    assert unit_distance(a, b, 1.0) == 2.0 == distances(["".join(a)], ["".join(b)], 1.0)[0]
 
 
 def test_html_text():
     assert plain_html_text("<p>a &amp; b<script>x</script><b>c</b>") == "a & b c"
+    assert plain_html_text("<!-- <p> -->a<style>p > q</style><br/>b &am") == "a"
     assert plain_html_text("no tags &amp;") == "no tags &amp;" and plain_html_text(None) is None
 
 
