@@ -14,6 +14,25 @@ q = S.quoted
 TZ = S.THAANA + S.ZERO_WIDTH
 _values = lambda rows: ", ".join("(" + ", ".join(q(x) if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 
+
+def _by_chunks(text: str) -> str:
+    """Transliteration without the chain of replacements: the text in chunks, each written by the chunks around it."""
+    both = lambda s: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s)
+    consonants = {**S.DIGRAPHS, **S.SINGLES, "x": "ކް" + S.SINGLES["s"]}
+    long_first = lambda names: "|".join(both(n) for n in sorted(names, key=lambda n: (-len(n), n)))
+    cut = f"{both('n')}'|{long_first(consonants)}|{long_first(S.VOWELS)}|(?s:.)"
+    # x[1] the chunk, x[2] the one before, x[3] the one after
+    small = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    is_in = lambda x, names: f"{small(x)} IN ({', '.join(q(n) for n in names)})"
+    letter = "CASE " + " ".join(f"WHEN {small('x[1]')} = '{n}' THEN {q(c)}" for n, c in consonants.items() if n != "h") + f" WHEN regexp_matches(x[3], '^\\p{{L}}') THEN '{S.SINGLES['h']}' ELSE '{S.DIGRAPHS['sh']}' END"
+    sign = "CASE " + " ".join(f"WHEN {small('x[1]')} = '{n}' THEN {q(c)}" for n, c in S.VOWELS.items()) + " END"
+    bare = q("n'")
+    each = f"""CASE WHEN {small('x[1]')} = {bare} THEN '{S.NOONU}'
+        WHEN {is_in('x[1]', consonants)} THEN {letter} || CASE WHEN {is_in('x[3]', S.VOWELS)} THEN '' ELSE '{S.SUKUN}' END
+        WHEN {is_in('x[1]', S.VOWELS)} THEN CASE WHEN {is_in('x[2]', consonants)} THEN '' ELSE '{S.ALIFU}' END || {sign} ELSE x[1] END"""
+    return f"(SELECT coalesce(array_to_string(list_transform(list_zip(c, list_concat([''], c[1:len(c) - 1]), list_concat(c[2:], [''])), lambda x: {each}), ''), '') FROM (SELECT regexp_extract_all({text}, {q(cut)}) AS c))"
+
+
 D = f"d AS (SELECT doc_id, {S.latin_to_thaana_sql("coalesce(text, '')")} AS t FROM documents)"
 TALK = f"k AS (SELECT conv_id, turn, {S.latin_to_thaana_sql("coalesce(text, '')")} AS t FROM conversations)"
 WORDS = f"{D}, dw AS (SELECT doc_id, {S.words_sql('t')} AS w FROM d), u AS (SELECT word, count(*) AS cnt FROM (SELECT unnest(w) AS word FROM dw) GROUP BY word)"
@@ -116,6 +135,7 @@ ws AS (SELECT word, CASE WHEN lex.word IS NOT NULL THEN 'ok' WHEN bad THEN 'stru
 
 _DEL = f"""(SELECT word, array_to_string(list_filter(k, lambda x, j: j NOT IN (a, b)), '') AS dk FROM (SELECT word, k, unnest(range(0, len(k) + 1)) AS a FROM {{source}}), range(0, 99) AS r(b)
     WHERE b <= len(k) AND (a = 0 AND b = 0 OR a = 0 AND b > 0 OR a > 0 AND b > a AND len(k) > 2))"""
+_deletes1 = lambda source: "SELECT DISTINCT dk, word FROM " + _DEL.replace("{source}", f"(SELECT word, {S.unit_keys_sql('word')} AS k FROM {source})").replace("a > 0 AND b > a AND len(k) > 2", "false")
 _deletes = lambda source: "SELECT DISTINCT dk, word FROM " + _DEL.replace("{source}", f"(SELECT word, {S.unit_keys_sql('word')} AS k FROM {source})")
 
 _like = " ".join(f"WHEN '{ch}' THEN [{', '.join(q(x) for x in g if x != ch)}]" for g in S.CONFUSION_SETS for ch in g)
@@ -157,6 +177,49 @@ dp(query, word, a, b, i, p2, p) AS (
 ds AS (SELECT query, word, p[-1] AS d FROM dp WHERE i = len(a) AND p[-1] <= 2.0)"""
 
 
+def _messages(errors: str, message: bool) -> str:
+    tail = " || ':' || CASE e.code " + " ".join(f"WHEN {q(c)} THEN {q(m)}" for c, m in S.STRUCTURE_MESSAGE.items()) + " END" if message else ""
+    return f"coalesce(array_to_string(list_transform({errors}, lambda e: e.index || ':' || e.code{tail}), '|'), '')"
+
+
+_BAD = f"""bad AS (SELECT word, status FROM ws WHERE status IN ('structure', 'unknown')), x AS ({_deletes('bad')}), y AS ({_deletes('lex')}), pairs_ AS (SELECT DISTINCT x.word AS query, y.word AS word FROM x JOIN y USING (dk)), {DISTANCE},
+rk AS (SELECT * FROM (SELECT query, word, round(d, 3) AS cost, row_number() OVER (PARTITION BY query ORDER BY d, freq DESC, word) AS rank FROM ds JOIN lex USING (word)) WHERE rank <= 15)"""
+#: Rows conv_id, turn, pos, word, start, end, status, errors, s (list of cand and cost).
+ISSUES = f"""{LEX}, {TALKW}, {BI3}, {STATUS}, {_BAD}, {CONTEXT},
+occ AS (SELECT n.*, status FROM n JOIN bad USING (word)),
+cd AS (SELECT conv_id, turn, pos, rk.word AS cand, rk.rank, cost, cost - (CASE WHEN l.w1 IS NULL THEN 0 ELSE 0.45::DOUBLE END + CASE WHEN r.w1 IS NULL THEN 0 ELSE 0.45::DOUBLE END) AS score
+    FROM occ JOIN rk ON rk.query = occ.word LEFT JOIN b3 AS l ON l.w1 = prev AND l.w2 = rk.word LEFT JOIN b3 AS r ON r.w1 = rk.word AND r.w2 = next),
+sg AS (SELECT conv_id, turn, pos, list(struct_pack(cand := cand, cost := cost) ORDER BY score, rank)[1:5] AS s FROM cd GROUP BY conv_id, turn, pos),
+iss AS (SELECT conv_id, turn, pos, word, start, "end", status, CASE status WHEN 'structure' THEN {_messages(S.structure_errors_sql('word'), True)} ELSE '' END AS errors, coalesce(s, []) AS s FROM occ LEFT JOIN sg USING (conv_id, turn, pos)
+    UNION ALL SELECT conv_id, turn, pos, word, start, "end", 'context', '', [struct_pack(cand := alt, cost := 0.4::DOUBLE)] FROM bst WHERE r = 1)"""
+MATCHES = f"""m AS (SELECT conv_id || ':' || turn AS doc_id, t FROM k), {_TOK.replace("tk AS", "gt AS").replace("FROM tk ", "FROM gt ")}, {_SENT},
+gi AS (SELECT doc_id, rule, {_SEV} AS severity, {_MSG} AS message, start, "end", replacement, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", ord, rule) AS no FROM ({_ISSUES})),
+both_ AS (SELECT conv_id || ':' || turn AS doc_id, 0 AS o, pos AS p, start AS off, to_json(struct_pack(message := CASE status WHEN 'structure' THEN 'Thaana structure error' ELSE 'Unknown word' END, shortMessage := 'Spelling', "offset" := start, length := "end" - start,
+        replacements := list_transform(s, lambda v: struct_pack(value := v.cand)), rule := struct_pack(id := 'DV_SPELL_' || upper(status), description := 'Dhivehi spelling', issueType := 'misspelling', category := struct_pack(id := 'TYPOS', name := 'Spelling'))))::VARCHAR AS match FROM iss
+    UNION ALL SELECT doc_id, 1, no, start, to_json(struct_pack(message := message, shortMessage := rule, "offset" := start, length := "end" - start, replacements := CASE WHEN replacement IS NULL THEN [] ELSE [struct_pack(value := replacement)] END,
+        rule := struct_pack(id := 'DV_' || upper(replace(rule, '-', '_')), description := message, issueType := CASE severity WHEN 'style' THEN 'style' ELSE 'grammar' END, category := struct_pack(id := 'GRAMMAR', name := 'Grammar'))))::VARCHAR FROM gi)"""
+
+_H = lambda *c: "md5(concat_ws(':', '42', " + ", ".join(c) + "))"
+TRIALS = f"""{CORRUPT},
+fq AS (SELECT word, freq, ('0x' || substring(md5(word), 1, 4))::BIGINT % 256 AS b FROM lex WHERE word IN (SELECT word FROM pool)),
+ends AS (SELECT word, freq, sum(freq) OVER (ORDER BY b, word) AS e FROM fq),
+dr AS (SELECT draw, word FROM (SELECT k AS draw, ('0x' || substring(md5('42:' || k), 1, 12))::BIGINT % (SELECT sum(freq) FROM fq) AS a FROM range(0, 750) AS r(k)) JOIN ends ON a < e AND a >= e - freq),
+tr AS (SELECT draw::INT AS draw, word, kind, wrong FROM (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY {_H('draw::VARCHAR', 'kind')}, kind, {_H('draw::VARCHAR', 'kind', 'wrong')}, wrong) AS r FROM dr JOIN cr USING (word) WHERE wrong <> word AND wrong NOT IN (SELECT word FROM lex)) WHERE r = 1 ORDER BY draw LIMIT 500)"""
+_SAMPLE = f"""SELECT word, freq FROM lex WHERE len({S.chunks_sql('word')}) >= 3 ORDER BY -ln((('0x' || substring(md5('42:' || word), 1, 12))::BIGINT::DOUBLE + 1) / {float(16**12 + 1)!r}) / freq, word LIMIT 500"""
+SUMMARY = f"""ku AS (SELECT wrong AS word FROM tr UNION SELECT word FROM ({_SAMPLE})), {STATUS}, {_BAD},
+jd AS (SELECT tr.kind, (ws.status IN ('structure', 'unknown'))::BIGINT AS d, coalesce(rk.rank, 99) AS rank FROM tr JOIN ws ON ws.word = wrong LEFT JOIN rk ON rk.query = wrong AND rk.word = tr.word)"""
+
+
+def _page(html: str) -> str:
+    """Text outside tags, comments, scripts and styles, joined by spaces; the references that the pages use are decoded."""
+    for tag in ("script", "style", "noscript"):
+        html = f"regexp_replace({html}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '<i>', 'g')"
+    text = f"array_to_string(list_filter(regexp_split_to_array({html}, '(?s)<!--.*?-->|<[!?/]?[A-Za-z!?][^<>]*>'), lambda x: x <> ''), ' ')"
+    for name, ch in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("nbsp", " "), ("#39", "'"), ("amp", "&")):
+        text = f"replace({text}, '&{name};', {q(ch)})"
+    return text
+
+
 def _clean(text: str) -> str:
     for pattern, new in CLEAN_MARKUP:
         text = f"regexp_replace({text}, {q(pattern)}, {q(new)}, 'g')"
@@ -164,12 +227,14 @@ def _clean(text: str) -> str:
 
 
 _HASH = "md5(concat_ws(':', '0', doc_id::VARCHAR, k::VARCHAR))"
-PARA = f"""{THES}, {ALT(0)}, rn AS (SELECT doc_id, unnest(r) AS run, generate_subscripts(r, 1) - 1 AS k FROM (SELECT doc_id, regexp_extract_all(t, '[{TZ}]+|[^{TZ}]+') AS r FROM d)),
-ch AS (SELECT rn.*, choices, choices IS NOT NULL AND ('0x' || substring({_HASH}, 1, 7))::BIGINT % 1000000 < 500000 AS swap, ('0x' || substring({_HASH}, 9, 7))::BIGINT AS pick FROM rn LEFT JOIN al ON al.word = translate(run, '{S.ZERO_WIDTH}', ''))
-SELECT doc_id, string_agg(CASE WHEN swap THEN choices[pick % len(choices) + 1] ELSE coalesce(nullif(translate(run, '{S.ZERO_WIDTH}', ''), ''), run) END, '' ORDER BY k) AS text, sum(swap::INT)::BIGINT AS swapped, count(choices) AS swappable FROM ch GROUP BY doc_id"""
+PARA_ROWS = f"""{THES}, {ALT(0)}, rn AS (SELECT doc_id, unnest(r) AS run, generate_subscripts(r, 1) - 1 AS k FROM (SELECT doc_id, regexp_extract_all(t, '[{TZ}]+|[^{TZ}]+') AS r FROM d)),
+c0 AS (SELECT rn.*, translate(run, '{S.ZERO_WIDTH}', '') AS word, choices, choices IS NOT NULL AND ('0x' || substring({_HASH}, 1, 7))::BIGINT % 1000000 < 500000 AS swap, ('0x' || substring({_HASH}, 9, 7))::BIGINT AS pick FROM rn LEFT JOIN al ON al.word = translate(run, '{S.ZERO_WIDTH}', '')),
+ch AS (SELECT *, CASE WHEN swap THEN choices[pick % len(choices) + 1] ELSE coalesce(nullif(word, ''), run) END AS run_out FROM c0)"""
+PARA = f"""{PARA_ROWS}, px AS (SELECT doc_id, string_agg(run_out, '' ORDER BY k) AS text, sum(swap::INT)::BIGINT AS swapped, count(choices) AS swappable FROM ch GROUP BY doc_id)
+SELECT doc_id, coalesce(text, '') AS text, coalesce(swapped, 0) AS swapped, coalesce(swappable, 0) AS swappable FROM d LEFT JOIN px USING (doc_id)"""
 
 ORACLES: dict[str, str] = {
-    "latin_to_thaana": f"WITH {D} SELECT doc_id, t FROM d",
+    "latin_to_thaana": f"SELECT doc_id, {_by_chunks("coalesce(text, '')")} AS t FROM documents",
     "thaana_to_latin": f"WITH {D} SELECT doc_id, {S.thaana_to_latin_sql('t')} AS l FROM d",
     "tokens_offsets": f"WITH {D} {_tokens('d', 'doc_id')}",
     "unit_parse": f"WITH {WORDS} SELECT word, array_to_string({S.unit_keys_sql('word')}, ' ') AS units, len({S.unit_keys_sql('word')}) AS n FROM u",
@@ -210,6 +275,18 @@ ORACLES: dict[str, str] = {
     "clean_markup": f"SELECT page_id, {_clean("coalesce(html, '')")} AS text FROM pages",
     "unknown_top": f"WITH {LEX}, {TALKW}, {STATUS} SELECT word, cnt FROM ku JOIN ws USING (word) WHERE status = 'unknown' ORDER BY cnt DESC, word LIMIT 100",
     "eval_corruptions": f"WITH {LEX}, {CORRUPT} SELECT word, kind, wrong FROM cr WHERE wrong <> word",
+    "page_text": f"SELECT page_id, {_page('html')} AS text FROM pages",
+    "spell_issues": f"""WITH RECURSIVE {ISSUES} SELECT conv_id, turn, pos, word, start, "end", status, errors, coalesce(array_to_string(list_transform(s, lambda v: v.cand || ':' || v.cost), '|'), '') AS suggestions FROM iss""",
+    "editor_matches": f"""WITH RECURSIVE {ISSUES}, {MATCHES} SELECT split_part(doc_id, ':', 1)::BIGINT AS conv_id, split_part(doc_id, ':', 2)::INT AS turn, (row_number() OVER (PARTITION BY doc_id ORDER BY off, o, p))::INT AS no, off AS "offset", match FROM both_""",
+    "check_words": f"""WITH RECURSIVE {LEX}, {TALKW}, {STATUS}, {_BAD}, sg AS (SELECT query, string_agg(word, '|' ORDER BY rank) AS s FROM rk WHERE rank <= 5 GROUP BY query)
+        SELECT word, status, via, CASE status WHEN 'structure' THEN {_messages(S.structure_errors_sql('word'), False)} ELSE '' END AS errors, coalesce(s, '') AS suggestions FROM ws LEFT JOIN sg ON query = word""",
+    "frequency": f"WITH {LEX}, {TALKW} SELECT word, coalesce(freq, 0) AS freq FROM ku LEFT JOIN lex USING (word)",
+    "suggestions_one_edit": f"""WITH RECURSIVE {LEX}, {TALKW}, a AS (SELECT word FROM ku WHERE word NOT IN (SELECT word FROM lex)), x AS ({_deletes1('a')}), y AS ({_deletes1('lex')}), pairs_ AS (SELECT DISTINCT x.word AS query, y.word AS word FROM x JOIN y USING (dk)), {DISTANCE}
+        SELECT query, rank::INT AS rank, word, cost FROM (SELECT query, word, round(d, 2) AS cost, row_number() OVER (PARTITION BY query ORDER BY d, freq DESC, word) AS rank FROM ds JOIN lex USING (word)) WHERE rank <= 5""",
+    "paraphrase_replacements": f"""WITH {PARA_ROWS}, en AS (SELECT *, sum(length(run_out)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM ch) SELECT doc_id, (e - length(run_out))::INT AS start, e::INT AS "end", word AS original, len(choices)::INT AS choices, CASE WHEN swap THEN run_out END AS used FROM en WHERE choices IS NOT NULL""",
+    "eval_trials": f"WITH {LEX}, {TRIALS} SELECT draw, word, kind, wrong FROM tr",
+    "eval_summary": f"""WITH RECURSIVE {LEX}, {TRIALS}, {SUMMARY} SELECT coalesce(kind, 'TOTAL') AS kind, count(*) AS n, sum(d)::BIGINT AS detected, sum(d * (rank <= 1)::INT)::BIGINT AS top1, sum(d * (rank <= 5)::INT)::BIGINT AS top5 FROM jd GROUP BY ROLLUP (kind)
+        UNION ALL SELECT 'FALSE_POSITIVES', count(*), coalesce(sum((status IN ('structure', 'unknown'))::INT), 0)::BIGINT, 0, 0 FROM ({_SAMPLE}) JOIN ws USING (word)""",
     "eval_sample": f"WITH {LEX} SELECT word, freq FROM lex WHERE len({S.chunks_sql('word')}) >= 3 ORDER BY -ln((('0x' || substring(md5('42:' || word), 1, 12))::BIGINT::DOUBLE + 1) / {float(16**12 + 1)!r}) / freq, word LIMIT 500",
     "hunspell_rep": f"SELECT no::INT AS no, a, b FROM (VALUES {_values([(k, a, b) for k, (a, b) in enumerate(replacement_pairs())])}) AS t(no, a, b)",
     "hunspell_try": f"WITH {LEX} SELECT string_agg(ch, '' ORDER BY cnt DESC, ch) AS try FROM (SELECT ch, count(*) AS cnt FROM (SELECT unnest(string_split(word, '')) AS ch FROM lex) GROUP BY ch)",
