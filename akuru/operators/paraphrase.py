@@ -46,10 +46,11 @@ def _pieces(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     that no word equals, so such rows don't meet in one task.
     """
     runs = F.concat(F.regexp_extract_all("t", F.lit(S.RUN), F.lit(0)), F.array(F.lit("")))
-    each = F.arrays_zip(F.split("t", S.RUN, -1).alias("gap"), runs.alias("run"))
     first = F.when(F.col("t").rlike(f"^{S.RUN}"), 0).otherwise(1)
-    rows = df.withColumn("_row", F.monotonically_increasing_id()).select("_row", *keys, first.alias("first"), F.posexplode(each).alias("i", "x"))
-    rows = rows.select("_row", *keys, "i", (2 * F.col("i") + F.col("first")).alias("no"), "x.gap", "x.run", F.translate("x.run", S.ZERO_WIDTH, "").alias("word"))
+    # all that depends on the whole text is in the exploded array: a token row doesn't carry the text
+    each = S.let(F.struct(first.alias("f"), F.split("t", S.RUN, -1).alias("g"), runs.alias("r")), lambda s: F.transform(s.r, lambda r, i: F.struct((2 * i + s.f).alias("no"), F.get(s.g, i).alias("gap"), r.alias("run"))))
+    rows = df.withColumn("_row", F.monotonically_increasing_id()).select("_row", *keys, F.posexplode(each).alias("i", "x"))
+    rows = rows.select("_row", *keys, "i", "x.no", "x.gap", "x.run", F.translate("x.run", S.ZERO_WIDTH, "").alias("word"))
     return rows.withColumn("key", F.when(F.col("word") == "", F.concat(F.lit("\x01"), F.col("_row").cast("string"))).otherwise(F.col("word")))
 
 
