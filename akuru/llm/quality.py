@@ -10,12 +10,10 @@ document's lone failure of it is forgiven. Repeated three-word windows are found
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, words
+from .common import SPACE, let, materialize, words
 
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 #: Characters that count as symbols.
@@ -24,11 +22,6 @@ SYMBOLS = "#*$%&|<>"
 BROADCAST_HOSTS = 50_000
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value worked out once however often body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def measure(text: str = "text") -> Column:
     """A struct with a long per name of METRICS, for one text.
 

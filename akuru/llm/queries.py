@@ -58,8 +58,10 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of a tree source/language/id; the licences of their statements, own or inherited."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string")).alias("path"))
+    """Documents as files of a tree source[/language[/folder]]/id of one to three levels; the licences of their statements, own or inherited."""
+    i = F.col("doc_id")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.when(i % 3 >= 1, F.coalesce("lang", F.lit("-"))), F.when(i % 3 == 2, F.concat(F.lit("d"), (i % 7).cast("string"))), i.cast("string"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path"))
     return licenses.scan(docs, key="doc_id").select("doc_id", "path", "license", "score", "origin", "licensed_dir")
 
 
@@ -126,28 +128,38 @@ FROM (SELECT *, CASE WHEN path = '' THEN host || '/' ELSE host || lower(path) EN
 
 def _license_sql() -> str:
     templates = ", ".join(f"({k}, '{spdx}', '{text.replace(chr(39), chr(39) * 2)}')" for k, (spdx, text) in enumerate(licenses.TEMPLATES))
+    cut = "string_split(regexp_replace({}, '([.!?])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10))"
+    lines = "array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_matches(x, '[a-z0-9]') THEN x ELSE '' END), chr(10))"
     return rf"""
-WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), doc_id::VARCHAR) AS path FROM documents),
-e AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM d),
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, lower(coalesce(text, '')) AS text,
+    concat_ws('/', coalesce(source, '-'), CASE WHEN doc_id % 3 >= 1 THEN coalesce(lang, '-') END, CASE WHEN doc_id % 3 = 2 THEN 'd' || doc_id % 7 END, doc_id::VARCHAR) AS path FROM documents),
+e AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir, len(regexp_extract_all(text, '[a-z0-9]+')) AS n FROM d),
 tpl(no, spdx, text) AS (VALUES {templates}),
 tt AS (SELECT no, spdx, t, count(*) AS tf FROM (SELECT no, spdx, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM tpl) GROUP BY ALL),
-df AS (SELECT t, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS t FROM d) WHERE t IN (SELECT t FROM tt) GROUP BY t),
+df AS (SELECT t, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(text, '[a-z0-9]+'))) AS t FROM d) WHERE t IN (SELECT t FROM tt) GROUP BY t),
 c AS (SELECT count(*) AS n FROM d),
 idf AS (SELECT v.t, ln((1 + c.n) / (1 + coalesce(df.n, 0))) + 1 AS idf FROM (SELECT DISTINCT t FROM tt) AS v LEFT JOIN df USING (t), c),
 tw AS (SELECT no, spdx, t, tf * idf AS w FROM tt JOIN idf USING (t)),
 tv AS (SELECT no, spdx, t, w / sqrt(sum(w * w) OVER (PARTITION BY no)) AS w FROM tw),
-s AS (SELECT k, i, unnest(regexp_extract_all(lower(l[i]), '[a-z0-9]+')) AS t FROM (
-    SELECT k, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT k, string_split(regexp_replace(text, '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)) AS l FROM d))),
-sw AS (SELECT k, i, t, count(*) AS tf, count(*) * coalesce(any_value(idf), any_value(ln(1 + c.n) + 1)) AS w FROM s LEFT JOIN idf USING (t), c GROUP BY k, i, t),
-sn AS (SELECT k, i, sqrt(sum(w * w)) AS norm, sum(tf) AS words FROM sw GROUP BY k, i),
-cs AS (SELECT k, i, no, spdx, sum(sw.w * tv.w) AS dot FROM sw JOIN tv USING (t) GROUP BY k, i, no, spdx),
-b AS (SELECT k, i, any_value(words) AS words, max(struct_pack(score := round(dot / norm, 6), spdx := spdx)) AS m FROM cs JOIN sn USING (k, i) GROUP BY k, i),
-own AS (SELECT k, max(m) AS m, sum(words) AS words FROM b WHERE m.score >= {licenses.THRESHOLD} GROUP BY k),
+pg AS (SELECT k, p, g FROM (SELECT k, unnest(q) AS g, generate_subscripts(q, 1) AS p FROM (SELECT k, regexp_split_to_array({lines}, '
+
++') AS q FROM d)) WHERE contains(g, chr(10))),
+un AS (SELECT k, 'line' AS kind, 0 AS p, unnest(l) AS u, generate_subscripts(l, 1) AS i FROM (SELECT k, {cut.format('text')} AS l FROM d)
+    UNION ALL SELECT k, 'paragraph', p, unnest(l), generate_subscripts(l, 1) FROM (SELECT k, p, {cut.format("translate(g, chr(10), ' ')")} AS l FROM pg)),
+s AS (SELECT k, kind, p, i, unnest(regexp_extract_all(u, '[a-z0-9]+')) AS t FROM un),
+sw AS (SELECT k, kind, p, i, t, count(*) AS tf, count(*) * coalesce(any_value(idf), any_value(ln(1 + c.n) + 1)) AS w FROM s LEFT JOIN idf USING (t), c GROUP BY k, kind, p, i, t),
+sn AS (SELECT k, kind, p, i, sqrt(sum(w * w)) AS norm, sum(tf) AS words FROM sw GROUP BY k, kind, p, i),
+cs AS (SELECT k, kind, p, i, no, spdx, sum(sw.w * tv.w) AS dot FROM sw JOIN tv USING (t) GROUP BY k, kind, p, i, no, spdx),
+b AS (SELECT k, kind, p, i, any_value(words) AS words, max(struct_pack(score := round(dot / norm, 6), spdx := spdx)) AS m FROM cs JOIN sn USING (k, kind, p, i) GROUP BY k, kind, p, i),
+bk AS (SELECT k, kind, max(m) AS m, sum(words) AS words FROM b WHERE m.score >= {licenses.THRESHOLD} GROUP BY k, kind),
+own AS (SELECT k, max(m) AS m, max(words) AS words FROM bk GROUP BY k),
 o AS (SELECT e.*, own.m, 2 * own.words >= e.n AS whole FROM e LEFT JOIN own USING (k)),
-w AS (SELECT dir, max(m) AS m FROM o WHERE whole GROUP BY dir)
-SELECT doc_id, path, coalesce(o.m.spdx, w.m.spdx) AS license, coalesce(o.m.score, w.m.score) AS score,
-    CASE WHEN o.m IS NOT NULL THEN 'own' WHEN w.m IS NOT NULL THEN 'inherited' END AS origin, CASE WHEN o.m IS NULL AND w.m IS NOT NULL THEN o.dir END AS licensed_dir
-FROM o LEFT JOIN w USING (dir)"""
+w AS (SELECT dir, max(m) AS m FROM o WHERE whole GROUP BY dir),
+up AS (SELECT dir, depth, array_to_string(parts[1:depth], '/') AS above FROM (SELECT dir, parts, unnest(range(0, len(parts) + 1)) AS depth FROM (SELECT DISTINCT dir, string_split(dir, '/') AS parts FROM o))),
+nr AS (SELECT up.dir, arg_max(up.above, depth) AS above, arg_max(w.m, depth) AS m FROM up JOIN w ON w.dir = up.above GROUP BY up.dir)
+SELECT doc_id, path, coalesce(o.m.spdx, nr.m.spdx) AS license, coalesce(o.m.score, nr.m.score) AS score,
+    CASE WHEN o.m IS NOT NULL THEN 'own' WHEN nr.m IS NOT NULL THEN 'inherited' END AS origin, CASE WHEN o.m IS NULL THEN nr.above END AS licensed_dir
+FROM o LEFT JOIN nr USING (dir)"""
 
 
 ORACLES: dict[str, str] = {"op8_license_scan": _license_sql(), "op2_quality_rules": _QUALITY, "op4_mixing": _MIXING, "op10_url_filters": _url_sql()}
