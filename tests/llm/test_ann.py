@@ -64,9 +64,56 @@ def test_beam_search_is_no_worse_than_greedy():
 
 
 def test_odd_vectors_take_no_part(spark):
-    rows = [(0, [1.0, 0.0]), (20, None), (40, [0.0, 0.0]), (60, [1.0, math.nan]), (80, [math.inf, 1.0]), (100, [1.0, None]), (120, [1.0]), (140, []), (None, [1.0, 1.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, [2.0, 0.0]), (3, [2.0, 0.0]), (160, [-1.0, 0.0])]
+    rows = [(0, [1.0, 0.0]), (20, None), (40, [0.0, 0.0]), (60, [1.0, math.nan]), (80, [math.inf, 1.0]), (100, [1.0, None]), (140, []), (None, [1.0, 1.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, [2.0, 0.0]), (160, [-1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
     got = collect(ann.search(df, F.col("vec_id") % 20 == 0))
     assert got == {0: [(3, 2.0), (1, 0.5), (2, 0.5), (160, -1.0)], 160: [(1, -0.5), (2, -0.5), (0, -1.0), (3, -2.0)]}
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert ann.search(df, F.col("vec_id") < 0).count() == 0
+
+
+def test_other_lengths_and_repeated_ids_take_part(spark):
+    """A shorter vector ends in zeros; every row but the query's own is a candidate, also one with its id."""
+    rows = [(0, [1.0, 2.0]), (1, [3.0]), (2, [1.0, 1.0, 5.0]), (2, [1.0, 1.0, 5.0]), (0, [0.0, 1.0])]
+    got = sorted(map(tuple, ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()))
+    first = [(2, 3.0), (2, 3.0), (1, 3.0), (0, 2.0)]  # of [1, 2]
+    second = [(0, 2.0), (2, 1.0), (2, 1.0), (1, 0.0)]  # of [0, 1]
+    rank = lambda found: [(0, k + 1, v, s) for k, (v, s) in enumerate(sorted(found, key=lambda x: (-x[1], x[0])))]
+    assert got == sorted(rank(first) + rank(second))
+
+
+def test_doubles_are_scored_as_doubles(spark):
+    x = 1 + 2.0**-40
+    got = ann.search(spark.createDataFrame([(0, [x, 0.0]), (1, [x, 1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).first()
+    assert got.score == x * x
+
+
+@pytest.mark.parametrize("naming", [1, 2])
+def test_cells_and_split_blocks(spark, monkeypatch, naming):
+    """Small blocks, so that cells are split and queries of a block are divided; a third of all vectors in one place."""
+    monkeypatch.setattr(ann, "BLOCK_VECTORS", 100)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 16)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16))
+    x = centres[rng.integers(0, 12, 1500)] + 0.2 * rng.normal(size=(1500, 16))
+    x[1000:] = x[1000] + 0.02 * rng.normal(size=(500, 16))
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = collect(ann.search(df, F.col("vec_id") % 10 == 0, words=16, two_words=1 if naming == 2 else 10**9))
+    want = brute(rows, lambda i: i % 10 == 0)
+    assert recall(got, want) >= 0.97 and all(len(got[q]) == 20 for q in want)
+
+
+def test_most_cells_are_passed_over():
+    """Of clustered vectors a query visits few cells, however many there are."""
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(64, 32)), 40, axis=0) + 0.1 * rng.normal(size=(2560, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    books = ann.train(x, 4, 64)
+    codes, _ = ann.encode(x, books)
+    coarse = np.linalg.norm(x - books[0][codes[:, 0]], axis=1)
+    names = np.unique(codes[:, 0])
+    cells = ann.Cells(books, names[:, None], np.array([coarse[codes[:, 0] == c].max() for c in names]), np.arange(len(names)), np.ones(len(names), int))
+    bars = np.sort(x @ x[::50].T, axis=0)[-21]
+    visited = cells.route(x[::50], bars)
+    assert np.mean([len(v) for v in visited]) < 0.2 * len(names)
