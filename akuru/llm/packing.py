@@ -73,13 +73,16 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024)
     """Pieces of each row of docs: doc_id, start, length, ids (uint32, little-endian), doc_tokens, doc_key.
 
     A null text is an empty one, and every document ends with end_id, so each has at least one
-    piece. doc_key is a hash of id and text that all pieces of a document share.
+    piece. doc_key is a hash of id and text that all pieces of a document share; for rows that repeat
+    within a task it also counts the repetition, so that equal rows don't gather in one group.
+    Equal rows being alike, their order makes no difference.
     """
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc_key"), F.coalesce("text", F.lit("")).alias("text"))
     schema = T.StructType([rows.schema["doc_id"], *(T.StructField(n, t) for n, t in (("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()), ("doc_tokens", T.LongType()), ("doc_key", T.LongType())))])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, dtype = encoder(tokenizer).encode, encoder(tokenizer).dtype
+        seen: dict[int, int] = {}
         for batch in batches:
             held, size = [], 0
             kind = batch.schema.field("doc_id").type
@@ -89,6 +92,9 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024)
                 ids = np.append(np.frombuffer(encode(text.as_py()), dtype), end_id).astype("<u4")
                 raw = ids.tobytes()
                 size += len(raw)
+                seen[key] = again = seen.get(key, -1) + 1
+                if again:
+                    key = (key + again * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63
                 held += [(doc_id.as_py(), k, min(capacity, len(ids) - k), raw[4 * k : 4 * (k + capacity)], len(ids), key) for k in range(0, len(ids), capacity)]
                 if size > _BATCH:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)

@@ -31,6 +31,8 @@ NEAR_N, NEAR = 5, 0.8
 BANDS, ROWS = 20, 5
 #: Texts of a band key that are compared each with each; in larger groups each is compared with four of them.
 SMALL_GROUP = 8
+#: Rows from which on a fingerprint is sent to its rows instead of gathering them, and how many such are (about 40 bytes each).
+HOT_ROWS, BROADCAST_HOT = 20_000, 1_000_000
 #: Bits set in each byte value.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1)
 
@@ -194,12 +196,20 @@ def classes(docs: DataFrame, radius: int = 2, n: int = 3) -> DataFrame:
     component_id. An empty table gives no rows.
     """
     rows = materialize(docs.select("doc_id", fingerprints(F.col("text"), n).alias("fp")), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = components(links(distinct.select("fp"), radius))
-    known = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
+    known = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id", "n")
     names = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    known = materialize(known.join(names, "root").select("fp", "root", "component_id"), "classes")
-    return rows.join(known, "fp").select("doc_id", "fp", "component_id", F.col("root").alias("component_root"))
+    known = materialize(known.join(names, "root").select("fp", "root", "component_id", "n"), "classes")
+    discard(distinct)
+    # a fingerprint of many rows is sent to them; there are at most a HOT_ROWS-th as many as rows
+    hot = known.filter(F.col("n") > HOT_ROWS)
+    if 0 < hot.count() <= BROADCAST_HOT:
+        hot = F.broadcast(hot)
+        named = rows.join(hot.select("fp"), "fp", "left_anti").join(known.filter(F.col("n") <= HOT_ROWS), "fp").unionByName(rows.join(hot, "fp"))
+    else:
+        named = rows.join(known, "fp")
+    return named.select("doc_id", "fp", "component_id", F.col("root").alias("component_root"))
 
 
 def shingle_hashes(text: str | None, n: int = NEAR_N) -> np.ndarray:
@@ -232,10 +242,10 @@ def bands(text: Column) -> Column:
     return of(text)
 
 
-def near_links(texts: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Links (a, b) of texts(tid, text), which may repeat, whose shingle sets have a Jaccard similarity of NEAR or more.
+def near_links(texts: DataFrame, keyed: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Links (a, b) of texts(tid, id, text), which may repeat, whose shingle sets have a Jaccard similarity of NEAR or more.
 
-    keyed(tid, bands) names the candidates: texts that share a band. In a group of at most
+    firsts(tid, id) names a row of each text; keyed(tid, bands) names the candidates: texts that share a band. In a group of at most
     SMALL_GROUP every pair is one; in a larger one every text is paired with four that two hashes
     choose anew in each band, so pairs grow with the texts and not with their square. Every
     candidate is compared by its whole shingle sets.
@@ -249,8 +259,9 @@ def near_links(texts: DataFrame, keyed: DataFrame) -> DataFrame:
     large = F.broadcast(large) if large.count() <= 50_000 else large
     some = rows.join(large, ["band", "key"]).select("tid", F.explode("chosen").alias("c")).filter("tid <> c").select(F.least("tid", "c").alias("a"), F.greatest("tid", "c").alias("b"))
     pairs = materialize(each.union(some).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
-    held = materialize(texts.join(wanted, "tid").dropDuplicates(["tid"]), "near-texts")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct().join(firsts, "tid")
+    # by text and id, so that the copies of one text don't meet in a task
+    held = materialize(texts.join(wanted, ["tid", "id"]).dropDuplicates(["tid"]).select("tid", "text"), "near-texts")
 
     @F.pandas_udf("boolean")
     def near(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -286,7 +297,9 @@ def keep_first_near(docs: DataFrame, radius: int = 2, n: int = 3) -> DataFrame:
     alike = links(firsts.select("fp"), radius)
     alike = alike.join(firsts.select(F.col("fp").alias("a"), F.col("t").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("t").alias("y")), "b").select("x", "y")
     same = texts.join(firsts, "fp").filter("tid <> t").select("tid", "t")
-    near = near_links(docs.select(F.xxhash64(text).alias("tid"), text.alias("text")), texts.select("tid", "bands"))
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    first = texts.select("tid", F.coalesce(F.col("o.i").cast("string"), F.lit("null")).alias("id"))
+    near = near_links(docs.select(F.xxhash64(text).alias("tid"), named.alias("id"), text.alias("text")), texts.select("tid", "bands"), first)
     roots = components(alike.toDF("a", "b").union(same.toDF("a", "b")).union(near))
     known = texts.join(roots, texts["tid"] == roots["node"], "left").select(F.coalesce("root", "tid").alias("root"), "o")
     return _first_rows(docs, known, narrow.select("o"))

@@ -1,10 +1,11 @@
 """Toxicity by weak supervision.
 
-Voters (a seed lexicon, lexicon words and word-beginning patterns induced from training rows,
-how many different ones occur, and their absence) vote on a bounded sample of training rows. A generative
-label model estimates their accuracies by expectation maximisation and their correlations
-from what the model leaves unexplained, and gives every training row a posterior label. A
-linear classifier over word and word-beginning features is trained on the posteriors and
+Each word of a seed lexicon and each word, word-beginning pattern and repetition that the training
+rows' labels suggest is a voter of its own: it votes toxic where it occurs and abstains elsewhere.
+A generative label model sees the votes and the share of toxic rows, but no label: by expectation
+maximisation it estimates how often each voter fires on toxic and on clean rows, and from what
+the hidden label leaves unexplained the correlations between voters, which share their weight
+accordingly. Its posteriors are the labels of a linear classifier over the same features, which
 scores every whole text.
 """
 
@@ -24,9 +25,17 @@ from pyspark.sql import functions as F
 
 #: Training rows, at most: those with the smallest hash of their id.
 MAX_TRAIN = 5000
+#: Bytes of training texts, at most: rows are taken in that order while they fit, a longer text is passed over.
+MAX_BYTES = 64_000_000
 #: Features of the classifier, at most: those with the strongest association.
 MAX_FEATURES = 512
 THRESHOLD = 0.3
+#: Voters share their weight from this correlation on; below it lies the noise of rare voters.
+CORRELATED = 0.2
+#: Before any votes are seen a voter counts as having cast KNOWN votes with this accuracy.
+KNOWN, ACCURACY = 5, 0.98
+#: What silence weighs against a vote: words don't occur independently, few of the toxic ones are in any one text.
+SILENCE = 0.5
 #: Insults that start the lexicon, whatever the training rows hold.
 SEED_WORDS = frozenset("idiot moron stupid loser scum trash worthless pathetic disgusting clown imbecile dimwit scumbag crétin abruti imbécile connard trottel vollidiot abschaum dummkopf estúpido imbécil basura".split())
 #: The feature of holding any other feature.
@@ -62,7 +71,7 @@ def near_copy_keys(words: Counter[str]) -> list[int]:
     return sorted(zlib.crc32(w.encode("utf-8", "replace")) for w in some)[:4]
 
 
-def associated(texts: list[str | None], toxic: np.ndarray, precision: float = 0.8) -> list[str]:
+def associated(texts: list[str | None], toxic: np.ndarray, precision: float = 0.95) -> list[str]:
     """Features that mark toxic rows beyond chance, the strongest first.
 
     One-sided binomial test against the base rate, at 5 % divided by the number of candidates.
@@ -90,45 +99,44 @@ def associated(texts: list[str | None], toxic: np.ndarray, precision: float = 0.
     return [f for _, f in sorted(found)]
 
 
-def cast_votes(bags: list[set[str]], induced: list[str]) -> np.ndarray:
-    """A row per document and a column per voter: 1 toxic, -1 clean, 0 abstains."""
-    repeated = {f for f in induced if "#" in f}
-    words = {f for f in induced if f[-1] != "*"} - repeated
-    starts = [{f for f in induced if len(f) == k + 1 and f[-1] == "*"} for k in _PREFIXES]
-    votes = np.zeros((len(bags), 5 + len(starts)), np.int8)
+def cast_votes(bags: list[set[str]], voters: list[str]) -> np.ndarray:
+    """A row per document and a column per voter: whether it votes toxic; else it abstains."""
+    column = {f: k for k, f in enumerate(voters)}
+    votes = np.zeros((len(bags), len(voters)), np.float32)
     for r, bag in enumerate(bags):
-        hits = [len(bag & s) for s in (SEED_WORDS, words, repeated, *starts)]
-        most = max(hits)
-        votes[r] = [*(int(h > 0) for h in hits), int(most > 1), -int(most == 0)]
+        votes[r, [column[f] for f in bag if f in column]] = 1
     return votes
 
 
 def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of each row, accuracy of each voter and correlations between voters.
-
-    Expectation maximisation over the hidden label with a vote distribution per voter and
-    label. Voters that agree beyond what the label explains share their weight.
+    """Posterior of each row, accuracy of each voter (the share of toxic rows among its votes) and correlations between voters.
+
+    Expectation maximisation over the hidden label; at first a row with any vote counts as toxic.
+    A voter has a rate of votes per label, with a prior that it is right more often than not; its vote speaks for toxic, its silence for clean.
+    Correlations are estimated twice, pair by pair, from what the hidden label leaves
+    unexplained. Of the voters that fire on a row, correlated ones share their weight, so that the
+    many forms of a word speak once; the silence of a voter is shared with all that it is correlated with, as the
+    words of one language or family of insults are silent together.
     """
     n, m = votes.shape
-    shared = np.ones(m)
-    post = np.where(votes.sum(axis=1) > 0, 0.9, 0.05)
-    onehot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(np.float64)
-    corr = np.eye(m)
+    post = np.where(votes.any(axis=1), 0.9, 0.02)
+    alike, corr = np.zeros((m, m)), np.eye(m)
+    share = np.array([[1 - ACCURACY], [ACCURACY]]) * KNOWN
     for k in range(rounds):
-        table = np.stack([np.tensordot(w, onehot, axes=(0, 0)) + 0.5 for w in (1 - post, post)])  # label, voter, vote
-        table /= table.sum(axis=2, keepdims=True)
-        if k in (0, rounds // 2):
-            left = votes - ((1 - post)[:, None] * (table[0, :, 2] - table[0, :, 0]) + post[:, None] * (table[1, :, 2] - table[1, :, 0]))
+        weight = np.stack([1 - post, post])
+        clean, toxic = (weight @ votes + share) / (weight.sum(axis=1, keepdims=True) + KNOWN)
+        if k in (1, rounds // 2):
+            left = votes - np.outer(1 - post, clean) - np.outer(post, toxic)
             left = left - left.mean(axis=0)
             scale = np.sqrt((left**2).mean(axis=0)) + 1e-9
-            corr = (left.T @ left) / n / np.outer(scale, scale)
-            shared = (1 + (np.clip(corr, 0, 1) - np.eye(m)).clip(0).sum(axis=1)) ** -0.75
+            corr = (left.T @ left) / max(n, 1) / np.outer(scale, scale)
+            alike = np.where(corr > CORRELATED, corr, 0) * (1 - np.eye(m))
+        fired = votes / (1 + votes @ alike)
+        silent = SILENCE * (1 - votes) / (1 + alike.sum(axis=1))
         base = float(np.clip(post.mean(), 0.5 * prior, min(0.9, 2 * prior)))
-        odds = math.log(base / (1 - base)) + (onehot * np.log(table[1] / table[0]) * shared[:, None]).sum(axis=(1, 2))
+        odds = math.log(base / (1 - base)) + fired @ np.log(toxic / clean) + silent @ np.log((1 - toxic) / (1 - clean))
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    hard = post > 0.5
-    right = ((votes > 0) & hard[:, None]) | ((votes < 0) & ~hard[:, None])
-    return post, right.sum(axis=0) / np.maximum((votes != 0).sum(axis=0), 1), corr
+    return post, (post @ votes) / np.maximum(votes.sum(axis=0), 1), corr
 
 
 def fit_linear(x: np.ndarray, target: np.ndarray, l2: float = 0.02, steps: int = 25) -> tuple[np.ndarray, float]:
@@ -153,7 +161,7 @@ class Model:
 
     weights: dict[str, float]
     intercept: float
-    accuracies: np.ndarray | None = None
+    accuracies: dict[str, float] | None = None
     correlations: np.ndarray | None = None
 
     def __post_init__(self) -> None:
@@ -177,29 +185,41 @@ class Model:
         return 1 / (1 + math.exp(-max(min(total, 30.0), -30.0)))
 
 
+def distinct_rows(texts: list[str | None], toxic: list[int]) -> tuple[list[str | None], list[int], list[Counter[str]]]:
+    """The rows without near copies of earlier ones: rows whose sets of words have a Jaccard similarity of 0.8 or more.
+
+    Only rows that share two of their keys are compared.
+    """
+    rows, labels, bags = [], [], []
+    by_key: dict[int, list[int]] = {}
+    for text, label in zip(texts, toxic, strict=True):
+        words = words_of(text)
+        keys = near_copy_keys(words)
+        shared = Counter(r for k in keys for r in by_key.get(k, ()))
+        if any(c >= min(2, len(keys)) and len(words.keys() & bags[r].keys()) >= 0.8 * len(words.keys() | bags[r].keys()) for r, c in shared.items()):
+            continue
+        for k in keys:
+            by_key.setdefault(k, []).append(len(rows))
+        rows.append(text)
+        labels.append(int(label))
+        bags.append(words)
+    return rows, labels, bags
+
+
 def train(texts: list[str | None], toxic: list[int]) -> Model:
     """A model of training texts; without rows of both labels, of the seed words alone."""
-    rows, labels, seen = [], [], set()
-    for text, label in zip(texts, toxic, strict=True):
-        keys = near_copy_keys(words_of(text))
-        if sum(k in seen for k in keys) < min(2, len(keys)) or not keys:
-            seen.update(keys)
-            rows.append(text)
-            labels.append(int(label))
+    rows, labels, counts = distinct_rows(texts, toxic)
     y = np.array(labels, np.int8)
     if not len(y) or y.min() == y.max():
         return Model(dict.fromkeys(sorted(SEED_WORDS), 4.0), -3.0)
-    chosen = associated(rows, y)[:MAX_FEATURES]
-    known = {*chosen, *SEED_WORDS}
-    bags = [features(words_of(t)) & known for t in rows]
-    post, accuracies, correlations = label_model(cast_votes(bags, chosen), float(y.mean()))
-    vocabulary = {f: k for k, f in enumerate(dict.fromkeys([*chosen, *sorted(SEED_WORDS), ANY]))}
-    x = np.zeros((len(bags), len(vocabulary)), np.float32)
-    for r, bag in enumerate(bags):
-        hits = sorted(vocabulary[f] for f in bag & vocabulary.keys())
-        x[r, [*hits, vocabulary[ANY]] if hits else []] = 1
+    voters = list(dict.fromkeys([*associated(rows, y)[:MAX_FEATURES], *sorted(SEED_WORDS)]))
+    known = set(voters)
+    bags = [features(c) & known for c in counts]
+    votes = cast_votes(bags, voters)
+    post, accuracies, correlations = label_model(votes, float(y.mean()))
+    x = np.hstack([votes, votes.any(axis=1, keepdims=True)])
     w, b = fit_linear(x, post)
-    return Model({f: float(w[k]) for f, k in vocabulary.items() if abs(w[k]) > 1e-9}, b, accuracies, correlations)
+    return Model({f: float(v) for f, v in zip([*voters, ANY], w, strict=True) if abs(v) > 1e-9}, b, dict(zip(voters, accuracies.tolist(), strict=True)), correlations)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -207,17 +227,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Train on labelled rows that are not held out, at most max_train of them.
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> Model:
+    """Train on labelled rows that are not held out, at most max_train of them and max_bytes of text.
 
-    A document with several labels counts as toxic if one of them is; null labels are left out.
+    A document with several labels counts as toxic if one of them is; null labels are left out. Of
+    rows with equal ids and texts one is taken. Rows come in the order of a hash of their id, then
+    of their text, so that reruns agree; only their lengths reach the driver before they are chosen.
     """
+    spark = docs.sparkSession
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(max_train).toArrow()
-    small = F.broadcast(docs.sparkSession.createDataFrame(ids))
-    rows = docs.select("doc_id", "text").join(small, "doc_id").limit(max_train).toArrow()
-    order = sorted(zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), strict=True), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1] or ""))
-    return train([r[1] for r in order], [r[2] for r in order])
+    ids = spark.createDataFrame(known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(max_train).toArrow())
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col("doc_id"), text.alias("text"), F.xxhash64(text).alias("_t_h")).join(F.broadcast(ids), "doc_id")
+    order = (F.xxhash64("doc_id", F.lit(11)), "doc_id", "_t_h")
+    sizes = rows.select("doc_id", "_t_h", F.octet_length("text").alias("n")).distinct().orderBy(*order).limit(max_train).collect()
+    chosen, left = [], max_bytes
+    for r in sizes:
+        if r["n"] <= left:
+            left -= r["n"]
+            chosen.append((r["doc_id"], r["_t_h"]))
+    few = spark.createDataFrame(chosen, rows.select("doc_id", "_t_h").schema)
+    taken = rows.join(F.broadcast(few), ["doc_id", "_t_h"]).dropDuplicates(["doc_id", "_t_h"]).orderBy(*order).limit(max_train).toArrow()
+    return train(taken.column("text").to_pylist(), taken.column("toxic").to_pylist())
 
 
 def scores(text: Column, model: Model) -> Column:

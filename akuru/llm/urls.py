@@ -85,7 +85,8 @@ def split_url(url: Column) -> tuple[Column, Column]:
 def token_counts(urls: DataFrame, wanted: list[str]) -> dict[str, int]:
     """In how many rows of urls(host, path) each wanted token occurs; at most one row per wanted token comes back."""
     tokens = F.array_distinct(F.split(F.lower(F.concat("host", F.lit("/"), "path")), "[^a-z0-9]+"))
-    got = urls.select(F.explode(F.array_intersect(tokens, F.array(*map(F.lit, wanted)))).alias("t")).groupBy("t").count()
+    asked = F.broadcast(urls.sparkSession.createDataFrame([(t,) for t in wanted], "t string"))  # a few tokens per rule, of which there are at most MAX_RULES
+    got = urls.select(F.explode(tokens).alias("t")).join(asked, "t").groupBy("t").count()
     return {r["t"]: r["count"] for r in got.collect()}
 
 

@@ -34,13 +34,58 @@ def test_held_out_accuracy_with_an_unknown_family():
 
 def test_label_model_finds_accuracies_and_correlations():
     rng = np.random.default_rng(0)
-    y = rng.random(4000) < 0.3
-    vote = lambda acc: np.where(rng.random(4000) < acc, np.where(y, 1, -1), np.where(y, -1, 1))
-    a, b, c = vote(0.9), vote(0.85), vote(0.7)
-    post, acc, corr = toxicity.label_model(np.stack([a, b, c, a], axis=1).astype(np.int8), 0.3)
-    assert ((post > 0.5) == y).mean() > 0.85
-    assert acc[0] > acc[2]
-    assert corr[0, 3] > 0.9 and abs(corr[0, 1]) < 0.4
+    y = rng.random(6000) < 0.2
+    vote = lambda toxic, clean: rng.random(6000) < np.where(y, toxic, clean)
+    good, weak = vote(0.6, 0.003), vote(0.5, 0.04)
+    others = [vote(0.5, 0.003) for _ in range(8)]
+    post, acc, corr = toxicity.label_model(np.stack([good, weak, good, *others], axis=1).astype(np.float32), 0.2)
+    assert ((post > 0.5) == y).mean() > 0.93
+    assert acc[0] > 0.97 and acc[0] > acc[1] + 0.01
+    assert corr[0, 2] > 0.9 and abs(corr[0, 3]) < 0.2
+
+
+def test_labels_do_not_reach_the_label_model(monkeypatch):
+    """It sees votes and one number."""
+    seen = []
+    whole = toxicity.label_model
+    monkeypatch.setattr(toxicity, "label_model", lambda *a: seen.append(a) or whole(*a))
+    rows = corpus(random.Random(1), 300)
+    toxicity.train([t for t, _ in rows], [y for _, y in rows])
+    ((votes, prior),) = seen
+    assert votes.shape[1] > 24 and isinstance(prior, float)  # the seed words and those the rows suggest, a voter each
+
+
+def test_only_near_copies_are_dropped():
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(10)) for _ in range(400)]
+    texts = [" ".join(rng.sample(vocabulary, 60)) for _ in range(300)]
+    copy = texts[0].split()
+    copy[5] = "another"
+    rows, labels, bags = toxicity.distinct_rows([*texts, " ".join(copy), texts[1], None, ""], [0] * 304)
+    assert rows == [*texts, None, ""]  # texts without words have no key to agree on
+
+
+def test_held_out_precision_and_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = [(labels[r.doc_id], r.predicted) for r in queries.op6_toxicity(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    hit = sum(y and p for y, p in got)
+    assert hit >= 0.9 * sum(y for y, _ in got) and hit >= 0.9 * sum(p for _, p in got)
+
+
+def test_training_rows_are_bounded_and_stable(spark, monkeypatch):
+    """Repeated ids, with equal and with other texts, in any order; a bound on rows and one on bytes."""
+    rows = [(k % 40, f"text {k % 60} " + "x" * (k % 7)) for k in range(300)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: seen.append((texts, toxic)))
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        toxicity.fit(docs, labels)
+        toxicity.fit(docs, labels, max_train=9)
+        toxicity.fit(docs, labels, max_bytes=60)
+    assert seen[:3] == seen[3:]
+    assert len(seen[1][0]) == 9 and sum(map(len, seen[2][0])) <= 60 < sum(map(len, seen[0][0])) and len(set(seen[0][0])) > 9
 
 
 def test_whole_query(spark, sf):
