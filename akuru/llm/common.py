@@ -66,6 +66,18 @@ def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
             delete(spark, path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Within the block, Python workers get at most so many rows at once: whole texts are long, and both sides of the pipe hold a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete what materialize() wrote, for frames that nothing reads any more."""
     for df in frames:

@@ -33,6 +33,8 @@ BANDS, ROWS = 20, 5
 SMALL_GROUP = 8
 #: Rows from which on a fingerprint is sent to its rows instead of gathering them, and how many such are (about 40 bytes each).
 HOT_ROWS, BROADCAST_HOT = 20_000, 1_000_000
+#: Bytes of shingle hashes that are remembered while candidates are compared.
+_MEMO = 4_000_000
 #: Bits set in each byte value.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1)
 
@@ -267,13 +269,15 @@ def near_links(texts: DataFrame, keyed: DataFrame, firsts: DataFrame) -> DataFra
     def near(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in batches:
             memo: dict[str, np.ndarray] = {}
-            out = []
+            out, held = [], 0
             for pair in zip(left, right, strict=True):
                 for t in pair:
                     if t not in memo:
-                        if len(memo) >= 256:
+                        if held >= _MEMO:
                             memo.clear()
+                            held = 0
                         memo[t] = shingle_hashes(t)
+                        held += memo[t].nbytes
                 x, y = (memo[t] if t in memo else shingle_hashes(t) for t in pair)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 out.append(both >= NEAR * (len(x) + len(y) - both))

@@ -175,7 +175,7 @@ class Model:
             known = memo.get(w)
             if known is None:
                 known = tuple(f for f in features_of(w) if f in self.stems)
-                if len(memo) > 200_000:
+                if len(memo) > 50_000:
                     memo.clear()
                 memo[w] = known
             for f in known:
