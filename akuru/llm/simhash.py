@@ -221,25 +221,34 @@ def shingle_hashes(text: str | None, n: int = NEAR_N) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), dtype=np.uint64))
 
 
-def bands(text: Column) -> Column:
-    """A key per band: equal ones mean equal minima of its permuted shingle hashes. Null without words."""
-    rng = np.random.default_rng(SEED)
-    factor, shift = (rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
-    factor |= np.uint64(1)
-
-    def keys(t: str | None) -> np.ndarray | None:
-        hashes = shingle_hashes(t)
+class Bands:
+    """Keys of a text, one per band: equal ones mean equal minima of its permuted shingle hashes."""
+
+    def __init__(self) -> None:
+        rng = np.random.default_rng(SEED)
+        self.factor, self.shift = (rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
+        self.factor |= np.uint64(1)
+
+    def __call__(self, text: str | None) -> np.ndarray | None:
+        """None without words."""
+        hashes = shingle_hashes(text)
         if not len(hashes):
             return None
         least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
         for k in range(0, len(hashes), 1024):
-            least = np.minimum(least, (hashes[k : k + 1024, None] * factor + shift).min(axis=0))
+            least = np.minimum(least, (hashes[k : k + 1024, None] * self.factor + self.shift).min(axis=0))
         return np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in least.reshape(BANDS, ROWS)], dtype=np.uint64).view(np.int64)
 
-    @F.pandas_udf("array<long>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def signatures(text: Column, n: int = 3) -> Column:
+    """struct(fp, bands): the fingerprint as a signed long, and a key per band. A text passes to a Python worker once for both."""
+
+    @F.pandas_udf("fp long, bands array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        keys = Bands()
         for texts in batches:
-            yield pd.Series([keys(t) for t in texts], dtype="object")
+            fps = np.array([fingerprint(t, n) for t in texts], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"fp": fps, "bands": pd.Series([keys(t) for t in texts], dtype="object")})
 
     return of(text)
 
@@ -294,7 +303,7 @@ def keep_first_near(docs: DataFrame, radius: int = 2, n: int = 3) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("fp").alias("f"), F.sha2(text, 256).alias("t"))
-    rows = docs.select("doc_id", "text", F.xxhash64(text).alias("tid"), fingerprints(F.col("text"), n).alias("fp"), bands(F.col("text")).alias("bands"))
+    rows = docs.select("doc_id", "text", F.xxhash64(text).alias("tid"), signatures(F.col("text"), n).alias("s")).select("doc_id", "text", "tid", "s.fp", "s.bands")
     narrow = materialize(rows.select("tid", "fp", "bands", order.alias("o")), "fingerprints")
     texts = materialize(narrow.groupBy("tid").agg(F.min("fp").alias("fp"), F.min("o").alias("o"), F.first("bands").alias("bands")), "texts")
     firsts = materialize(texts.groupBy("fp").agg(F.min("tid").alias("t")), "distinct")

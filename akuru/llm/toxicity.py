@@ -165,21 +165,18 @@ class Model:
     correlations: np.ndarray | None = None
 
     def __post_init__(self) -> None:
-        self.memo: dict[str, tuple[str, ...]] = {}
         self.stems = {f.partition("#")[0] for f in self.weights}
+        #: How the words that have any feature begin; most words are settled by one look at this.
+        self.heads = {f.rstrip("*")[: _PREFIXES[0]] for f in self.stems}
 
     def score(self, text: str | None) -> float:
-        memo, counts = self.memo, Counter()
+        counts = Counter()
         words = _WORD.findall((text or "").lower())
-        for w in words:
-            known = memo.get(w)
-            if known is None:
-                known = tuple(f for f in features_of(w) if f in self.stems)
-                if len(memo) > 50_000:
-                    memo.clear()
-                memo[w] = known
-            for f in known:
-                counts[f] += 1
+        for w, c in Counter(words).items():
+            if w[: _PREFIXES[0]] in self.heads:
+                for f in features_of(w):
+                    if f in self.stems:
+                        counts[f] += c
         hits = {*counts, *(f"{f}#{k}" for f, c in counts.items() if c > 1 and c * _DENSITY >= len(words) for k in _REPEATS if c >= k)} & self.weights.keys()
         total = self.intercept + sum(self.weights[f] for f in sorted(hits)) + (self.weights.get(ANY, 0.0) if hits else 0.0)
         return 1 / (1 + math.exp(-max(min(total, 30.0), -30.0)))

@@ -49,7 +49,7 @@ def test_near_links_equal_all_pairs(spark, sf):
     texts = sorted({r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text and r.text.strip()})
     df = spark.createDataFrame(list(enumerate(texts)), "tid long, text string")
     df = df.withColumn("id", F.col("tid").cast("string"))
-    got = {tuple(r) for r in simhash.near_links(df, df.select("tid", simhash.bands("text").alias("bands")), df.select("tid", "id")).collect()}
+    got = {tuple(r) for r in simhash.near_links(df, df.select("tid", simhash.signatures("text").bands.alias("bands")), df.select("tid", "id")).collect()}
     sets = [set(simhash.shingle_hashes(t).tolist()) for t in texts]
     want = {(i, j) for j in range(len(sets)) for i in range(j) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])}
     assert want and got == want
