@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import encoder
+from .tokens import MEMO, encoder
 
 #: Documents per group, on average. A group's remainders are packed in one task's memory (some 100 bytes each).
 GROUP_DOCS = 4096
@@ -69,19 +69,20 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def cut(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024) -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, memo: int = MEMO) -> DataFrame:
     """Pieces of each row of docs: doc_id, start, length, ids (uint32, little-endian), doc_tokens, doc_key.
 
     A null text is an empty one, and every document ends with end_id, so each has at least one
     piece. doc_key is a hash of id and text that all pieces of a document share; for rows that repeat
     within a task it also counts the repetition, so that equal rows don't gather in one group.
-    Equal rows being alike, their order makes no difference.
+    Equal rows being alike, their order makes no difference. memo is the number of words a Python
+    worker remembers (see tokens.MEMO).
     """
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc_key"), F.coalesce("text", F.lit("")).alias("text"))
     schema = T.StructType([rows.schema["doc_id"], *(T.StructField(n, t) for n, t in (("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()), ("doc_tokens", T.LongType()), ("doc_key", T.LongType())))])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, dtype = encoder(tokenizer).encode, encoder(tokenizer).dtype
+        encode, dtype = encoder(tokenizer, memo).encode, encoder(tokenizer, memo).dtype
         seen: dict[int, int] = {}
         for batch in batches:
             held, size = [], 0

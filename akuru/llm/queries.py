@@ -41,7 +41,7 @@ def tokenizer() -> str:
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    pieces = packing.cut(docs, tokenizer()).withColumn("ids_crc32", packing.crc(F.col("ids"))).drop("ids")
+    pieces = packing.cut(docs, tokenizer(), memo=400_000).withColumn("ids_crc32", packing.crc(F.col("ids"))).drop("ids")
     out = packing.pack(pieces, docs.count())
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
