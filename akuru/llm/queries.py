@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, html, licenses, mixing, packing, quality, simhash, tokenfile, toxicity, urls
-from .common import scratch_path, table
+from .common import scratch_path, small_batches, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
-    tokenfile.write(table(spark, sf_dir, "documents"), tokenizer(), path)
+    with small_batches(spark):  # the room goes to remembered words
+        tokenfile.write(table(spark, sf_dir, "documents"), tokenizer(), path)
     return tokenfile.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
