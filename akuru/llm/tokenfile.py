@@ -227,7 +227,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2) -> None:
 
     def raw_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of plain ids, with how often each id occurs in the partition on the last one."""
-        code = encoder(tokenizer, 550_000)
+        code = encoder(tokenizer, 300_000)
         counts, shard, block = np.zeros(max(code.vocabulary, end_id + 1), np.int64), TaskContext.get().partitionId(), 0
         ids: list[bytes] = []
         doc_ids: list[int | None] = []
