@@ -8,12 +8,38 @@ from pyspark.sql import functions as F
 from ..operators.corpus import upsert
 
 
+def existing(spark: SparkSession, *paths: str) -> list[str]:
+    """Those of some paths or patterns under which there is anything."""
+    conf = spark._jsc.hadoopConfiguration()
+    found = []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        status = at.getFileSystem(conf).globStatus(at)
+        if status is not None and len(status):
+            found.append(path)
+    return found
+
+
 def _lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """value and no (unique, rising within a file), without marks of order, comments and blank lines."""
-    rows = spark.read.text(list(paths)).select(F.regexp_replace("value", "^\\x{FEFF}", "").alias("value"), F.monotonically_increasing_id().alias("no"))
+    """value and no (unique, rising over the paths as given, the files by name and the lines of a file), without marks of order, comments and blank lines.
+
+    Paths that don't exist are passed over.
+    """
+    rows = None
+    for k, path in enumerate(existing(spark, *paths)):
+        no = F.struct(F.lit(k).alias("k"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+        part = spark.read.text(path).select(F.regexp_replace("value", "^\\x{FEFF}", "").alias("value"), no.alias("no"))
+        rows = part if rows is None else rows.union(part)
+    if rows is None:
+        rows = spark.createDataFrame([], "value string, no struct<k:int,file:string,block:long,line:long>")
     return rows.withColumn("value", F.regexp_replace("value", r"^\s+|\s+$", "")).filter("value <> '' and not startswith(value, '#')")
 
 
+def word_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """(word, freq) of all .tsv files of a folder, merged."""
+    return word_list(spark, f"{folder.rstrip('/')}/*.tsv")
+
+
 def word_list(spark: SparkSession, *paths: str) -> DataFrame:
     """(word, freq) of tab-separated lists, merged; a missing or odd second column counts as 1."""
     parts = F.split("value", "\t")
@@ -77,6 +103,26 @@ def write_tsv(df: DataFrame, path: str, *order: str) -> None:
     df.orderBy(*keys).write.csv(path, sep="\t", quote="", escape="")
 
 
+def write_noted(df: DataFrame, path: str, note: str, *order: str) -> None:
+    """Tab-separated lines, globally ordered, after a line with a note; files read in the order of their names are one text."""
+    keys = [F.desc(c[1:]) if c.startswith("-") else F.col(c) for c in order]
+    lines = df.select(F.lit(1).alias("o"), F.concat_ws("\t", *(F.col(c).cast("string") for c in df.columns)).alias("line"), *df.columns)
+    first = df.sparkSession.range(1).select(F.lit(0).alias("o"), F.lit(f"# {note}").alias("line"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema))
+    first.union(lines).orderBy("o", *keys).select("line").write.text(path)
+
+
+def write_lexicon(lexicon: DataFrame, path: str, note: str) -> None:
+    """word and freq by word."""
+    write_noted(lexicon.select("word", "freq"), path, note, "word")
+
+
+def write_counts(counts: DataFrame, path: str, note: str, least: int = 3, most: int = 100_000) -> None:
+    """Words or pairs counted at least so often, by falling count; word counts are capped."""
+    keys = [c for c in counts.columns if c != "cnt"]
+    cnt = F.least("cnt", F.lit(most)) if keys == ["word"] else F.col("cnt")
+    write_noted(counts.filter(F.col("cnt") >= least).select(*keys, cnt.alias("cnt")), path, note, "-cnt", *keys)
+
+
 def write_thesaurus(thesaurus: DataFrame, path: str) -> None:
     line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("syn", "cnt"))), lambda x: F.concat_ws(":", x.syn, x.cnt.cast("string"))), "|")
     write_tsv(thesaurus.groupBy("word").agg(line.alias("line")), path, "word")

@@ -141,6 +141,27 @@ def test_files(spark, tmp_path, lexicon):
     assert aff[0] == "SET UTF-8" and f"REP {len(export.replacement_pairs())}" in aff and sum(x.startswith("SFX A") for x in aff) == 115
 
 
+def test_missing_files_folders_and_noted_files(spark, tmp_path, lexicon):
+    (tmp_path / "a.tsv").write_text("ބަސް\t5\n", encoding="utf-8")
+    (tmp_path / "b.tsv").write_text("ބަސް\t7\nމަސް\t2\n", encoding="utf-8")
+    (tmp_path / "c.txt").write_text("ކަނޑު\t9\n", encoding="utf-8")
+    there = str(tmp_path / "a.tsv")
+    assert tables.word_list(spark, there, str(tmp_path / "none.tsv")).count() == 1
+    assert tables.counts(spark, str(tmp_path / "none.tsv")).count() == 0 == tables.word_list(spark, str(tmp_path / "none.tsv")).count()
+    assert sorted(map(tuple, tables.word_folder(spark, str(tmp_path)).collect())) == [("ބަސް", 7), ("މަސް", 2)]
+    (tmp_path / "p.dat").write_text("x\ty\t3\n", encoding="utf-8")
+    (tmp_path / "o.dat").write_text("x\ty\t4\n", encoding="utf-8")
+    last = tables.counts(spark, str(tmp_path / "p.dat"), str(tmp_path / "o.dat"), pairs=True, last_wins=True)
+    assert last.first().cnt == 4  # the last path given, not the last by name
+    tables.write_lexicon(lexicon, str(tmp_path / "lex"), "made")
+    lines = [x for f in sorted((tmp_path / "lex").glob("part-*")) for x in f.read_text(encoding="utf-8").splitlines()]
+    assert lines == ["# made", *(f"{w}\t10" for w in sorted(LEXICON))]
+    counted = spark.createDataFrame([("a", "b", 3), ("b", "c", 9), ("c", "d", 2)], "w1 string, w2 string, cnt long")
+    tables.write_counts(counted, str(tmp_path / "pairs"), "pairs")
+    lines = [x for f in sorted((tmp_path / "pairs").glob("part-*")) for x in f.read_text(encoding="utf-8").splitlines()]
+    assert lines == ["# pairs", "b\tc\t9", "a\tb\t3"]
+
+
 def test_evaluation(spark, lexicon):
     made = evaluation.corruptions(evaluation.pool(lexicon)).cache()
     kinds = {r.kind for r in made.select("kind").distinct().collect()}
