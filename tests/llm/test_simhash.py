@@ -100,3 +100,13 @@ def test_small_tables(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert simhash.classes(df).count() == len(rows)
     assert simhash.keep_first(df).count() == len(rows)
+
+
+def test_fingerprints_of_many_rows_are_sent_to_them(spark, monkeypatch):
+    rows = [(d, "one text that many rows share") for d in range(40)] + [(None, None)] * 30 + [(100 + d, f"text {d} of its own") for d in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(repr, simhash.classes(docs).collect()))
+    for few, hot in ((20, 10), (20, 0)):  # two fingerprints are hot; with no room for them all rows are joined by a shuffle
+        monkeypatch.setattr(simhash, "HOT_ROWS", few)
+        monkeypatch.setattr(simhash, "BROADCAST_HOT", hot)
+        assert sorted(map(repr, simhash.classes(docs).collect())) == plain and len(plain) == len(rows)
