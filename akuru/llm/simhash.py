@@ -29,7 +29,7 @@ SEED = 42
 NEAR_N, NEAR = 5, 0.8
 #: Bands of minima, and minima in each: a pair at 0.8 shares no band in 4 of 10,000 cases.
 BANDS, ROWS = 20, 5
-#: Texts of a band key that are compared each with each; in larger groups each is compared with four of them.
+#: Texts of a band key that are compared each with each; in larger groups each is first compared with four of them.
 SMALL_GROUP = 8
 #: Rows from which on a fingerprint is sent to its rows instead of gathering them, and how many such are (about 40 bytes each).
 HOT_ROWS, BROADCAST_HOT = 20_000, 1_000_000
@@ -257,9 +257,10 @@ def near_links(texts: DataFrame, keyed: DataFrame, firsts: DataFrame) -> DataFra
     """Links (a, b) of texts(tid, id, text), which may repeat, whose shingle sets have a Jaccard similarity of NEAR or more.
 
     firsts(tid, id) names a row of each text; keyed(tid, bands) names the candidates: texts that share a band. In a group of at most
-    SMALL_GROUP every pair is one; in a larger one every text is paired with four that two hashes
-    choose anew in each band, so pairs grow with the texts and not with their square. Every
-    candidate is compared by its whole shingle sets.
+    SMALL_GROUP every pair is compared; in a larger one first every text with four that two hashes
+    choose anew in each band, and then every pair that the links so far leave in different components and
+    that the four don't rule out (see unresolved). So the links' components are those of all candidates.
+    Every pair is compared by its whole shingle sets.
     """
     rows = materialize(keyed.select("tid", F.posexplode("bands").alias("band", "key")), "bands")
     ends = [f(F.struct(F.xxhash64("tid", "band", F.lit(k)).alias("h"), "tid")) for k in range(2) for f in (F.min, F.max)]
@@ -267,15 +268,52 @@ def near_links(texts: DataFrame, keyed: DataFrame, firsts: DataFrame) -> DataFra
     few = rows.join(groups.filter(F.col("n") <= SMALL_GROUP).select("band", "key"), ["band", "key"])
     each = few.select("band", "key", F.col("tid").alias("a")).join(few.select("band", "key", F.col("tid").alias("b")), ["band", "key"]).filter("a < b").select("a", "b")
     large = groups.filter(F.col("n") > SMALL_GROUP).select("band", "key", "chosen")
-    large = F.broadcast(large) if large.count() <= 50_000 else large
-    some = rows.join(large, ["band", "key"]).select("tid", F.explode("chosen").alias("c")).filter("tid <> c").select(F.least("tid", "c").alias("a"), F.greatest("tid", "c").alias("b"))
-    pairs = materialize(each.union(some).distinct(), "pairs")
+    number = large.count()
+    large = F.broadcast(large) if number <= 50_000 else large
+    members = rows.join(large, ["band", "key"])
+    some = members.select("tid", F.explode("chosen").alias("c")).filter("tid <> c").select(F.least("tid", "c").alias("a"), F.greatest("tid", "c").alias("b"))
+    scored = materialize(_compared(each.union(some).distinct(), texts, firsts), "compared")
+    links = scored.filter(F.col("j") >= NEAR).select("a", "b")
+    if not number:
+        return links
+    left = materialize(unresolved(members, scored, components(links)), "unresolved")
+    if left.isEmpty():
+        return links
+    return links.union(_compared(left, texts, firsts).filter(F.col("j") >= NEAR).select("a", "b"))
+
+
+def unresolved(members: DataFrame, scored: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members(band, key, tid, chosen) of one group that roots(node, root) has in different components and that could be near.
+
+    scored(a, b, j) has the similarity of each member to the chosen ones. One minus it is a metric, so two texts whose
+    distances to a third differ by more than a near pair's distance are not near. One text of each pair is
+    outside its group's largest component; a group within one component gives no pairs.
+    """
+    group = ["band", "key"]
+    named = members.join(roots.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    parts = named.groupBy(*group, "root").agg(F.count(F.lit(1)).alias("n"))
+    open_ = parts.groupBy(*group).agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
+    ways = scored.select(F.col("a").alias("tid"), F.col("b").alias("c"), "j").union(scored.select("b", "a", "j"))
+    spread = named.join(open_, group).select(*group, "tid", "root", "main", F.explode("chosen").alias("c")).join(ways, ["tid", "c"], "left")
+    away = F.when(F.col("tid") == F.col("c"), 0.0).otherwise(1 - F.col("j"))
+    held = materialize(spread.groupBy(*group, "tid", "root", "main").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", away.alias("d")))), lambda x: x.d).alias("d")), "open")
+    apart = held.filter("root <> main").select(*group, F.col("tid").alias("x"), F.col("root").alias("x_root"), F.col("d").alias("x_d"))
+    apart = F.broadcast(apart) if apart.count() <= 50_000 else apart
+    once = (F.col("root") == F.col("main")) | (F.col("x") < F.col("tid"))
+    could = F.forall(F.zip_with("x_d", "d", lambda p, q: F.abs(p - q) <= 1 - NEAR + 1e-9), lambda ok: ok)
+    pairs = held.join(apart, group).filter((F.col("x_root") != F.col("root")) & once & could)
+    return pairs.select(F.least("x", "tid").alias("a"), F.greatest("x", "tid").alias("b")).distinct()
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, firsts: DataFrame) -> DataFrame:
+    """pairs(a, b) with j, the Jaccard similarity of their texts' shingle sets."""
+    pairs = materialize(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct().join(firsts, "tid")
     # by text and id, so that the copies of one text don't meet in a task
     held = materialize(texts.join(wanted, ["tid", "id"]).dropDuplicates(["tid"]).select("tid", "text"), "near-texts")
 
-    @F.pandas_udf("boolean")
-    def near(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("double")
+    def similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in batches:
             memo: dict[str, np.ndarray] = {}
             out, held = [], 0
@@ -289,11 +327,11 @@ def near_links(texts: DataFrame, keyed: DataFrame, firsts: DataFrame) -> DataFra
                         held += memo[t].nbytes
                 x, y = (memo[t] if t in memo else shingle_hashes(t) for t in pair)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(both >= NEAR * (len(x) + len(y) - both))
-            yield pd.Series(out, dtype="bool")
+                out.append(both / max(len(x) + len(y) - both, 1))
+            yield pd.Series(out, dtype="float64")
 
     both = pairs.join(held.select(F.col("tid").alias("a"), F.col("text").alias("s")), "a").join(held.select(F.col("tid").alias("b"), F.col("text").alias("t")), "b")
-    return both.filter(near("s", "t")).select("a", "b")
+    return both.select("a", "b", similarity("s", "t").alias("j"))
 
 
 def keep_first_near(docs: DataFrame, radius: int = 2, n: int = 3) -> DataFrame:

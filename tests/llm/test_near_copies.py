@@ -53,3 +53,29 @@ def test_near_links_equal_all_pairs(spark, sf):
     sets = [set(simhash.shingle_hashes(t).tolist()) for t in texts]
     want = {(i, j) for j in range(len(sets)) for i in range(j) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])}
     assert want and got == want
+
+
+def test_large_groups_lose_no_component(spark):
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.getrandbits(40):x}" for _ in range(n)]
+    texts = []
+    for _ in range(30):  # unlike each other, but for two and two
+        words = fresh(300)
+        texts += [" ".join(words), edited(rng, words, 2)]
+    base = fresh(500)
+    texts += [edited(rng, base, n) for n in range(1, 41)]  # ever further from the first
+    for _ in range(10):
+        words = edited(rng, base, 12).split()
+        texts += [" ".join(words), edited(rng, words, 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "tid long, text string").withColumn("id", F.col("tid").cast("string"))
+    keyed = df.select("tid", F.array(F.lit(1).cast("long"), F.lit(2).cast("long")).alias("bands"))  # all candidates of all
+    links = simhash.near_links(df, keyed, df.select("tid", "id"))
+    got = {r.node: r.root for r in simhash.components(links).collect()}
+    sets = [set(simhash.shingle_hashes(t).tolist()) for t in texts]
+    near = [(i, j) for j in range(len(sets)) for i in range(j) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    assert set(map(tuple, links.collect())) <= set(near)
+    top = list(range(len(texts)))
+    for _ in texts:
+        for i, j in near:
+            top[i] = top[j] = min(top[i], top[j])
+    assert [got.get(i, i) for i in range(len(texts))] == top
