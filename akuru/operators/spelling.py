@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import script as S
 from ..functions.udfs import distance
+from ..sources.scratch import stored
 from . import morphology
 
 # Endings that are stripped, in this order.
@@ -48,17 +49,19 @@ def compounds(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def word_status(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(word, status, via) of distinct words; each later test only sees what the earlier ones left."""
+    """(word, status, via) of distinct words; each later test only sees what the earlier ones left.
+
+    The words are stored with what is wrong with them, so that the later tests don't work them out again, each in its own branch of the plan.
+    """
     known = lexicon.select("word", F.lit(True).alias("hit"))
-    first = words.select("word").distinct().join(known, "word", "left")
-    rest = first.filter("hit is null").select("word", (F.size(S.structure_errors(F.col("word"))) > 0).alias("bad"))
-    good = rest.filter("not bad").select("word")
+    met = words.select("word").distinct().join(known, "word", "left")
+    first = stored(met.withColumn("bad", F.when(F.col("hit").isNull(), F.size(S.structure_errors(F.col("word"))) > 0)), "words")
+    good = first.filter("not bad").select("word")
     morph = morphology.analyze(good, lexicon).filter("rank = 1").select("word", F.col("stem").alias("v1"))
     via = good.join(morph, "word", "left").join(suffix_stems(good, lexicon).withColumnRenamed("via", "v2"), "word", "left").join(compounds(good, lexicon).withColumnRenamed("via", "v3"), "word", "left")
     via = via.select("word", F.coalesce("v1", "v2", "v3").alias("via"))
-    out = first.join(rest, "word", "left").join(via, "word", "left")
     status = F.when(F.col("hit"), "ok").when(F.col("bad"), "structure").when(F.col("via").isNotNull(), "ok-derived").otherwise("unknown")
-    return out.select("word", status.alias("status"), "via")
+    return first.join(via, "word", "left").select("word", status.alias("status"), "via")
 
 
 def _delete_keys(max_edits: int) -> Column:
@@ -93,9 +96,9 @@ def rank(words: DataFrame, lexicon: DataFrame, limit: int = 5, max_edits: int =
 
 def check_words(words: DataFrame, lexicon: DataFrame, limit: int = 5) -> DataFrame:
     """(word, status, via, errors, suggestions) of distinct words; suggestions only where the status is a fault."""
-    status = word_status(words, lexicon)
+    status = stored(word_status(words, lexicon), "status")
     bad = status.filter("status in ('structure', 'unknown')").select("word")
-    best = rank(bad, lexicon, limit).groupBy(F.col("query").alias("word")).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("word").alias("w"), "cost"))).alias("s"))
+    best = stored(rank(bad, lexicon, limit), "ranked").groupBy(F.col("query").alias("word")).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("word").alias("w"), "cost"))).alias("s"))
     suggestions = F.transform(F.coalesce("s", F.array()), lambda x: F.struct(x.w.alias("word"), x.cost.alias("cost")))
     return status.join(best, "word", "left").select("word", "status", "via", _errors(), suggestions.alias("suggestions"))
 
@@ -133,7 +136,7 @@ def context_errors(tokens: DataFrame, lexicon: DataFrame, bigrams: DataFrame, *k
     occ = _known(with_neighbours(tokens, *keys), lexicon, "word")
     swap = F.expr(f"transform(filter(sequence(1, length(word)), i -> instr('{''.join(S.LENGTH_MAP)}', substring(word, i, 1)) > 0), i -> struct(i, overlay(word placing translate(substring(word, i, 1), '{''.join(S.LENGTH_MAP)}', '{''.join(S.LENGTH_MAP.values())}') from i) as alt))")
     per_word = occ.select("word").distinct().select("word", F.explode(swap).alias("s")).select("word", "s.i", "s.alt")
-    per_word = _known(per_word, lexicon, "alt").select("word", "i", "alt")
+    per_word = stored(_known(per_word, lexicon, "alt").select("word", "i", "alt"), "alternatives")
     occ = occ.join(per_word.select("word").distinct(), "word", "left_semi")
     before = bigrams.select(F.col("w1").alias("prev"), F.col("w2").alias("x"), F.col("cnt").alias("c1"))
     after = bigrams.select(F.col("w1").alias("x"), F.col("w2").alias("next"), F.col("cnt").alias("c2"))
@@ -145,11 +148,14 @@ def context_errors(tokens: DataFrame, lexicon: DataFrame, bigrams: DataFrame, *k
 
 
 def check_text(tokens: DataFrame, lexicon: DataFrame, bigrams: DataFrame, *keys: str) -> DataFrame:
-    """keys, pos, word, start, end, status, errors (index, code and message) and suggestions (word and cost) of every issue."""
-    status = word_status(tokens.select("word"), lexicon)
-    bad = status.filter("status in ('structure', 'unknown')").select("word", "status")
-    occ = with_neighbours(tokens, *keys).join(bad, "word")
-    ranked = rank(bad.select("word"), lexicon, limit=15)
+    """keys, pos, word, start, end, status, errors (index, code and message) and suggestions (word and cost) of every issue.
+
+    Tokens, faulty words and their suggestions are stored, as several branches read them: a plan that held every branch whole took most of the driver's memory.
+    """
+    tokens = stored(with_neighbours(tokens, *keys), "tokens")
+    bad = stored(word_status(tokens.select("word"), lexicon).filter("status in ('structure', 'unknown')").select("word", "status"), "bad")
+    occ = tokens.join(bad, "word")
+    ranked = stored(rank(bad.select("word"), lexicon, limit=15), "ranked")
     best = rerank(occ.select(*keys, "pos", "word", "prev", "next"), ranked, bigrams)
     best = best.groupBy(*keys, "pos").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("cand").alias("word"), "cost"))).alias("s"))
     suggestions = F.transform(F.coalesce("s", F.array()), lambda x: F.struct(x.word.alias("word"), x.cost.alias("cost")))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from akuru.operators import corpus, dictionary, evaluation, export, morphology, paraphrase, spelling
+from akuru.plans import catalogue
 from akuru.sources import tables
 from akuru.streaming import unknown
 
@@ -177,3 +178,10 @@ def test_streaming_count(spark, lexicon, tmp_path):
     stream = spark.readStream.schema("t string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     unknown.count_unknown(stream, lambda: lexicon, str(tmp_path / "total"), str(tmp_path / "check")).awaitTermination(120)
     assert [tuple(r) for r in unknown.totals(spark.read.parquet(str(tmp_path / "total"))).collect()] == [("ނެތްބަހެކޭ", 2)]
+
+
+@pytest.mark.parametrize("name", ["spell_issues", "check_words", "editor_matches"])
+def test_plan_reads_the_checked_texts_once(spark, sf, name):
+    """What several branches read is stored: a plan with a branch's whole lineage in each filled the driver's memory."""
+    plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("role#") <= 1  # a column of the input only; editor_matches reads the texts for grammar
