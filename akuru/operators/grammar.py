@@ -128,6 +128,10 @@ def formal_register(t: Column) -> Column:
 RULES: dict[str, Rule] = {"punctuation": punctuation, "space_before": space_before, "space_after": space_after, "double_space": double_space, "repeated_words": repeated_words, "detached_eve": detached_eve, "long_sentences": long_sentences, "formal_register": formal_register}
 
 
+#: Rules whose issues have no replacement.
+UNFIXABLE = ("long_sentences", "formal_register")
+
+
 def issues(df: DataFrame, rule: Rule, *keys: str) -> DataFrame:
     """keys, rule, start, end and replacement of one rule's issues."""
     return df.select(*keys, F.explode(rule(F.col("t"))).alias("x")).select(*keys, "x.*")
@@ -151,15 +155,33 @@ def fixed(t: Column, rules: tuple[str, ...] = tuple(RULES)) -> Column:
     Of overlapping ones the first stays, of those that start together the longest; the others are
     left for another pass.
     """
-    every = F.filter(F.concat(*(RULES[r](t) for r in rules)), lambda x: x.replacement.isNotNull())
+    every = F.filter(F.concat(*(RULES[r](t) for r in rules if r not in UNFIXABLE)), lambda x: x.replacement.isNotNull())
     ordered = F.array_sort(F.transform(every, lambda x: F.struct(x.start.alias("start"), (-x.end).alias("back"), x.replacement.alias("new"))))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def put(acc: Column, x: Column) -> Column:
-        more = F.array(F.substring(t, acc.at + 1, x.start - acc.at), x.new)
-        return F.when(x.start >= acc.at, F.struct((-x.back).alias("at"), F.concat(acc.out, more).alias("out"))).otherwise(acc)
+    def keep(acc: Column, x: Column) -> Column:
+        piece = F.struct(acc.at.alias("begin"), x.start.alias("end"), x.new.alias("new"))
+        return F.when(x.start >= acc.at, F.struct((-x.back).alias("at"), F.concat(acc.out, F.array(piece)).alias("out"))).otherwise(acc)
+
+    none = F.array().cast("array<struct<begin:int,end:int,new:string>>")
+    # issues are taken in blocks, so that an array that grows by one at a time stays short
+    def block(acc: Column, some: Column) -> Column:
+        done = F.aggregate(some, F.struct(acc.at.alias("at"), none.alias("out")), keep)
+        return S.let(done, lambda d: F.struct(d.at.alias("at"), F.concat(acc.out, F.array(d.out)).alias("out")))
+
+    def put(i: Column) -> Column:
+        cuts = F.sequence(F.lit(0), F.floor((F.size(i) + 31) / 32).cast("int"))
+        blocks = F.transform(cuts, lambda k: F.slice(i, k * 32 + 1, 32))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<begin:int,end:int,new:string>>>").alias("out"))
+        return S.let(F.aggregate(blocks, begin, block), rewrite)
+
+    def rewrite(kept: Column) -> Column:
+        def of(part: Column) -> Column:
+            pieces = F.transform(F.flatten(kept.out), lambda x: F.concat(S.between(part, x.begin, x.end), x.new))
+            return F.concat(F.array_join(pieces, ""), S.between(part, kept.at, F.length(t)))
+
+        return S.let(S.blocks(t), of)
 
-    return F.aggregate(ordered, begin, put, lambda acc: F.concat(F.array_join(acc.out, ""), F.substring(t, acc.at + 1, F.length(t))))
+    return S.let(ordered, lambda i: F.when(F.size(i) == 0, t).otherwise(put(i)))
 
 
 def to_informal_word(word: Column) -> Column:

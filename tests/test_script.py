@@ -149,3 +149,23 @@ def test_register(spark):
     assert column(spark, texts, formal) == want and column(spark, want, formal) == want
     assert column(spark, [want[0], "އަހަރެން ދިޔައީމެވެ.", want[2]], informal) == [texts[0], "އަހަރެން ދިޔައީ.", texts[2]]
     assert column(spark, ["ކުރި", "ކަމަށް", "ދޯނީގައި"], grammar.merge_eve) == ["ކުރިއެވެ", "ކަމަށެވެ", "ދޯނީގައެވެ"]
+
+
+def test_fixing_works_out_only_rules_that_replace(spark):
+    df = spark.createDataFrame([(1, "x")], "k int, t string")
+    whole = df.select(grammar.fixed(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    some = df.select(grammar.fixed(F.col("t"), tuple(r for r in grammar.RULES if r not in ("long_sentences", "formal_register"))))._jdf.queryExecution().analyzed().toString()
+    assert whole.count("regexp_extract_all") == some.count("regexp_extract_all")
+
+
+def test_fixed_of_many_issues_and_long_gaps(spark):
+    rng = random.Random(2)
+    parts = [rng.choice(["މާލެ ,", "މާލެ މާލެ ", "x" * rng.choice((1, 1023, 1024, 3000)) + " ", "\U0001F600  ", "ދިޔަ އެވެ. ", "a b "]) for _ in range(400)]
+    text = "".join(parts)
+    rows = column(spark, [text, "", "abc"], lambda c: grammar.fixed(c))
+    found = [r for r in spark.createDataFrame([(1, text)], "k int, t string").transform(lambda d: grammar.check(d, "k")).collect() if r.replacement is not None]
+    out, at = "", 0
+    for r in sorted(found, key=lambda r: (r.start, -r.end, r.replacement)):
+        if r.start >= at:
+            out, at = out + text[at : r.start] + r.replacement, r.end
+    assert rows == [out + text[at:], "", "abc"] and len(found) > 200
