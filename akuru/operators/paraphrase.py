@@ -40,18 +40,20 @@ def alternatives(thesaurus: DataFrame, modern_only: bool = False) -> DataFrame:
 
 
 def _pieces(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """_row, keys, i, no, gap, word: each run of Thaana with the text before it, and a last row for what follows.
+    """_row, keys, i, no, gap, run, key: each run of Thaana with the text before it, and a last row for what follows.
 
-    no is the run's place among all runs, gaps counted. A row without a word has a key of its own
-    that no word equals, so such rows don't meet in one task.
+    no is the run's place among all runs, gaps counted. key is the word; a row without one has a key of its own
+    that no word equals, so such rows don't meet in one task. These rows are shuffled, so none holds a string
+    twice: run is null where there is a word, as only a run without one is written as it stands.
     """
     runs = F.concat(F.regexp_extract_all("t", F.lit(S.RUN), F.lit(0)), F.array(F.lit("")))
     first = F.when(F.col("t").rlike(f"^{S.RUN}"), 0).otherwise(1)
     # all that depends on the whole text is in the exploded array: a token row doesn't carry the text
     each = S.let(F.struct(first.alias("f"), F.split("t", S.RUN, -1).alias("g"), runs.alias("r")), lambda s: F.transform(s.r, lambda r, i: F.struct((2 * i + s.f).alias("no"), F.get(s.g, i).alias("gap"), r.alias("run"))))
     rows = df.withColumn("_row", F.monotonically_increasing_id()).select("_row", *keys, F.posexplode(each).alias("i", "x"))
-    rows = rows.select("_row", *keys, "i", "x.no", "x.gap", "x.run", F.translate("x.run", S.ZERO_WIDTH, "").alias("word"))
-    return rows.withColumn("key", F.when(F.col("word") == "", F.concat(F.lit("\x01"), F.col("_row").cast("string"))).otherwise(F.col("word")))
+    word = F.translate("x.run", S.ZERO_WIDTH, "")
+    key = F.when(word == "", F.concat(F.lit("\x01"), F.col("_row").cast("string"))).otherwise(word)
+    return rows.select("_row", *keys, "i", "x.no", "x.gap", F.when(word == "", F.col("x.run")).alias("run"), key.alias("key"))
 
 
 def _with_numbers(pieces: DataFrame, named: DataFrame) -> DataFrame:
@@ -71,8 +73,9 @@ def _assembled(pieces: DataFrame, named: DataFrame, keys: tuple[str, ...]) -> Da
     syns = named.select(F.col("word").alias("key"), "choice", F.col("syn").alias("used"))
     spread = pieces.withColumn("choice", F.coalesce("choice", (-1 - F.pmod(F.xxhash64("_row", "i"), F.lit(1 << 30))).cast("int")))
     out = spread.join(syns, ["key", "choice"], "left")
-    row = F.struct("i", "gap", "word", F.coalesce("used", F.when(F.col("word") == "", F.col("run")).otherwise(F.col("word"))).alias("out"), "n", "used")
+    row = F.struct("i", "gap", F.when(F.col("run").isNull(), F.col("key")).alias("word"), "run", "n", "used")
     texts = out.groupBy("_row", *keys).agg(F.array_sort(F.collect_list(row)).alias("p"))
+    texts = texts.withColumn("p", F.transform("p", lambda x: F.struct(x.gap.alias("gap"), x.word.alias("word"), F.coalesce(x.used, x.run, x.word).alias("out"), x.n.alias("n"), x.used.alias("used"))))
 
     def spans(p: Column) -> Column:
         ends = S.running(F.transform(p, lambda x: F.length(x.gap) + F.length(x.out)))
@@ -107,7 +110,7 @@ def paraphrase_exact(df: DataFrame, thesaurus: DataFrame, *keys: str, aggressive
     named = choices(thesaurus, modern_only)
     df = df.withColumn("t", F.coalesce("t", F.lit("")))
     pieces = _with_numbers(_pieces(df, keys), named)
-    texts = pieces.groupBy("_row", *keys).agg(F.array_sort(F.collect_list(F.struct("i", "gap", "run", "word", "key", "n"))).alias("p"))
+    texts = pieces.groupBy("_row", *keys).agg(F.array_sort(F.collect_list(F.struct("i", "gap", "run", "key", "n"))).alias("p"))
 
     @F.pandas_udf("array<int>")
     def draws(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -185,3 +185,10 @@ def test_plan_reads_the_checked_texts_once(spark, sf, name):
     """What several branches read is stored: a plan with a branch's whole lineage in each filled the driver's memory."""
     plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("role#") <= 1  # a column of the input only; editor_matches reads the texts for grammar
+
+
+def test_shuffled_pieces_hold_no_string_twice(spark):
+    df = spark.createDataFrame([(1, "a މާލެ ‌ ބ‌ަސް b"), (2, "")], "k int, t string")
+    got = [(r.k, r.gap, r.run, None if r.key.startswith("\x01") else r.key) for r in paraphrase._pieces(df, ("k",)).orderBy("k", "i").collect()]
+    assert got == [(1, "a ", None, "މާލެ"), (1, " ", "‌", None), (1, " ", None, "ބަސް"), (1, " b", "", None), (2, "", "", None)]
+    assert "word" not in paraphrase._pieces(df, ("k",)).columns
