@@ -13,6 +13,7 @@ Components come from alternating large-star and small-star rounds over the links
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -29,10 +30,12 @@ SEED = 42
 NEAR_N, NEAR = 5, 0.8
 #: Bands of minima, and minima in each: a pair at 0.8 shares no band in 4 of 10,000 cases.
 BANDS, ROWS = 20, 5
-#: Texts of a band key that are compared each with each; in larger groups each is first compared with four of them.
+#: Texts of a band key that are compared each with each; in larger groups each is first compared with two of them.
 SMALL_GROUP = 8
 #: Rows from which on a fingerprint is sent to its rows instead of gathering them, and how many such are (about 40 bytes each).
 HOT_ROWS, BROADCAST_HOT = 20_000, 1_000_000
+#: Logarithm of the ratio of sizes within a class (see unresolved).
+_CLASS = math.log(1.05)
 #: Bytes of shingle hashes that are remembered while candidates are compared.
 _MEMO = 4_000_000
 #: Bits set in each byte value.
@@ -257,13 +260,13 @@ def near_links(texts: DataFrame, keyed: DataFrame, firsts: DataFrame) -> DataFra
     """Links (a, b) of texts(tid, id, text), which may repeat, whose shingle sets have a Jaccard similarity of NEAR or more.
 
     firsts(tid, id) names a row of each text; keyed(tid, bands) names the candidates: texts that share a band. In a group of at most
-    SMALL_GROUP every pair is compared; in a larger one first every text with four that two hashes
-    choose anew in each band, and then every pair that the links so far leave in different components and
-    that the four don't rule out (see unresolved). So the links' components are those of all candidates.
-    Every pair is compared by its whole shingle sets.
+    SMALL_GROUP every pair is compared; in a larger one first every text with two that a hash
+    chooses anew in each band, then with four of the most central that are still in other components, and
+    then every pair that is left in different components and has shingles enough in common to be near (see unresolved).
+    So the links' components are those of all candidates. Every pair is compared by its whole shingle sets.
     """
     rows = materialize(keyed.select("tid", F.posexplode("bands").alias("band", "key")), "bands")
-    ends = [f(F.struct(F.xxhash64("tid", "band", F.lit(k)).alias("h"), "tid")) for k in range(2) for f in (F.min, F.max)]
+    ends = [f(F.struct(F.xxhash64("tid", "band").alias("h"), "tid")) for f in (F.min, F.max)]
     groups = materialize(rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.array(*(e["tid"] for e in ends))).alias("chosen")).filter("n > 1"), "groups")
     few = rows.join(groups.filter(F.col("n") <= SMALL_GROUP).select("band", "key"), ["band", "key"])
     each = few.select("band", "key", F.col("tid").alias("a")).join(few.select("band", "key", F.col("tid").alias("b")), ["band", "key"]).filter("a < b").select("a", "b")
@@ -273,44 +276,103 @@ def near_links(texts: DataFrame, keyed: DataFrame, firsts: DataFrame) -> DataFra
     members = rows.join(large, ["band", "key"])
     some = members.select("tid", F.explode("chosen").alias("c")).filter("tid <> c").select(F.least("tid", "c").alias("a"), F.greatest("tid", "c").alias("b"))
     scored = materialize(_compared(each.union(some).distinct(), texts, firsts), "compared")
-    links = scored.filter(F.col("j") >= NEAR).select("a", "b")
+    near = F.col("j") >= NEAR
+    links = scored.filter(near).select("a", "b")
     if not number:
         return links
-    left = materialize(unresolved(members, scored, components(links)), "unresolved")
-    if left.isEmpty():
+    named = members.join(components(links).withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    held = materialize(_open(named), "open")
+    if held.isEmpty():
         return links
-    return links.union(_compared(left, texts, firsts).filter(F.col("j") >= NEAR).select("a", "b"))
+    more = materialize(_compared(central(held, scored), texts, firsts).filter(near).select("a", "b"), "near")
+    links = links.union(more)
+    if not more.isEmpty():
+        of = held.select("tid", "root").distinct()
+        joined = more.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        moved = components(joined).toDF("root", "to")
+        held = materialize(_open(held.join(moved, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")), "open")
+    return links.union(_compared(unresolved(held, texts, firsts), texts, firsts).filter(near).select("a", "b"))
+
+
+def _open(named: DataFrame) -> DataFrame:
+    """Of named(band, key, tid, root, ...) the groups that lie in several components, with the root of the largest part as main."""
+    group = ["band", "key"]
+    parts = named.groupBy(*group, "root").agg(F.count(F.lit(1)).alias("n"))
+    open_ = parts.groupBy(*group).agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
+    return named.drop("main").join(open_, group)
 
 
-def unresolved(members: DataFrame, scored: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members(band, key, tid, chosen) of one group that roots(node, root) has in different components and that could be near.
+def central(members: DataFrame, scored: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members(band, key, tid, chosen, root) with the most central ones of their groups, where these have another root.
 
-    scored(a, b, j) has the similarity of each member to the chosen ones. One minus it is a metric, so two texts whose
-    distances to a third differ by more than a near pair's distance are not near. One text of each pair is
-    outside its group's largest component; a group within one component gives no pairs.
+    scored(a, b, j) has the similarity of each member to the chosen ones of its group. Of each quarter of a group, by a hash,
+    the member nearest to them all is taken: the less a copy has been changed, the more others are near it.
     """
     group = ["band", "key"]
-    named = members.join(roots.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    parts = named.groupBy(*group, "root").agg(F.count(F.lit(1)).alias("n"))
-    open_ = parts.groupBy(*group).agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
     ways = scored.select(F.col("a").alias("tid"), F.col("b").alias("c"), "j").union(scored.select("b", "a", "j"))
-    spread = named.join(open_, group).select(*group, "tid", "root", "main", F.explode("chosen").alias("c")).join(ways, ["tid", "c"], "left")
     away = F.when(F.col("tid") == F.col("c"), 0.0).otherwise(1 - F.col("j"))
-    held = materialize(spread.groupBy(*group, "tid", "root", "main").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", away.alias("d")))), lambda x: x.d).alias("d")), "open")
-    apart = held.filter("root <> main").select(*group, F.col("tid").alias("x"), F.col("root").alias("x_root"), F.col("d").alias("x_d"))
-    apart = F.broadcast(apart) if apart.count() <= 50_000 else apart
-    once = (F.col("root") == F.col("main")) | (F.col("x") < F.col("tid"))
-    could = F.forall(F.zip_with("x_d", "d", lambda p, q: F.abs(p - q) <= 1 - NEAR + 1e-9), lambda ok: ok)
-    pairs = held.join(apart, group).filter((F.col("x_root") != F.col("root")) & once & could)
-    return pairs.select(F.least("x", "tid").alias("a"), F.greatest("x", "tid").alias("b")).distinct()
+    far = members.select(*group, "tid", "root", F.explode("chosen").alias("c")).join(ways, ["tid", "c"], "left").groupBy(*group, "tid", "root").agg(F.sum(away).alias("d"))
+    quarter = F.pmod(F.xxhash64("tid", "band"), F.lit(4))
+    least = far.groupBy(*group).agg(*(F.min(F.when(quarter == k, F.struct("d", "tid", "root"))).alias(f"m{k}") for k in range(4)))
+    least = least.select(*group, F.explode(F.array_compact(F.array(*(f"m{k}" for k in range(4))))).alias("m")).select(*group, F.col("m.tid").alias("c"), F.col("m.root").alias("c_root"))
+    pairs = members.join(least, group).filter("root <> c_root").select(F.least("tid", "c").alias("a"), F.greatest("tid", "c").alias("b")).distinct()
+    return pairs.join(scored, ["a", "b"], "left_anti")
+
+
+def unresolved(members: DataFrame, texts: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members(band, key, tid, root, main) with different roots that could be near; none that is near is left out.
+
+    Two sets of m and n shingles that are near share at least o = NEAR / (1 + NEAR) * (m + n). Shingles are ordered, those that
+    only one component has first and frequent ones last; then the first shared one of a near pair has at least o
+    shingles from it on in both sets. So a text is met by its first shingles only: the smaller one under those that a
+    partner of at least its size leaves, the larger one under those that partners of a class of sizes leave. Copies that have
+    been changed too much to be near any other begin with shingles of their own, and meet no one. Of each pair
+    one text is outside the largest part of a group; parts are not paired within themselves.
+    """
+    nodes = members.groupBy("tid").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("apart"))
+
+    @F.pandas_udf("array<long>")
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in batches:
+            yield pd.Series([shingle_hashes(t).view(np.int64) for t in some], dtype="object")
+
+    sets = materialize(_first_texts(nodes, texts, firsts).select("tid", "root", "apart", hashes("text").alias("s")), "shingles")
+    each = sets.select("tid", "root", "apart", F.size("s").alias("size"), F.explode("s").alias("h"))
+    shared = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h", "n")
+    ranked = each.join(shared, "h").groupBy("tid", "root", "apart", "size").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("s"))
+    ranked = materialize(ranked, "ranked")
+
+    overlap = lambda m, n: F.ceil(NEAR / (1 + NEAR) * (m + n) - 1e-6)
+    size, class_of = F.col("size"), lambda n: F.floor(F.log(n) / _CLASS)
+    smallest = F.ceil(NEAR * size - 1e-6)
+
+    def first(df: DataFrame, least: Column) -> DataFrame:
+        """The first shingles that have at least `least` from them on, each with how many (rest)."""
+        at = F.posexplode(F.slice("s", 1, F.greatest(F.lit(0), F.size("s") - least + 1).cast("int"))).alias("k", "x")
+        return df.withColumn("shared", F.size("s")).select("tid", "root", "apart", "size", "class", "shared", at).select("tid", "root", "apart", "size", "class", F.col("x.h").alias("h"), (F.col("shared") - F.col("k")).alias("rest"))
+
+    short = first(ranked.withColumn("class", class_of(size)), overlap(size, size))
+    classes = ranked.withColumn("class", F.explode(F.sequence(class_of(smallest), class_of(size))))
+    long = first(classes, overlap(size, F.greatest(smallest, F.floor(F.exp(F.col("class") * _CLASS)))))
+    long = long.select("h", "class", *(F.col(c).alias(f"l_{c}") for c in ("tid", "root", "apart", "size", "rest")))
+    ordered = (size < F.col("l_size")) | ((size == F.col("l_size")) & (F.col("tid") < F.col("l_tid")))
+    enough = F.least("rest", "l_rest") >= overlap(size, F.col("l_size"))
+    met = short.filter("apart").join(long, ["h", "class"]).filter((F.col("root") != F.col("l_root")) & ordered & enough)
+    met = met.unionByName(short.filter("not apart").join(long.filter("l_apart"), ["h", "class"]).filter((F.col("root") != F.col("l_root")) & ordered & enough))
+    return met.select(F.least("tid", "l_tid").alias("a"), F.greatest("tid", "l_tid").alias("b")).distinct()
+
+
+def _first_texts(wanted: DataFrame, texts: DataFrame, firsts: DataFrame) -> DataFrame:
+    """wanted(tid, ...) with the text of each."""
+    # by text and id, so that the copies of one text don't meet in a task
+    return texts.join(wanted.join(firsts, "tid"), ["tid", "id"]).dropDuplicates(["tid"])
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, firsts: DataFrame) -> DataFrame:
     """pairs(a, b) with j, the Jaccard similarity of their texts' shingle sets."""
     pairs = materialize(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct().join(firsts, "tid")
-    # by text and id, so that the copies of one text don't meet in a task
-    held = materialize(texts.join(wanted, ["tid", "id"]).dropDuplicates(["tid"]).select("tid", "text"), "near-texts")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
+    held = materialize(_first_texts(wanted, texts, firsts).select("tid", "text"), "near-texts")
 
     @F.pandas_udf("double")
     def similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

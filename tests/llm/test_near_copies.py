@@ -79,3 +79,38 @@ def test_large_groups_lose_no_component(spark):
         for i, j in near:
             top[i] = top[j] = min(top[i], top[j])
     assert [got.get(i, i) for i in range(len(texts))] == top
+
+
+def test_large_groups_are_not_compared_each_with_each(spark, monkeypatch):
+    rng = random.Random(7)
+    fresh = lambda n: [f"w{rng.getrandbits(40):x}" for _ in range(n)]
+    base = fresh(200)
+    texts = [" ".join(base[:150] + fresh(50)) for _ in range(200)]  # one long passage, and an end of its own
+    for n in (100, 60, 200):  # cut and edited by little and by much, in their hundreds around the limit
+        for _ in range(60):
+            k = rng.randrange(n * 3 // 10)
+            texts.append(edited(rng, base[k // 2 : n - k // 3], rng.randrange(1, 6)))
+    texts = sorted(set(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "tid long, text string").withColumn("id", F.col("tid").cast("string"))
+    counts, compared = [], simhash._compared
+
+    def counted(pairs, *rest):
+        counts.append(pairs.count())
+        return compared(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_compared", counted)
+    found = simhash.near_links(df, df.select("tid", F.array(F.lit(1).cast("long")).alias("bands")), df.select("tid", "id"))
+    got = {r.node: r.root for r in simhash.components(found).collect()}
+    sets = [set(simhash.shingle_hashes(t).tolist()) for t in texts]
+    top = list(range(len(texts)))
+    for _ in texts:
+        before = list(top)
+        for j in range(len(sets)):
+            for i in range(j):
+                if top[i] != top[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                    top[i] = top[j] = min(top[i], top[j])
+        if top == before:
+            break
+    assert 200 < len(set(top)) < len(texts)
+    assert [got.get(i, i) for i in range(len(texts))] == top
+    assert sum(counts) < 10 * len(texts)
