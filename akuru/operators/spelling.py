@@ -75,9 +75,12 @@ def delete_index(lexicon: DataFrame, max_edits: int = 2) -> DataFrame:
 
 
 def candidates(words: DataFrame, lexicon: DataFrame, max_edits: int = 2) -> DataFrame:
-    """Distinct (query, word) that share a delete key: an equi-join instead of all pairs. One edit makes a smaller index."""
+    """Distinct (query, word) that share a delete key: an equi-join instead of all pairs. One edit makes a smaller index.
+
+    The keys are always shuffled: Spark takes the index to be about as large as the lexicon's files, and would broadcast it through the driver.
+    """
     asked = words.select(F.col("word").alias("query"), F.explode(_delete_keys(max_edits)).alias("dk"))
-    return asked.join(delete_index(lexicon, max_edits), "dk").select("query", "word").distinct()
+    return asked.join(delete_index(lexicon, max_edits).hint("merge"), "dk").select("query", "word").distinct()
 
 
 def frequency(words: DataFrame, lexicon: DataFrame) -> DataFrame:

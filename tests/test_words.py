@@ -192,3 +192,12 @@ def test_shuffled_pieces_hold_no_string_twice(spark):
     got = [(r.k, r.gap, r.run, None if r.key.startswith("\x01") else r.key) for r in paraphrase._pieces(df, ("k",)).orderBy("k", "i").collect()]
     assert got == [(1, "a ", None, "މާލެ"), (1, " ", "‌", None), (1, " ", None, "ބަސް"), (1, " b", "", None), (2, "", "", None)]
     assert "word" not in paraphrase._pieces(df, ("k",)).columns
+
+
+def test_delete_keys_are_not_broadcast(spark, lexicon):
+    found = spelling.candidates(words(spark, "ރާއްޖޭ", "ބޮޑުު"), lexicon)
+    ranked = spelling.rank(words(spark, "ރާއްޖޭ"), lexicon)
+    for df, n in ((found, 1), (ranked, 1)):  # however small the lexicon's files make the index look
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") == n
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert ("ރާއްޖޭ", "ރާއްޖެ") in {tuple(r) for r in found.collect()}
