@@ -172,25 +172,30 @@ def components(edges: DataFrame) -> DataFrame:
     """From links (a, b), one row (node, root) per node that has a link; root is its component's smallest node.
 
     Each round lets every node point its larger neighbours, then its smaller ones, at the
-    smallest it knows. The rounds end when no link changes; their number grows with the
-    logarithm of the components' size. Every round is written to the shared folder.
+    smallest it knows. The rounds end when every component is a star, which a sum over the nodes tells without another
+    round; their number grows with the logarithm of the components' size. Every round is written to the shared folder.
+    A round shuffles the links as seldom as it can, since each shuffle costs the driver a thread, a plan and the records of its tasks.
     """
     edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     if edges.isEmpty():
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    before = None
-    while True:
-        both = edges.select("a", "b").union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.greatest("b", "m").alias("x"), F.least("b", "m").alias("y")).union(low.select("a", "m")).filter("x <> y").distinct()
+    while not _stars(edges):
+        low = edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        large = edges.join(low, F.col("b") == F.col("u"), "left").select("a", F.coalesce("m", "b").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        both = F.array(F.struct(F.col("a").alias("x"), F.col("m").alias("y")), F.struct(F.col("b").alias("x"), F.col("m").alias("y")))
+        small = large.join(least, "a").select(F.explode(both).alias("e")).select("e.x", "e.y").filter("x <> y").distinct()
         after = materialize(small.toDF("a", "b"), "links")
-        now = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(edges)
-        if now == before:
-            return after.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        edges, before = after, now
+        edges = after
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether of distinct links (a, b), a above b, no node has two smaller ones, or both a smaller and a larger one."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+    nodes = edges.select(ends.alias("e")).groupBy("e.node").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+    return nodes.filter("up + down > 1 and up > 0").count() == 0
 
 
 def classes(docs: DataFrame, radius: int = 2, n: int = 3) -> DataFrame:

@@ -71,6 +71,27 @@ def test_components_of_synthetic_fingerprints(spark):
     assert len({root.get(f, f) for g in want.values() for f in g}) == len(want)
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    stored, materialize = [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, tag: stored.append(tag) or materialize(df, tag))
+    stars = [(1, 5), (6, 1), (9, 1), (3, 4), (4, 3), (-7, 2)]
+    got = {tuple(r) for r in simhash.components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {(5, 1), (6, 1), (9, 1), (4, 3), (2, -7)}
+    assert stored == ["links"]  # the links themselves: there is nothing to do, and no round to find that out
+
+
+def test_components_of_any_links(spark):
+    rng = random.Random(4)
+    nodes = [rng.getrandbits(63) - 2**62 for _ in range(300)]
+    pairs = [tuple(rng.sample(nodes, 2)) for _ in range(170)] + [(x, y) for x, y in zip(nodes[:60], nodes[1:60], strict=False)] + [(nodes[70], n) for n in nodes[71:110]] + [(nodes[0], nodes[0])]
+    top = {n: n for p in pairs for n in p}
+    for _ in nodes:
+        for a, b in pairs:
+            top[a] = top[b] = min(top[a], top[b])
+    got = [tuple(r) for r in simhash.components(spark.createDataFrame(pairs * 2, "a long, b long")).collect()]
+    assert sorted(got) == sorted((n, r) for n, r in top.items() if n != r)
+
+
 def test_whole_query_equals_brute_force(spark, sf):
     got = {(r.doc_id, int(r.fingerprint, 16), r.component_id) for r in queries.op1_simhash(spark, sf).collect()}
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
