@@ -83,16 +83,24 @@ def candidates(words: DataFrame, lexicon: DataFrame, max_edits: int = 2) -> Data
     return asked.join(delete_index(lexicon, max_edits).hint("merge"), "dk").select("query", "word").distinct()
 
 
+def unlisted(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(word) of words that the lexicon doesn't have; the lexicon is shuffled, however small its files are."""
+    return words.select("word").join(lexicon.select("word").hint("merge"), "word", "left_anti")
+
+
 def frequency(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(word, freq) of words: 0 for one that the lexicon doesn't have."""
     return words.select("word").join(lexicon.select("word", "freq"), "word", "left").select("word", F.coalesce("freq", F.lit(0)).alias("freq"))
 
 
 def rank(words: DataFrame, lexicon: DataFrame, limit: int = 5, max_edits: int = 2, places: int = 3) -> DataFrame:
-    """(query, rank, word, cost): the nearest lexicon words, by cost, frequency and word; costs rounded to three places."""
-    pairs = candidates(words, lexicon, max_edits).join(lexicon, "word")
+    """(query, rank, word, cost): the nearest lexicon words, by cost, frequency and word; costs rounded to three places.
+
+    Frequencies are joined to the pairs that are near enough, and by a shuffle: the lexicon's files are small, its words in a broadcast are not.
+    """
     join = lambda c: F.array_join(S.unit_keys(F.col(c)), "")
-    scored = pairs.withColumn("d", distance(join("query"), join("word"))).filter(F.col("d") <= MAX_COST)
+    near = candidates(words, lexicon, max_edits).withColumn("d", distance(join("query"), join("word"))).filter(F.col("d") <= MAX_COST)
+    scored = near.join(lexicon.hint("merge"), "word")
     w = Window.partitionBy("query").orderBy("d", F.desc("freq"), "word")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("query", "rank", "word", F.round("d", places).alias("cost"))
 

@@ -204,3 +204,10 @@ def test_delete_keys_are_not_broadcast(spark, lexicon):
 def test_ranking_does_not_broadcast_delete_keys(spark, lexicon):
     plan = spelling.rank(words(spark, "ރާއްޖޭ"), lexicon)._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=merge" in plan
+
+
+def test_suggestions_never_broadcast_the_lexicon(spark, lexicon):
+    unknown = spelling.unlisted(words(spark, "ރާއްޖޭ", "ރާއްޖެ"), lexicon)
+    found = spelling.rank(unknown, lexicon)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()  # by the size of its files it would be
+    assert [(r.query, r.rank, r.word) for r in found.filter("rank = 1").collect()] == [("ރާއްޖޭ", 1, "ރާއްޖެ")]
