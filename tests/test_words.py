@@ -206,7 +206,9 @@ def test_ranking_does_not_broadcast_delete_keys(spark, lexicon):
     assert "strategy=merge" in plan
 
 
-def test_suggestions_never_broadcast_the_lexicon(spark, lexicon):
+def test_suggestions_never_broadcast_the_lexicon(spark, lexicon, tmp_path):
+    lexicon.write.parquet(f"{tmp_path}/lexicon")
+    lexicon = spark.read.parquet(f"{tmp_path}/lexicon")
     unknown = spelling.unlisted(words(spark, "ރާއްޖޭ", "ރާއްޖެ"), lexicon)
     found = spelling.rank(unknown, lexicon)
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()  # by the size of its files it would be
