@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, small_batches
 
 SEED = 42
 #: Words of a shingle, and their Jaccard similarity, from which on two texts are near copies (see near_links).
@@ -205,7 +205,8 @@ def classes(docs: DataFrame, radius: int = 2, n: int = 3) -> DataFrame:
     repeated; rows with a null id take part in linking, and a component without any id has a null
     component_id. An empty table gives no rows.
     """
-    rows = materialize(docs.select("doc_id", fingerprints(F.col("text"), n).alias("fp")), "fingerprints")
+    with small_batches(docs.sparkSession):  # whole texts pass to Python here only
+        rows = materialize(docs.select("doc_id", fingerprints(F.col("text"), n).alias("fp")), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = components(links(distinct.select("fp"), radius))
     known = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id", "n")

@@ -131,3 +131,12 @@ def test_fingerprints_of_many_rows_are_sent_to_them(spark, monkeypatch):
         monkeypatch.setattr(simhash, "HOT_ROWS", few)
         monkeypatch.setattr(simhash, "BROADCAST_HOT", hot)
         assert sorted(map(repr, simhash.classes(docs).collect())) == plain and len(plain) == len(rows)
+
+
+def test_whole_texts_pass_to_python_in_small_batches(spark, monkeypatch):
+    key, held, materialize = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, simhash.materialize
+    before = spark.conf.get(key)
+    monkeypatch.setattr(simhash, "materialize", lambda df, tag: held.setdefault(tag, spark.conf.get(key)) and materialize(df, tag))
+    docs = spark.createDataFrame([(d, f"text {d % 3} of three") for d in range(2500)], "doc_id long, text string")
+    assert {r.component_id for r in simhash.classes(docs).collect()} <= {0, 1, 2}
+    assert int(held["fingerprints"]) <= 1000 and held["distinct"] == before == spark.conf.get(key)
