@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import delete, scratch_path
-from .tokens import encoder
+from .tokens import TOGETHER, encoder
 
 SCALE_BITS = 20
 #: A block is closed by the document that brings it to this number of ids.
@@ -225,34 +225,53 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2) -> None:
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], pa.Array]]:
+        """Ids and texts of so many batches that they are encoded together."""
+
+        def rows() -> tuple[list[int | None], pa.Array]:
+            whole = pa.Table.from_batches(held)
+            return whole.column("doc_id").to_pylist(), whole.column("text").cast(pa.large_string()).combine_chunks()
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= TOGETHER:
+                yield rows()
+                held, size = [], 0
+        if held:
+            yield rows()
+
     def raw_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of plain ids, with how often each id occurs in the partition on the last one."""
-        code = encoder(tokenizer, 300_000)
+        code = encoder(tokenizer, 200_000)
         counts, shard, block = np.zeros(max(code.vocabulary, end_id + 1), np.int64), TaskContext.get().partitionId(), 0
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         doc_ids: list[int | None] = []
         lengths: list[int] = []
-        size, end = 0, np.array([end_id], code.dtype).tobytes()
+        size = 0
 
         def close(last: bool) -> pa.RecordBatch:
             nonlocal counts, block
-            flat = np.frombuffer(b"".join(ids), code.dtype)
+            flat = np.concatenate(ids)
             counts += np.bincount(flat, minlength=len(counts))
             row = pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "width": pa.array([code.dtype.itemsize], pa.int32()), "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "lengths": pa.array([lengths], pa.list_(pa.int64())), "ids": pa.array([flat.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes() if last else None], pa.binary())})
             block += 1
             ids.clear(), doc_ids.clear(), lengths.clear()
             return row
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                if size >= BLOCK_IDS:
-                    yield close(False)
-                    size = 0
-                one = code.encode(text.as_py())
-                ids += one, end
-                doc_ids.append(doc_id)
-                lengths.append(len(one) // code.dtype.itemsize + 1)
-                size += lengths[-1]
+        for named, texts in gathered(batches):
+            at = 0
+            for flat, sizes in code.encode_many(texts, end_id):
+                for doc_id, n, to in zip(named[at : at + len(sizes)], sizes.tolist(), np.cumsum(sizes).tolist(), strict=True):
+                    if size >= BLOCK_IDS:
+                        yield close(False)
+                        size = 0
+                    ids.append(flat[to - n : to])
+                    doc_ids.append(doc_id)
+                    lengths.append(n)
+                    size += n
+                at += len(sizes)
         if doc_ids:
             yield close(True)
 
