@@ -1,9 +1,14 @@
+import hashlib
 import random
+import re
+import uuid
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from akuru.functions.batches import transliterated
 from akuru.operators import corpus, dictionary, evaluation, export, morphology, paraphrase, spelling
 from akuru.plans import catalogue
 from akuru.sources import tables
@@ -213,3 +218,69 @@ def test_suggestions_never_broadcast_the_lexicon(spark, lexicon, tmp_path):
     found = spelling.rank(unknown, lexicon)
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()  # by the size of its files it would be
     assert [(r.query, r.rank, r.word) for r in found.filter("rank = 1").collect()] == [("ރާއްޖޭ", 1, "ރާއްޖެ")]
+
+
+def _shuffled(spark, run):
+    """What run() returns, and the bytes that its jobs shuffled."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "")
+    out = run()
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    spark.sparkContext._jsc.clearJobGroup()
+    return out, sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+
+
+def _many(spark):
+    """Long texts, whose words differ at the ends, their bytes, and a thesaurus with a few synonyms of most words, 70 of one."""
+    letters = "ހށނރބކވމފދތލގސޑ"
+    word = lambda i: "".join(letters[i // 15**k % 15] + "ަ" for k in range(3))
+    rng = random.Random(5)
+    texts = [(k, " ".join(word(min(rng.randrange(3000), rng.randrange(3000))) + rng.choice(["", "", "، ", "‌", "é"]) for _ in range(6000))) for k in range(40)]
+    rows = [(word(i), j + 1, word(i * 7 + j), j % 5) for i in range(2500) for j in range(70 if i == 7 else i % 4)]
+    return spark.createDataFrame(texts, "k int, t string").repartition(2).localCheckpoint(), texts, spark.createDataFrame(rows, "word string, ord int, syn string, cnt long"), rows
+
+
+def _plainly(text, k, rows, exact):
+    """The new text and its replacements, run by run."""
+    syns = {}
+    for w, _, s, _ in sorted(rows, key=lambda r: (-r[3], r[1], r[2])):
+        syns.setdefault(w, []).append(s)
+    out, held, rng = "", [], random.Random(0)
+    for no, run in enumerate(re.findall("[ހ-ޱ‌‍]+|[^ހ-ޱ‌‍]+", text)):
+        word = re.sub("[‌‍]", "", run)
+        known, used = syns.get(word), None
+        if known:
+            h = hashlib.md5(f"0:{k}:{no}".encode()).hexdigest()
+            if exact:
+                used = rng.choice(known) if rng.random() < 0.5 else None
+            elif int(h[:7], 16) % 1_000_000 < 500_000:
+                used = known[int(h[8:15], 16) % len(known)]
+        new = used or word or run
+        if known:
+            held.append((len(out), len(out) + len(new), word, len(known), used))
+        out += new
+    return out, held
+
+
+def _agrees(spark, way, exact, **more):
+    df, texts, thesaurus, rows = _many(spark)
+    got, moved = _shuffled(spark, way(df, thesaurus, "k", **more).collect)
+    for r in got:
+        text, held = _plainly(texts[r.k][1], r.k, rows, exact)
+        assert (r.text, r.swapped, r.swappable) == (text, sum(h[4] is not None for h in held), len(held))
+        assert r.replacements is None if more else [tuple(x) for x in r.replacements] == held
+    assert len(got) == len(texts) and moved < sum(len(t.encode()) for _, t in texts)
+
+
+def test_paraphrase_shuffles_texts_not_words(spark):
+    _agrees(spark, paraphrase.paraphrase, False, spans=False)
+
+
+def test_counted_pairs_equal_the_expressions(spark):
+    texts = ["Hah rahah, ch'a n'a aai oaa xa-h ahé h", "a‌ b ‍  shaxi", "", None, " ", "hh aé²h", "ABC " * 50 + "ދިވެހި\nބަސް kuḥ h1 h\U0001F600"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    t = corpus.thaana(df, "k")
+    want = {(r.w1, r.w2, r.cnt) for r in corpus.bigrams(t).collect()} | {(r.word, "", r.cnt) for r in corpus.unigrams(t).collect()}
+    assert {(r.w1, r.w2, r.cnt) for r in corpus.counted(df).collect()} == want
+    assert transliterated(pa.array([t or "" for t in texts])).to_pylist() == [r.t for r in t.orderBy("k").collect()]
