@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from . import script as S
 
 #: Bytes of text worked on at once; pairs counted together before they are sent on.
-SLICE, PAIRS = 8 << 20, 4_000_000
+SLICE, PAIRS = 2 << 20, 1_000_000
 
 _WORKING = re.compile(f"[{S._WORKING}]+|[^{S._WORKING}]+")
 _HAS_WORKING = re.compile(f"[{S._WORKING}]")
@@ -177,8 +177,8 @@ class Cut:
         self._places()
         return self
 
-    def rewritten(self, used: np.ndarray, syns: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array]:
-        """The texts with syns[used] for runs (-1: the word itself, or a run without one as it stands), each run's start and end in code points, and what is written."""
+    def rewritten(self, used: np.ndarray, syns: pa.Array, spans: bool) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array] | tuple[pa.Array]:
+        """The texts with syns[used] for runs (-1: the word itself, or a run without one as it stands); with spans each run's start and end in code points, and what is written."""
         words = self.words()
         own = words if words is self.distinct else pc.if_else(pc.equal(words, ""), self.distinct, words)
         strings = pa.concat_arrays([own, syns])
@@ -189,10 +189,12 @@ class Cut:
         stream = self.codes.astype(np.int64)
         written = np.where(used >= 0, used + len(own), stream[self.run])
         stream[self.run] = written
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(self.bounds, pa.int32()), strings.take(pa.array(stream))), "")
+        if not spans:
+            return (text,)
         lengths = pc.utf8_length(strings).to_numpy(zero_copy_only=False).astype(np.int64)[stream]
         total = np.concatenate([[0], np.cumsum(lengths)])
         end = total[1:][self.run] - total[self.bounds[self.text[self.run]]]
-        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(self.bounds, pa.int32()), strings.take(pa.array(stream))), "")
         return text, end - lengths[self.run], end, strings.take(pa.array(written))
 
 
@@ -228,5 +230,6 @@ def counted(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa
             if size >= PAIRS:
                 yield from out()
                 numbers, held, size = {"": 0}, [], 0
+                pa.default_memory_pool().release_unused()
     if size:
         yield from out()

@@ -111,13 +111,10 @@ Draws = Callable[[list[str], np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 def _hash_draws(level: int) -> Draws:
     def draws(prefixes: list[str], no: np.ndarray, n: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        digests = []
+        digests, places = [], [b"%d" % k for k in range(no.max(initial=-1) + 1)]
         for prefix, a, b in zip(prefixes, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            begun = md5(f"{prefix}:".encode())
-            for k in no[a:b].tolist():
-                h = begun.copy()
-                h.update(b"%d" % k)
-                digests.append(h.digest())
+            begin = f"{prefix}:".encode()
+            digests += [md5(begin + places[k]).digest() for k in no[a:b].tolist()]
         # seven hexadecimal digits from the first on and from the ninth on
         two = np.frombuffer(b"".join(digests), ">u4").reshape(-1, 4)[:, :2].astype(np.int64) >> 4
         return np.where(two[:, 0] % 1_000_000 < level, two[:, 1] % np.maximum(n, 1), -1)
@@ -193,6 +190,8 @@ def _rewritten(df: DataFrame, named: DataFrame, numbers: DataFrame, keys: tuple[
                 with pa.ipc.new_stream(sink, packed, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                     writer.write_batch(held)
                 yield pa.RecordBatch.from_arrays([pa.array([group]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=arrow_asked)
+                del cut, word, n, can, choice, done, c, held, sink
+                pa.default_memory_pool().release_unused()
                 size += pc.sum(pc.binary_length(some)).as_py() or 0
                 if size >= GROUP:
                     yield from requests()
@@ -230,9 +229,10 @@ def _rewritten(df: DataFrame, named: DataFrame, numbers: DataFrame, keys: tuple[
             done, can = choice >= 0, np.flatnonzero(n)
             used = np.full(len(n), -1, np.int64)
             used[done] = np.searchsorted(found, word[done] << 32 | choice[done])
-            text, start, end, written = cut.rewritten(used, syns)
+            text, *places = cut.rewritten(used, syns, spans)
             bounds = np.searchsorted(can, cut.first_run)
             if spans:
+                start, end, written = places
                 original = cut.words().take(pa.array(cut.codes[cut.run][can]))
                 new = pc.if_else(pa.array(done[can]), written.take(pa.array(can)), pa.scalar(None, pa.string()))
                 each = pa.StructArray.from_arrays([pa.array(start[can], pa.int32()), pa.array(end[can], pa.int32()), original, pa.array(n[can], pa.int32()), new], names=["start", "end", "original", "choices", "used"])
@@ -240,6 +240,8 @@ def _rewritten(df: DataFrame, named: DataFrame, numbers: DataFrame, keys: tuple[
             else:
                 replacements = pa.nulls(len(held), arrow_result.field("replacements").type)
             swapped = np.diff(np.concatenate([[0], np.cumsum(done)])[cut.first_run])
+            del cut, places, used
+            pa.default_memory_pool().release_unused()
             out.append(pa.RecordBatch.from_arrays([*held.columns[: len(keys)], text, replacements, pa.array(swapped, pa.int64()), pa.array(np.diff(bounds), pa.int64())], schema=arrow_result))
         return pa.Table.from_batches(out, schema=arrow_result)
 
